@@ -38,3 +38,18 @@ def session_totals(df: DataFrame, keys: Sequence[str], time: str, gap_ms: int,
              F.sum("cnt").alias("cnt"), *[F.sum(name).alias(name) for name in sums])
         .drop("__session")
     )
+
+
+def hop_totals(df: DataFrame, keys: Sequence[str], time: str, size: str, slide: str,
+               sums: dict[str, Column]) -> DataFrame:
+    """Sliding-window sums per key with ``window_start`` and ``window_end``.
+
+    Rows are summed per slide-wide pane first, so it is panes and not rows that are
+    copied into each window they belong to. ``size`` must be a multiple of ``slide``.
+    """
+    panes = df.withColumn("__at", F.col(time).cast("timestamp")).groupBy(*keys, F.window("__at", slide)).agg(
+        *[F.sum(value).alias(name) for name, value in sums.items()])
+    placed = panes.withColumn("__at", F.col("window.start")).drop("window")
+    return placed.groupBy(*keys, F.window("__at", size, slide)).agg(
+        *[F.sum(name).alias(name) for name in sums]
+    ).select(*keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *sums)

@@ -197,6 +197,40 @@ class StatementWriter(RowWriter):
             self.connection.close()
 
 
+class LinesWriter(RowWriter):
+    """Writes a partition's rows as text lines below a shared folder.
+
+    The file carries version and partition in its name, so a repeated attempt
+    replaces what the first one wrote.
+    """
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.out = None
+
+    def open(self, partition_id: int, version: int) -> bool:
+        files, root = open_folder(self.folder)
+        files.create_dir(root, recursive=True)
+        self.out = files.open_output_stream(f"{root}/v{version}-p{partition_id}.txt")
+        return True
+
+    def process(self, row: Row) -> None:
+        self.out.write((",".join("null" if value is None else str(value) for value in row) + "\n").encode())
+
+    def close(self, error: Exception | None) -> None:
+        if self.out is not None:
+            self.out.close()
+
+
+def open_folder(folder: str):
+    """Arrow file system and path of a folder given as path or URI."""
+    from pyarrow import fs
+
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder)
+
+
 class RowSink(Sink):
     """Feeds partitions to row writers; ``make()`` runs on the executor."""
 

@@ -12,13 +12,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.registry import Accumulator, accumulator
 
 
-def dedup(stream: DataFrame, keys: Sequence[str], delay: str | int, ways: int = 16) -> DataFrame:
-    """First row per key among rows at most ``delay`` apart in event time.
+def dedup(stream: DataFrame, keys: Sequence[str], ways: int = 16) -> DataFrame:
+    """First row per key among rows no further apart than the watermark delay of ``stream``.
 
-    Copies are dropped in ``ways`` parts of each key first, so the many copies
-    of one message do not all reach the task of that key.
+    Copies are dropped in ``ways`` parts of each key first, by the task that
+    read them, so the many copies of one message do not all reach the task of
+    that key.
     """
-    part = F.pmod(F.monotonically_increasing_id(), F.lit(ways))
+    part = F.pmod(F.spark_partition_id(), F.lit(ways))
     once = stream.withColumn("__part", part).dropDuplicatesWithinWatermark([*keys, "__part"])
     return once.drop("__part").dropDuplicatesWithinWatermark(list(keys))
 
