@@ -1,4 +1,6 @@
-"""JSON path reads that follow keys through lists.
+"""JSON path reads.
+
+:func:`json_get` follows keys through lists, :func:`json_read` takes a path as it stands.
 
 The built-in ``get_json_object`` answers every path that meets only objects
 and fixed positions. The rules below cover the rest, still as column
@@ -11,6 +13,7 @@ key order and number text stay those of the built-in.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +46,11 @@ def _parts(path: str) -> tuple[list[_Part], bool] | None:
     return (parts, from_list) if all(part.valid for part in parts) else None
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _boxed(text: Column, path: str) -> Column:
     """Value at ``path`` below ``text`` as JSON text, strings still quoted."""
     return F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), f"$[*]{path}")
@@ -50,10 +58,8 @@ def _boxed(text: Column, path: str) -> Column:
 
 def _elements(text: Column) -> Column:
     """Elements of a JSON list, each as JSON text; no elements for anything else."""
-    plain = F.from_json(text, "array<string>")
-    typed = F.from_json(text, "array<variant>")
     each = F.zip_with(
-        plain, typed,
+        F.from_json(text, "array<string>"), F.from_json(text, "array<variant>"),
         lambda s, v: F.when(s.isNull(), F.lit("null"))
         .when(F.schema_of_variant(v) == "STRING", F.to_json(v))
         .otherwise(s),
@@ -61,43 +67,58 @@ def _elements(text: Column) -> Column:
     return F.when(text.startswith("["), each).otherwise(F.array().cast("array<string>"))
 
 
+def _at(position: int) -> Callable[[Column], Column]:
+    return lambda text: F.slice(_elements(text), position + 1, 1)
+
+
+def _member(key: str, default: Column) -> Callable[[Column], Column]:
+    return lambda text: F.coalesce(_boxed(text, f"['{key}']"), default)
+
+
 def _as_list(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
 
 
+def _collect_key(items: Column, key: str) -> Column:
+    """Values of ``key`` in the objects among ``items``, lists opened once."""
+    values = F.transform(items, lambda e: F.when(e.startswith("{"), _boxed(e, f"['{key}']")))
+    found = F.filter(values, lambda v: v.isNotNull())
+    return F.flatten(F.transform(found, lambda v: F.when(v.startswith("["), _elements(v)).otherwise(F.array(v))))
+
+
 def _follow_key(text: Column, key: str) -> Column:
-    objects = F.filter(_elements(text), lambda e: e.startswith("{"))
-    values = F.filter(F.transform(objects, lambda e: _boxed(e, f"['{key}']")), lambda v: v.isNotNull())
-    opened = F.flatten(F.transform(values, lambda v: F.when(v.startswith("["), _elements(v)).otherwise(F.array(v))))
-    return (
-        F.when(text.startswith("{"), _boxed(text, f"['{key}']"))
-        .when(F.size(opened) > 0, _as_list(opened))
-    )
+    def follow(t: Column) -> Column:
+        collected = _let(_collect_key(_elements(t), key), lambda c: F.when(F.size(c) > 0, _as_list(c)))
+        return F.when(t.startswith("{"), _boxed(t, f"['{key}']")).when(t.startswith("["), collected)
+
+    return _let(text, follow)
 
 
 def _follow_positions(text: Column, positions: list[str]) -> Column:
-    hits = F.filter(F.array(text), lambda t: t.isNotNull())
+    hits = F.array(text)
     for position in positions:
         if position == "*":
             hits = F.flatten(F.transform(hits, _elements))
         else:
-            at = int(position) + 1
-            hits = F.flatten(F.transform(hits, lambda t: F.slice(_elements(t), at, 1)))
-    return F.when(F.size(hits) == 1, F.element_at(hits, 1)).when(F.size(hits) > 1, _as_list(hits))
+            hits = F.flatten(F.transform(hits, _at(int(position))))
+    return _let(hits, lambda h: F.when(F.size(h) == 1, F.element_at(h, 1)).when(F.size(h) > 1, _as_list(h)))
+
+
+def _plain(text: Column) -> Column:
+    """JSON text as the result shows it: strings without quotes, no JSON nulls."""
+    unquoted = F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), "$[0]")
+    return F.when(text.startswith('"'), unquoted).when(text != "null", text)
 
 
 def _through_lists(json: Column, parts: list[_Part], from_list: bool) -> Column:
     root = "[" if from_list else "{"
-    whole = F.get_json_object(json, "$")
-    text = F.when(F.ltrim(json).startswith(root), whole)
+    text = F.when(F.ltrim(json).startswith(root), F.get_json_object(json, "$"))
     for part in parts:
         if part.key is not None:
             text = _follow_key(text, part.key)
         if part.positions:
             text = _follow_positions(text, part.positions)
-    return F.when(text.startswith('"'), F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), "$[0]")).when(
-        text != "null", text
-    )
+    return _let(text, _plain)
 
 
 def _builtin_path(parts: list[_Part]) -> str:
@@ -127,3 +148,29 @@ def json_get(json: Column, path: str) -> Column:
     direct = F.get_json_object(json, _builtin_path(parts))
     one_key = len(parts) == 1 and not parts[0].positions
     return direct if one_key else F.coalesce(direct, followed)
+
+
+STEP = re.compile(r"\.([^.\[\]]+)|\[([0-9]+|\*)\]|\['([^']+)'\]")
+
+
+def json_read(json: Column, path: str) -> Column:
+    """Text at ``path`` without looking through lists; a path with ``[*]`` always gives a list.
+
+    An object that lacks the last key of such a path adds a null to the list.
+    """
+    if not path.startswith("$") or STEP.sub("", path[1:]):
+        raise ValueError(f"cannot read JSON path {path!r}")
+    steps = [(named or quoted, position) for named, position, quoted in STEP.findall(path[1:])]
+    if ("", "*") not in steps:
+        return F.get_json_object(json, "$" + "".join(f"['{key}']" if key else f"[{at}]" for key, at in steps))
+    hits = F.filter(F.array(F.get_json_object(json, "$")), lambda t: t.isNotNull())
+    for number, (key, position) in enumerate(steps, 1):
+        if position == "*":
+            hits = F.flatten(F.transform(hits, _elements))
+        elif position:
+            hits = F.flatten(F.transform(hits, _at(int(position))))
+        else:
+            default = F.lit("null" if number == len(steps) else None)
+            objects = F.filter(hits, lambda t: t.startswith("{"))
+            hits = F.filter(F.transform(objects, _member(key, default)), lambda t: t.isNotNull())
+    return F.when(F.get_json_object(json, "$").isNotNull(), _as_list(hits))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.json_path import json_get
+from ..functions.json_path import json_read
 from ..schema import Col, TableDef
 
 # Reserved column names and the envelope expression of each.
@@ -115,7 +115,7 @@ def decode(envelopes: DataFrame, table: TableDef, strict: bool = False, keep: tu
                 leaf = leaf.getField(key)
             value = leaf if _nested(kind) and not strict else _typed(leaf, kind, strict)
         else:
-            value = _typed(json_get(message, _path(col)), kind, strict)
+            value = _typed(json_read(message, _path(col)), kind, strict)
         out.append(value.alias(col.name, metadata=col.struct_field().metadata))
     if mark_broken:
         # A type mismatch also fills the corrupt column, so look at the text itself.

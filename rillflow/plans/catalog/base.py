@@ -22,11 +22,11 @@ class Entry:
 CATALOG: dict[str, Entry] = {}
 
 
-def checked(sql: str | None = None):
-    """Register a query under its function name with the SQL that must agree with it."""
+def checked(sql: str | None = None, name: str | None = None):
+    """Register a query, by default under its function name, with the SQL that must agree with it."""
 
     def keep(run: Run) -> Run:
-        CATALOG[run.__name__] = Entry(run, sql)
+        CATALOG[name or run.__name__] = Entry(run, sql)
         return run
 
     return keep

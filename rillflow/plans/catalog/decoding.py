@@ -134,8 +134,8 @@ def decode_quarantine(spark, sf):
            CAST(NULL AS VARCHAR) AS missing, CAST(NULL AS VARCHAR) AS no_root, CAST(NULL AS VARCHAR) AS bad_start,
            CAST(NULL AS VARCHAR) AS broken
     FROM events
-""")
-def json_get_(spark, sf):
+""", name="json_get")
+def json_get_paths(spark, sf):
     m = F.col("message")
     return _messages(spark, sf).select(
         "event_id", json_get(m, "$.conntent.ip").alias("ip"),
