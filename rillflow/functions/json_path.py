@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,19 +32,24 @@ class _Part:
         self.key = found.group(0) if found else None
         self.positions = POSITION.findall(text)
 
+    def builtin(self, positions: int | None = None) -> str:
+        """This part for the built-in, with all or the first ``positions`` positions."""
+        key = "" if self.key is None else f"['{self.key}']"
+        return key + "".join(f"[{position}]" for position in self.positions[:positions])
 
-def _parts(path: str) -> tuple[list[_Part], bool] | None:
-    """Parts of ``path`` and whether its root is a list; None if never a hit."""
+
+def _parts(path: str) -> list[_Part] | None:
+    """Parts of ``path``, the first one without a key if its root is a list; None if never a hit."""
     if not path.startswith("$") or (len(path) > 1 and path[1] not in ".["):
         return None
     if path == "$":
-        return [], False
+        return []
     from_list = path[1] == "[" or path[2:3] == "["
     texts = path.split(".")
     if path[1] == ".":
         texts = texts[1:]
     parts = [_Part(text, keyed=not (from_list and at == 0)) for at, text in enumerate(texts)]
-    return (parts, from_list) if all(part.valid for part in parts) else None
+    return parts if all(part.valid for part in parts) else None
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -58,13 +64,27 @@ def _boxed(text: Column, path: str) -> Column:
 
 def _elements(text: Column) -> Column:
     """Elements of a JSON list, each as JSON text; no elements for anything else."""
-    each = F.zip_with(
-        F.from_json(text, "array<string>"), F.from_json(text, "array<variant>"),
+    plain = F.from_json(text, "array<string>")
+    # Only lists with quotes in them can hold strings, whose elements come unquoted.
+    typed = F.zip_with(
+        plain, F.from_json(text, "array<variant>"),
         lambda s, v: F.when(s.isNull(), F.lit("null"))
         .when(F.schema_of_variant(v) == "STRING", F.to_json(v))
         .otherwise(s),
     )
-    return F.when(text.startswith("["), each).otherwise(F.array().cast("array<string>"))
+    untyped = F.transform(plain, lambda s: F.coalesce(s, F.lit("null")))
+    return (
+        F.when(~text.startswith("["), F.array().cast("array<string>"))
+        .when(text.contains('"'), typed)
+        .otherwise(untyped)
+    )
+
+
+def _objects(text: Column) -> Column:
+    """The objects among the elements of a JSON list."""
+    # Without a string that begins like an object, the first character tells objects apart.
+    items = F.when(text.contains('"{'), _elements(text)).otherwise(F.from_json(text, "array<string>"))
+    return F.filter(items, lambda s: s.startswith("{"))
 
 
 def _at(position: int) -> Callable[[Column], Column]:
@@ -79,16 +99,16 @@ def _as_list(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
 
 
-def _collect_key(items: Column, key: str) -> Column:
-    """Values of ``key`` in the objects among ``items``, lists opened once."""
-    values = F.transform(items, lambda e: F.when(e.startswith("{"), _boxed(e, f"['{key}']")))
+def _collect_key(objects: Column, key: str) -> Column:
+    """Values of ``key`` in ``objects``, lists opened once."""
+    values = F.transform(objects, lambda e: _boxed(e, f"['{key}']"))
     found = F.filter(values, lambda v: v.isNotNull())
     return F.flatten(F.transform(found, lambda v: F.when(v.startswith("["), _elements(v)).otherwise(F.array(v))))
 
 
 def _follow_key(text: Column, key: str) -> Column:
     def follow(t: Column) -> Column:
-        collected = _let(_collect_key(_elements(t), key), lambda c: F.when(F.size(c) > 0, _as_list(c)))
+        collected = _let(_collect_key(_objects(t), key), lambda c: F.when(F.size(c) > 0, _as_list(c)))
         return F.when(t.startswith("{"), _boxed(t, f"['{key}']")).when(t.startswith("["), collected)
 
     return _let(text, follow)
@@ -110,44 +130,53 @@ def _plain(text: Column) -> Column:
     return F.when(text.startswith('"'), unquoted).when(text != "null", text)
 
 
-def _through_lists(json: Column, parts: list[_Part], from_list: bool) -> Column:
-    root = "[" if from_list else "{"
-    text = F.when(F.ltrim(json).startswith(root), F.get_json_object(json, "$"))
-    for part in parts:
-        if part.key is not None:
-            text = _follow_key(text, part.key)
-        if part.positions:
-            text = _follow_positions(text, part.positions)
-    return _let(text, _plain)
+def _builtin_path(parts: list[_Part]) -> str:
+    return "$" + "".join(part.builtin() for part in parts)
 
 
-def _builtin_path(parts: list[_Part]) -> str:
-    steps = []
-    for part in parts:
-        if part.key is not None:
-            steps.append(f"['{part.key}']")
-        steps += [f"[{position}]" for position in part.positions]
-    return "$" + "".join(steps)
+def _from_list(json: Column, path: str, positions: list[str], rest: list[_Part]) -> tuple[Column, Column]:
+    """Whether ``path`` ends at a list, and what the remaining steps find in it."""
+
+    def walk(text: Column) -> Column:
+        if positions:
+            text = _follow_positions(text, positions)
+        for part in rest:
+            text = _follow_key(text, part.key)
+            if part.positions:
+                text = _follow_positions(text, part.positions)
+        return _let(text, _plain)
+
+    return F.get_json_object(json, f"{path}[*]").isNotNull(), _let(F.get_json_object(json, path), walk)
 
 
 def json_get(json: Column, path: str) -> Column:
     """Text at ``path``: scalars plain, objects and lists as JSON, null when missing.
 
-    The path is read once while the plan is built. Without ``[*]`` the
-    built-in runs first and only rows it leaves null take the longer way.
+    The path is read once while the plan is built. The built-in goes as far as
+    it can; the longer way starts only at a list it stops at.
     """
     read = _parts(path) if path else None
     if read is None:
         return F.lit(None).cast("string")
-    parts, from_list = read
+    parts = read
     if not parts:
         return F.when(F.ltrim(json).rlike(r"^[\[{]"), F.get_json_object(json, "$"))
-    followed = _through_lists(json, parts, from_list)
-    if any("*" in part.positions for part in parts):
+    star = next((at for at, part in enumerate(parts) if "*" in part.positions), None)
+    stops = [
+        _from_list(json, _builtin_path(parts[:at]), [], parts[at:])
+        for at in range(1, len(parts) if star is None else star + 1)
+    ]
+    if star is not None:
+        lead = parts[star].positions.index("*")
+        before = _builtin_path(parts[:star]) + parts[star].builtin(lead)
+        stops.append(_from_list(json, before, parts[star].positions[lead:], parts[star + 1:]))
+    followed = None
+    for stop, found in stops:
+        followed = F.when(stop, found) if followed is None else followed.when(stop, found)
+    if star is not None:
         return followed
     direct = F.get_json_object(json, _builtin_path(parts))
-    one_key = len(parts) == 1 and not parts[0].positions
-    return direct if one_key else F.coalesce(direct, followed)
+    return direct if followed is None else F.coalesce(direct, followed)
 
 
 STEP = re.compile(r"\.([^.\[\]]+)|\[([0-9]+|\*)\]|\['([^']+)'\]")
