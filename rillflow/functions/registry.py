@@ -65,8 +65,7 @@ def register(spark: SparkSession, name: str, what, returns: str | T.DataType | N
     elif isinstance(made, Accumulator):
         _accumulators[name] = made
     elif isinstance(made, type):
-        table = F.udtf(made, returnType=returns) if isinstance(returns, (str, T.StructType)) else F.udtf(made)
-        spark.udtf.register(name, table)
+        spark.udtf.register(name, F.udtf(made, returnType=returns, useArrow=True))
     elif hasattr(made, "evalType") or hasattr(made, "returnType"):
         spark.udf.register(name, made)
     elif callable(made):

@@ -52,3 +52,20 @@ def net_changes(changes: DataFrame, keys: Sequence[str], sign: str, sums: dict[s
         *[F.sum(F.col(sign) * F.col(value)).alias(name) for name, value in sums.items()],
     )
     return signed.filter(F.col("__rows") > 0).select(*keys, F.col("__rows").alias("cnt"), *sums)
+
+
+def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each distinct row of both inputs once, with the inputs that have it."""
+    tagged = left.select("*", F.lit(True).alias("__l"), F.lit(False).alias("__r")).union(
+        right.select("*", F.lit(False), F.lit(True)))
+    return tagged.groupBy(*left.columns).agg(F.max("__l").alias("__l"), F.max("__r").alias("__r"))
+
+
+def intersect_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows in both inputs, as one combined aggregation instead of a join."""
+    return _sides(left, right).filter(F.col("__l") & F.col("__r")).select(*left.columns)
+
+
+def except_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows of ``left`` that ``right`` lacks."""
+    return _sides(left, right).filter(F.col("__l") & ~F.col("__r")).select(*left.columns)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLOT, AT, SIDE, FOUND = "__slot", "__at", "__side", "__found"
 
@@ -103,11 +104,20 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.001) -> DataFrame:
-    """Keys that hold at least ``share`` of the rows: never more than ``1/share`` of them."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    least = total.select((F.col("__total") * F.lit(share)).alias("__least")).first()[0] or 0
-    return counts.filter(F.col("__n") >= F.lit(float(least))).select(*keys)
+    """Keys that hold at least ``share`` of the rows: never more than ``1/share`` of them.
+
+    One pass over the key columns finds them. The most frequent ``1/share``
+    keys hold every such key, so that many rows reach the driver at most.
+    """
+    rows = Observation()
+    counts = (
+        df.select(*keys).observe(rows, F.count(F.lit(1)).alias("total"))
+        .groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    )
+    frequent = counts.orderBy(F.col("__n").desc()).limit(int(1 / share)).collect()
+    least = rows.get["total"] * share
+    hot = [tuple(row)[:-1] for row in frequent if row["__n"] >= least]
+    return df.sparkSession.createDataFrame(hot, T.StructType([df.schema[key] for key in keys]))
 
 
 def spread_join(big: DataFrame, other: DataFrame, keys: Sequence[str], ways: int = 64, share: float = 0.001,
@@ -123,7 +133,9 @@ def spread_join(big: DataFrame, other: DataFrame, keys: Sequence[str], ways: int
         raise ValueError("spread_join keeps rows of the big side only: inner or left")
     keys = list(keys)
     hot = F.broadcast(hot_keys(big, keys, share).withColumn("__hot", F.lit(True)))
-    part = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in big.columns]), F.lit(ways)).cast("int")
+    # The reading task counts in, so that exact copies are spread too, and a repeated task cuts the same way.
+    place = F.xxhash64(F.spark_partition_id(), *[F.col(f"`{name}`") for name in big.columns])
+    part = F.pmod(place, F.lit(ways)).cast("int")
     cut = big.join(hot, keys, "left").withColumn("__part", F.when(F.col("__hot"), part).otherwise(0)).drop("__hot")
     parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
     copied = other.join(hot, keys, "left").withColumn("__part", F.explode(parts)).drop("__hot")

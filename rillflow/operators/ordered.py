@@ -13,6 +13,7 @@ bucket and travel in the same shuffle as the data, so no join is needed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,6 +27,13 @@ def _along(keys: Sequence[str]):
     return W.partitionBy(*keys).orderBy(BUCKET)
 
 
+def _beside(edges: DataFrame, one: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``edges`` with the columns of ``one``, which has at most one row per key; null keys match."""
+    renamed = one.withColumnsRenamed({key: f"__o_{key}" for key in keys})
+    cond = reduce(Column.__and__, [F.col(key).eqNullSafe(F.col(f"__o_{key}")) for key in keys])
+    return edges.join(renamed, cond, "left").drop(*[f"__o_{key}" for key in keys])
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, ties: Sequence[str] = (),
            tiles: int | None = None) -> DataFrame:
     """Adds row_number, rank, dense_rank, percent_rank and, given ``tiles``, ntile."""
@@ -75,8 +83,9 @@ def _tile(row: Column, total: Column, tiles: int) -> Column:
     return F.when(row <= large_rows, in_large).otherwise(in_small).cast("int")
 
 
-def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: str) -> DataFrame:
-    """Adds lag, lead, first_value and last_value of ``value``; ``order`` must leave no ties."""
+def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: str,
+               nth: int = 1) -> DataFrame:
+    """Adds lag, lead, first_value, last_value and nth_value of ``value``; ``order`` must leave no ties."""
     rows = df.withColumn(BUCKET, bucket)
     rank = F.struct(*[F.col(name) for name in order])
     edges = rows.groupBy(*keys, BUCKET).agg(
@@ -85,12 +94,15 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
     along, whole = _along(keys), W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(
         W.unboundedPreceding, W.unboundedFollowing
     )
+    picked = top_per_group(df, keys, [F.col(name) for name in order], nth).filter(F.col("rn") == nth)
+    edges = _beside(edges, picked.select(*keys, F.struct(value).alias("__nth")), keys)
     edges = edges.select(
         *keys, BUCKET,
         F.lag("__last").over(along)[value].alias("__before"),
         F.lead("__first").over(along)[value].alias("__after"),
         F.struct(
-            F.first("__first").over(whole)[value].alias("first"), F.last("__last").over(whole)[value].alias("last")
+            F.first("__first").over(whole)[value].alias("first"), F.last("__last").over(whole)[value].alias("last"),
+            F.col("__nth")[value].alias("nth"),
         ).alias("__ends"),
     )
     markers = edges.select(
@@ -109,7 +121,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
         })
         .filter(F.col(MARK) == REAL)
         .select(*df.columns, "lag", "lead", F.col("__ends.first").alias("first_value"),
-                F.col("__ends.last").alias("last_value"))
+                F.col("__ends.last").alias("last_value"), F.col("__ends.nth").alias("nth_value"))
     )
 
 

@@ -177,7 +177,9 @@ def udtf_custom(spark, sf):
 def udtf_sql(spark, sf):
     register(
         spark, "shares",
-        "SELECT kind, round(price * part, 3) FROM VALUES ('net', 0.8D), ('tax', 0.2D) AS s(kind, part)",
+        """SELECT s.kind, s.amount FROM (SELECT explode(array(
+               named_struct('kind', 'net', 'amount', round(price * 0.8D, 3)),
+               named_struct('kind', 'tax', 'amount', round(price * 0.2D, 3)))) AS s)""",
         "kind string, amount double", "price double",
     )
     table(spark, sf, "orders").createOrReplaceTempView("udtf_orders")

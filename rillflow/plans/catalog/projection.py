@@ -1,5 +1,6 @@
 """Projections, filters, sorting, limits and set operations."""
 
+from ...operators.aggregates import except_rows, intersect_rows
 from ...operators.ordered import neighbours, ranked, sliding_range, sliding_rows, top_per_group
 from .base import F, cents, checked, number, table
 
@@ -128,10 +129,8 @@ def win_rank(spark, sf):
 def win_lag_lead(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
     day = F.date_trunc("day", F.col("ts").cast("timestamp"))
-    near = neighbours(rows, ["event_type"], ["ts", "event_id"], day, "value")
-    third = top_per_group(rows, ["event_type"], [F.col("ts"), F.col("event_id")], 3).filter("rn = 3").select(
-        "event_type", F.col("value").alias("nth_value"))
-    return near.join(third, "event_type", "left").select(
+    near = neighbours(rows, ["event_type"], ["ts", "event_id"], day, "value", nth=3)
+    return near.select(
         "event_id", "event_type", "lag", "lead", "first_value", "last_value", "nth_value")
 
 
@@ -221,8 +220,7 @@ def set_union(spark, sf):
 @checked(f"{PARTS}'A' INTERSECT {PARTS}'R'")
 def set_intersect(spark, sf):
     early, late = _parts(spark, sf)
-    # Distinct first, so that no pair reaches the join twice.
-    return early.distinct().intersect(late.distinct())
+    return intersect_rows(early, late)
 
 
 @checked(f"{PARTS}'A' INTERSECT ALL {PARTS}'R'")
@@ -234,7 +232,7 @@ def set_intersect_all(spark, sf):
 @checked(f"{PARTS}'A' EXCEPT {PARTS}'R'")
 def set_except(spark, sf):
     early, late = _parts(spark, sf)
-    return early.distinct().subtract(late.distinct())
+    return except_rows(early, late)
 
 
 @checked(f"{PARTS}'A' EXCEPT ALL {PARTS}'R'")

@@ -87,7 +87,7 @@ class ConsoleSink(Sink):
     def write(self, batch: DataFrame, batch_id: int) -> None:
         def show(rows: Iterable[Row]) -> None:
             for row in rows:
-                print(row[0])
+                print(row[0], flush=True)
 
         batch.select(row_text(batch)).foreachPartition(show)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from rillflow.operators import (
-    asof_join, distinct_set, hot_keys, interval_join, neighbours, range_join, ranked, session_totals, sliding_range,
+    asof_join, distinct_set, except_rows, hot_keys, intersect_rows, interval_join, neighbours, range_join, ranked, session_totals, sliding_range,
     sliding_rows, spread_join, top_per_group,
 )
 
@@ -48,8 +48,9 @@ def test_neighbours(rows):
     w = W.partitionBy("k").orderBy("pos", "id")
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     want = rows.select("*", F.lag("v").over(w).alias("lag"), F.lead("v").over(w).alias("lead"),
-                       F.first("v").over(whole).alias("first_value"), F.last("v").over(whole).alias("last_value"))
-    same(neighbours(rows, ["k"], ["pos", "id"], F.floor(F.col("pos") / 9), "v"), want)
+                       F.first("v").over(whole).alias("first_value"), F.last("v").over(whole).alias("last_value"),
+                       F.nth_value("v", 4).over(whole).alias("nth_value"))
+    same(neighbours(rows, ["k"], ["pos", "id"], F.floor(F.col("pos") / 9), "v", nth=4), want)
 
 
 @pytest.mark.parametrize("preceding", [1, 5, 40])
@@ -122,3 +123,10 @@ def test_sessions_with_hot_key(spark, rows):
 def test_distinct_set_keeps_null_last(spark):
     rows = spark.createDataFrame([("a", "y"), ("a", None), ("a", "x"), ("a", "y"), ("b", None)], "k string, v string")
     assert {r.k: r.s for r in distinct_set(rows, ["k"], "v", "s").collect()} == {"a": ["x", "y", None], "b": [None]}
+
+
+def test_set_operations_treat_nulls_as_equal(spark):
+    a = spark.createDataFrame([(1, None), (1, None), (2, "x"), (3, "y")], "n int, s string")
+    b = spark.createDataFrame([(1, None), (3, "y"), (4, "z")], "n int, s string")
+    same(intersect_rows(a, b), a.intersect(b))
+    same(except_rows(a, b), a.subtract(b))
