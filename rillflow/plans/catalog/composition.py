@@ -11,7 +11,7 @@ from .decoding import MESSAGE
 
 TOPIC = TableDef("topic1", [
     Col("_key", "varchar"), Col("_offset", "bigint"), Col("user_id", "varchar"), Col("store", "double"),
-    Col("event_time", "bigint", "$.conntent.event_time"),
+    Col("event_time", "bigint", "$.content.event_time"),
 ])
 
 

@@ -5,14 +5,14 @@ from ...operators.decode import decode, quarantine
 from ...schema import Col, TableDef
 from .base import F, checked, envelopes, table
 
-# Messages of the shape {"user_id", "ip", "store", "conntent": {"ip", "event_time"}, "tags", "attrs", "items"}.
+# Messages of the shape {"user_id", "ip", "store", "content": {"ip", "event_time"}, "tags", "attrs", "items"}.
 MESSAGE = """
     to_json(named_struct(
         'user_id', concat('uid_', user_id),
         'store', value,
         'n', event_id,
         'flag', event_id % 2 = 0,
-        'conntent', named_struct('ip', concat('10.0.0.', user_id % 256), 'event_time', unix_millis(cast(ts as timestamp))),
+        'content', named_struct('ip', concat('10.0.0.', user_id % 256), 'event_time', unix_millis(cast(ts as timestamp))),
         'tags', array(event_type, concat('t', user_id % 7)),
         'attrs', map('kind', event_type, 'user', cast(user_id as string)),
         'items', array(named_struct('b', user_id), named_struct('b', event_id % 10)),
@@ -58,9 +58,9 @@ def decode_json_default(spark, sf):
 """)
 def decode_json_extend(spark, sf):
     return _decoded(spark, sf, [
-        Col("ip", "varchar", "$.conntent.ip"), Col("event_time", "bigint", "$.conntent.event_time"),
+        Col("ip", "varchar", "$.content.ip"), Col("event_time", "bigint", "$.content.event_time"),
         Col("first_tag", "varchar", "$.tags[0]"), Col("uid", "varchar", "$.user_id"),
-        Col("lost", "varchar", "$.conntent.nothing"),
+        Col("lost", "varchar", "$.content.nothing"),
     ])
 
 
@@ -138,10 +138,10 @@ def decode_quarantine(spark, sf):
 def json_get_paths(spark, sf):
     m = F.col("message")
     return _messages(spark, sf).select(
-        "event_id", json_get(m, "$.conntent.ip").alias("ip"),
+        "event_id", json_get(m, "$.content.ip").alias("ip"),
         (json_get(m, "$.flag") == "true").alias("flag"), json_get(m, "$.tags").alias("tags"),
-        json_get(m, "$.conntent.nothing").alias("missing"), json_get(m, "conntent.ip").alias("no_root"),
-        json_get(m, "$conntent").alias("bad_start"),
+        json_get(m, "$.content.nothing").alias("missing"), json_get(m, "content.ip").alias("no_root"),
+        json_get(m, "$content").alias("bad_start"),
         json_get(F.substring(m, 1, 20), "$.user_id").alias("broken"),
     )
 

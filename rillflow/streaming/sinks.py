@@ -81,13 +81,22 @@ class CompleteSink(ParquetSink):
         return rows.filter(F.col(BATCH) == newest).drop(BATCH)
 
 
+def _print(line: str) -> None:
+    print(line, flush=True)
+
+
 class ConsoleSink(Sink):
-    """Prints each row where it lives, values joined by commas."""
+    """Prints each row on the executor that holds it, values joined by commas."""
+
+    def __init__(self, emit: Callable[[str], None] = _print):
+        self.emit = emit
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
+        emit = self.emit
+
         def show(rows: Iterable[Row]) -> None:
             for row in rows:
-                print(row[0], flush=True)
+                emit(row[0])
 
         batch.select(row_text(batch)).foreachPartition(show)
 

@@ -1,5 +1,4 @@
 import sys
-import time
 from pathlib import Path
 
 import pytest
@@ -25,14 +24,3 @@ def spark(tmp_path_factory):
 @pytest.fixture
 def folder(tmp_path):
     return f"file:{tmp_path}/out"
-
-
-def printed(capfd, *texts):
-    """Whether tasks print ``texts``; their output arrives with some delay."""
-    seen = ""
-    for _ in range(50):
-        seen += "".join(capfd.readouterr())
-        if all(text in seen for text in texts):
-            return True
-        time.sleep(0.1)
-    return False
