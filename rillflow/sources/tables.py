@@ -11,12 +11,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def replay(spark: SparkSession, folder: str, name: str, max_bytes: str | None = None) -> DataFrame:
+def replay(spark: SparkSession, folder: str, name: str, max_bytes: int | None = None) -> DataFrame:
     """The table as a stream with the same rows.
 
     A table that is a folder of part files is watched itself; a single file is
     picked out of its parent by name, as file streams only watch folders.
-    ``max_bytes`` bounds each micro-batch (for example ``"500g"``).
+    ``max_bytes`` bounds each micro-batch.
     """
     path = f"{folder}/{name}.parquet"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
