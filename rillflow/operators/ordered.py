@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET, MARK = "__bucket", "__mark"
 HEAD, REAL, TAIL = 0, 1, 2
@@ -160,27 +161,45 @@ def sliding_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
 
 def sliding_range(df: DataFrame, keys: Sequence[str], order: str, value: str, preceding: int, width: int,
                   totals: dict[str, str]) -> DataFrame:
-    """Aggregates over RANGE BETWEEN ``preceding`` PRECEDING AND CURRENT ROW of a whole-number order.
+    """``sum`` and ``count`` over RANGE BETWEEN ``preceding`` PRECEDING AND CURRENT ROW of a whole-number order.
 
-    Buckets are ``width`` wide, at least ``preceding``, so that a row is
-    needed by its own bucket and at most by the next one.
+    A value enters at its position and leaves ``preceding + 1`` later, so a
+    frame is a running total of what entered less what left, and its cost
+    does not grow with the rows in a frame. ``width`` is that of the buckets.
+    Taking back is exact for whole numbers and decimals only.
     """
-    if width < preceding:
-        raise ValueError("width must be at least the preceding range")
-    slot = F.floor(F.col(order) / F.lit(width)).cast("bigint")
-    rows = df.withColumn(BUCKET, slot).withColumn(MARK, F.lit(REAL))
-    carried = (
-        rows.filter(F.col(order) >= (F.col(BUCKET) + 1) * width - preceding)
-        .select(*keys, order, *([] if value == order else [value]), (F.col(BUCKET) + 1).alias(BUCKET),
-                F.lit(HEAD).alias(MARK))
+    kind = df.schema[value].dataType
+    if not isinstance(kind, (T.IntegralType, T.DecimalType)) or set(totals.values()) - {"sum", "count"}:
+        raise ValueError("sliding_range takes sum and count of whole numbers or decimals")
+    slot = F.floor(F.col("__pos") / F.lit(width)).cast("bigint")
+    entered = df.select(
+        "*", F.lit(REAL).alias(MARK), F.col(order).cast("bigint").alias("__pos"),
+        F.coalesce(F.col(value), F.lit(0)).alias("__sum"), F.col(value).isNotNull().cast("bigint").alias("__cnt"),
     )
-    both = rows.unionByName(carried, allowMissingColumns=True)
-    frame = W.partitionBy(*keys, BUCKET).orderBy(order).rangeBetween(-preceding, 0)
-    return (
-        both.withColumns({name: F.expr(f"{fn}(`{value}`)").over(frame) for name, fn in totals.items()})
-        .filter(F.col(MARK) == REAL)
-        .select(*df.columns, *totals)
+    left = (
+        entered.filter(F.col(order).isNotNull())
+        .groupBy(*keys, (F.col("__pos") + (preceding + 1)).alias("__pos"))
+        .agg((-F.sum("__sum")).alias("__sum"), (-F.sum("__cnt")).alias("__cnt"))
+        .withColumn(MARK, F.lit(TAIL))
+    )
+    moves = [part.select(*keys, slot.alias(BUCKET), "__sum", "__cnt", "__pos") for part in (entered, left)]
+    before = _along(keys).rowsBetween(W.unboundedPreceding, -1)
+    heads = (
+        moves[0].unionByName(moves[1]).filter(F.col("__pos").isNotNull())
+        .groupBy(*keys, BUCKET).agg(F.sum("__sum").alias("__sum"), F.sum("__cnt").alias("__cnt"))
+        .select(*keys, BUCKET, F.sum("__sum").over(before).alias("__sum"), F.sum("__cnt").over(before).alias("__cnt"),
+                F.lit(HEAD).alias(MARK), (F.col(BUCKET) * width).alias("__pos"))
+    )
+    both = (
+        entered.withColumn(BUCKET, slot)
+        .unionByName(left.withColumn(BUCKET, slot), allowMissingColumns=True)
+        .unionByName(heads, allowMissingColumns=True)
     )
+    sofar = W.partitionBy(*keys, BUCKET).orderBy("__pos").rangeBetween(W.unboundedPreceding, 0)
+    running = both.withColumns({"__sum": F.sum("__sum").over(sofar), "__cnt": F.sum("__cnt").over(sofar)})
+    results = {"sum": F.when(F.col("__cnt") > 0, F.col("__sum")), "count": F.col("__cnt")}
+    return running.filter(F.col(MARK) == REAL).select(
+        *df.columns, *[results[fn].alias(name) for name, fn in totals.items()])
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], count: int) -> DataFrame:

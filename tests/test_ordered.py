@@ -62,12 +62,17 @@ def test_rows_frame(rows, preceding):
     same(got, want)
 
 
-def test_range_frame(rows):
+def test_range_frame(spark, rows):
+    holes = rows.select("id", "k", F.when(F.col("id") % 11 != 0, F.col("pos")).alias("pos"),
+                        F.when(F.col("id") % 5 != 0, F.col("v")).alias("v"))
     w = W.partitionBy("k").orderBy("pos").rangeBetween(-20, 0)
-    want = rows.select("*", F.sum("v").over(w).alias("s"), F.count("v").over(w).alias("n"))
-    same(sliding_range(rows, ["k"], "pos", "v", 20, 25, {"s": "sum", "n": "count"}), want)
+    want = holes.select("*", F.sum("v").over(w).alias("s"), F.count("v").over(w).alias("n"))
+    for width in (7, 20, 1000):
+        same(sliding_range(holes, ["k"], "pos", "v", 20, width, {"s": "sum", "n": "count"}), want)
     with pytest.raises(ValueError):
-        sliding_range(rows, ["k"], "pos", "v", 20, 5, {"s": "sum"})
+        sliding_range(rows, ["k"], "pos", "v", 20, 5, {"s": "max"})
+    with pytest.raises(ValueError):
+        sliding_range(rows.withColumn("v", F.lit(1.5)), ["k"], "pos", "v", 20, 5, {"s": "sum"})
 
 
 def test_top_per_group_limits_before_the_shuffle(rows):
