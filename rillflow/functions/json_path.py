@@ -134,8 +134,8 @@ def _builtin_path(parts: list[_Part]) -> str:
     return "$" + "".join(part.builtin() for part in parts)
 
 
-def _from_list(json: Column, path: str, positions: list[str], rest: list[_Part]) -> tuple[Column, Column]:
-    """Whether ``path`` ends at a list, and what the remaining steps find in it."""
+def _from_list(json: Column, path: str, positions: list[str], rest: list[_Part]) -> Column:
+    """What the remaining steps find in the list at ``path``; null if there is no list."""
 
     def walk(text: Column) -> Column:
         if positions:
@@ -146,7 +146,23 @@ def _from_list(json: Column, path: str, positions: list[str], rest: list[_Part])
                 text = _follow_positions(text, part.positions)
         return _let(text, _plain)
 
-    return F.get_json_object(json, f"{path}[*]").isNotNull(), _let(F.get_json_object(json, path), walk)
+    stepwise = F.when(F.get_json_object(json, f"{path}[*]").isNotNull(), _let(F.get_json_object(json, path), walk))
+    # After a fixed position the built-in leaves a lone hit of [*] in its list.
+    lone_hits_stand_alone = positions == ["*"] and not POSITION.search(path.replace("[*]", ""))
+    if lone_hits_stand_alone and not rest:
+        return _let(F.get_json_object(json, f"{path}[*]"), _plain)
+    if not (lone_hits_stand_alone or not positions) or len(rest) != 1 or rest[0].positions:
+        return stepwise
+
+    def from_hits(hits: Column) -> Column:
+        # A list without further lists in it needs no opening, whether it holds all hits or is the only one.
+        flat = hits.startswith("[") & (F.locate("[", hits, 2) == 0) & (hits != "[]")
+        out = F.when(flat, hits)
+        if not positions:
+            out = out.when(hits == "[]", F.lit(None)).when(~hits.startswith("["), F.concat(F.lit("["), hits, F.lit("]")))
+        return out.when(hits.isNotNull(), stepwise)
+
+    return _let(F.get_json_object(json, f"{path}[*]['{rest[0].key}']"), from_hits)
 
 
 def json_get(json: Column, path: str) -> Column:
@@ -170,13 +186,9 @@ def json_get(json: Column, path: str) -> Column:
         lead = parts[star].positions.index("*")
         before = _builtin_path(parts[:star]) + parts[star].builtin(lead)
         stops.append(_from_list(json, before, parts[star].positions[lead:], parts[star + 1:]))
-    followed = None
-    for stop, found in stops:
-        followed = F.when(stop, found) if followed is None else followed.when(stop, found)
-    if star is not None:
-        return followed
-    direct = F.get_json_object(json, _builtin_path(parts))
-    return direct if followed is None else F.coalesce(direct, followed)
+    if star is None:
+        stops.insert(0, F.get_json_object(json, _builtin_path(parts)))
+    return F.coalesce(*stops)
 
 
 STEP = re.compile(r"\.([^.\[\]]+)|\[([0-9]+|\*)\]|\['([^']+)'\]")

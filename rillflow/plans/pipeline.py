@@ -20,7 +20,7 @@ from ..sources.custom import connect
 from ..sources.envelope import ENVELOPE
 from ..streaming import eventtime
 from ..streaming.runtime import Target, fan_out, start
-from ..streaming.sinks import ConsoleSink, Sink
+from ..streaming.sinks import ConsoleSink, Sink, named_sink
 
 Query = str | DataFrame
 
@@ -30,8 +30,9 @@ class _Insert:
     name: str
     df: DataFrame
     sink: Target
-    mode: str | None
-    every: str | None
+    mode: str | None = None
+    every: str | None = None
+    checkpoint: str | None = None
 
 
 class Pipeline:
@@ -85,7 +86,14 @@ class Pipeline:
     def function(self, name: str, what, returns: str | None = None, params: str | None = None) -> None:
         register(self.spark, name, what, returns, params)
 
-    def sink(self, table: TableDef, target: Target) -> None:
+    def sink(self, table: TableDef, target: Target | str) -> None:
+        """A sink table; ``target`` is a sink, a connector name or a callable that starts the query.
+
+        The table options ``outputMode``, ``name``, ``every`` and
+        ``checkpoint`` set how its queries run.
+        """
+        if isinstance(target, str):
+            target = named_sink(target, table.options, [col.name for col in table.columns])
         if table.name in self.sinks:
             raise ValueError(f"sink {table.name} is declared twice")
         self.sinks[table.name] = (table, target)
@@ -106,13 +114,14 @@ class Pipeline:
         df = fit_to_sink(self.query(query), table.struct(), columns)
         mode = mode or table.options.get("outputMode") or ("update" if fire_every else None)
         label = table.options.get("name") or f"{name}_{len(self.inserts)}"
-        self.inserts.append(_Insert(label, df, target, mode, fire_every or table.options.get("every")))
+        every = fire_every or table.options.get("every")
+        self.inserts.append(_Insert(label, df, target, mode, every, table.options.get("checkpoint")))
         return df
 
-    def select(self, query: Query) -> DataFrame:
+    def select(self, query: Query, mode: str | None = None) -> DataFrame:
         """A bare select: its rows are printed."""
         df = self.query(query)
-        self.inserts.append(_Insert(f"select_{len(self.inserts)}", df, ConsoleSink(), None, None))
+        self.inserts.append(_Insert(f"select_{len(self.inserts)}", df, ConsoleSink(), mode))
         return df
 
     def start(self) -> list[StreamingQuery]:
@@ -121,8 +130,8 @@ class Pipeline:
         running = []
         for insert in self.inserts:
             if insert.df.isStreaming:
-                running.append(start(insert.df, insert.sink, f"{root}/{insert.name}", insert.mode, insert.every,
-                                     insert.name))
+                state = insert.checkpoint or f"{root}/{insert.name}"
+                running.append(start(insert.df, insert.sink, state, insert.mode, insert.every, insert.name))
             elif isinstance(insert.sink, Sink):
                 insert.sink.write(insert.df, 0)
             else:
@@ -137,7 +146,7 @@ class Pipeline:
     def fan_out(self, source: DataFrame, branches: list[tuple[Callable[[DataFrame], DataFrame], Sink]],
                 name: str = "fan_out") -> None:
         """One query over ``source`` whose batches feed several sinks."""
-        self.inserts.append(_Insert(name, source, fan_out(branches), None, None))
+        self.inserts.append(_Insert(name, source, fan_out(branches)))
 
 
 __all__ = ["Col", "Pipeline", "TableDef", "Watermark"]

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource
 
 from .envelope import kafka_source
+from .lines import socket_lines
 
 Reader = Callable[[SparkSession, dict, T.StructType], DataFrame]
 
@@ -45,3 +46,8 @@ def connect(spark: SparkSession, name: str, options: dict, schema: T.StructType,
 @connector("kafka")
 def _kafka(spark: SparkSession, options: dict, schema: T.StructType) -> DataFrame:
     return kafka_source(spark, options)
+
+
+@connector("socket")
+def _socket(spark: SparkSession, options: dict, schema: T.StructType) -> DataFrame:
+    return socket_lines(spark, options)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,12 @@ def tagged_union(origins: Iterable[tuple[str, int]], read: Callable[[str, int],
         for host, port in origins
     ]
     return reduce(DataFrame.unionByName, frames)
+
+
+def socket_lines(spark: SparkSession, options: dict) -> DataFrame:
+    """Lines of all hosts in ``socket_hosts`` as ``host, port, value``."""
+
+    def read(host: str, port: int) -> DataFrame:
+        return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+    return tagged_union(split_hosts(options.get("socket_hosts") or ""), read)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.coerce import row_text
-from ..operators.mutate import latest_by_key
+from ..operators.mutate import latest_by_key, merge_into
 
 BATCH = "batch_id"
 
@@ -137,6 +137,24 @@ class JdbcSink(Sink):
         batch.write.format("jdbc").options(**self.options).mode("append").save()
 
 
+class MergeSink(Sink):
+    """Applies batches to a catalog table that supports row-level changes.
+
+    ``change`` is insert, upsert, update or delete. ``order`` picks the last row
+    of a key within a batch.
+    """
+
+    mode = "update"
+
+    def __init__(self, table: str, keys: Sequence[str], order: Sequence[str], change: str = "upsert"):
+        if change not in ("insert", "upsert", "update", "delete"):
+            raise ValueError(f"unknown change {change!r}")
+        self.table, self.keys, self.order, self.change = table, list(keys), list(order), change
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        merge_into(batch, self.table, self.keys, self.order, self.change)
+
+
 class RowWriter:
     """Row-wise output of one partition.
 
@@ -253,3 +271,23 @@ class RowSink(Sink):
             _write_rows(make(), rows, TaskContext.get().partitionId(), batch_id)
 
         batch.foreachPartition(feed)
+
+
+def named_sink(name: str, options: dict, columns: Sequence[str]) -> Sink:
+    """A sink by connector name: ``console``, or ``jdbc`` into a ``table`` or by a ``query`` template.
+
+    A template needs ``connect``, a callable that opens a DB-API connection.
+    """
+    if name == "console":
+        return ConsoleSink()
+    if name != "jdbc":
+        raise ValueError(f"unknown sink connector {name!r}")
+    size = int(options.get("batchSize", 5000))
+    if options.get("table"):
+        return JdbcSink(options["url"], options["table"], options["userName"], options["password"], size,
+                        options.get("driver"))
+    if not options.get("query") or not options.get("connect"):
+        raise ValueError("a jdbc sink needs a table, or a query with connect")
+    connect, query, mark = options["connect"], options["query"], options.get("placeholder", "?")
+    bind_parameters(query, columns, mark)
+    return RowSink(lambda: StatementWriter(connect, query, columns, size, mark))

@@ -7,6 +7,10 @@ LISTS = ('{"a":[{"b":1},{"b":[2,3,null]},5,{"b":null},{"b":"x"},{"c":1}],"n":nul
          '"o":{"z":1,"y":12.5},"deep":[{"a":[{"b":1},{"b":2}]},{"a":{"b":3}}],"one":[{"k":{"z":2,"a":1}}],'
          '"quo":["a\\"b","[x]","{y}",null],"a b:c-d":7}')
 
+NESTED = ('{"rows":[[{"b":7}]],"two":[{"b":[[1],[2]]}],"pair":[{"b":[1]},{"b":[2]}],"empty":[{"b":[]}],"empties":[{"b":[]},{"b":[]}],'
+          '"text":[{"b":"[x]"},{"b":1}],"lone":[{"b":"s"}],"half":[{"b":1},{"c":2}],"words":["w"],"nothing":[],'
+          '"nul":[null],"str":"[{\\"b\\":1}]"}')
+
 CASES = [
     (DOC, "$.key1.key2", "123"),
     (DOC, "$.key2.key2", None),
@@ -40,6 +44,25 @@ CASES = [
     (LISTS, "$.o[0]", None),
     (LISTS, "$.deep.a.b", "[1,2,3]"),
     (LISTS, "$.deep[*].a[0].b", "1"),
+    (NESTED, "$.rows[0].b", "[7]"),
+    (NESTED, "$.rows[0][*].b", "7"),
+    (NESTED, "$.rows[0][*]", '{"b":7}'),
+    (NESTED, "$.two.b", '[[1],[2]]'),
+    (NESTED, "$.pair.b", "[1,2]"),
+    (NESTED, "$.empty.b", None),
+    (NESTED, "$.empty[*].b", "[]"),
+    (NESTED, "$.empties.b", None),
+    (NESTED, "$.text.b", '["[x]",1]'),
+    (NESTED, "$.lone.b", '["s"]'),
+    (NESTED, "$.lone[*].b", "s"),
+    (NESTED, "$.half[*].b", "[1]"),
+    (NESTED, "$.half.b", "[1]"),
+    (NESTED, "$.half[*]", '[{"b":1},{"c":2}]'),
+    (NESTED, "$.lone[*]", '{"b":"s"}'),
+    (NESTED, "$.words[*]", "w"),
+    (NESTED, "$.nothing[*]", None),
+    (NESTED, "$.nul[*]", None),
+    (NESTED, "$.str.b", None),
     (LISTS, "$.one.k", '[{"z":2,"a":1}]'),
     (LISTS, "$.one[*].k", '{"z":2,"a":1}'),
     (LISTS, "$.quo[0]", 'a"b'),

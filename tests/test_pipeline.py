@@ -11,7 +11,7 @@ from rillflow.functions import Accumulator, aggregate_by, register
 from rillflow.plans.catalog.functions import Spread
 from rillflow.session import scratch
 from rillflow.sources import ENVELOPE, connect, connector
-from rillflow.streaming import ConsoleSink, ParquetSink
+from rillflow.streaming import CompleteSink, ConsoleSink, ParquetSink
 from rillflow.streaming.eventtime import event_time, interval
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -101,6 +101,26 @@ def test_many_inserts_have_their_own_checkpoints(spark, job, folder):
     assert (a.read(spark).count(), b.read(spark).count()) == (4, 2)
 
 
+def test_sink_options_name_the_query_and_its_state(spark, job, folder):
+    spark.range(4).write.parquet(folder)
+    state, sink = scratch(spark, "own-state"), CompleteSink(folder + "-out")
+    job.source(TableDef("feed", [("id", "bigint")]), spark.readStream.schema("id bigint").parquet(folder))
+    job.sink(TableDef("out", [("n", "bigint")], options={
+        "outputMode": "complete", "name": "counted", "checkpoint": state}), sink)
+    job.insert_into("out", "SELECT count(*) FROM feed")
+    query, = job.start()
+    query.awaitTermination()
+    assert query.name == "counted" and sink.read(spark).first().n == 4
+    assert spark.read.text(state + "/metadata").count() == 1
+
+
+def test_line_source_knows_its_hosts(spark):
+    lines = connect(spark, "socket", {"socket_hosts": "a:1,b:2"}, None)
+    assert lines.isStreaming and lines.columns == ["host", "port", "value"]
+    with pytest.raises(ValueError):
+        connect(spark, "socket", {}, None)
+
+
 class Numbers(DataSource):
     @classmethod
     def name(cls):

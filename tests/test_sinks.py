@@ -4,7 +4,7 @@ from rillflow.operators import mutate
 from rillflow.operators.coerce import to_store
 from rillflow.schema import SchemaError
 from rillflow.streaming import ConsoleSink, JdbcSink, ParquetSink, RowSink, RowWriter, StatementWriter
-from rillflow.streaming import ChangelogSink, bind_parameters, fan_out
+from rillflow.streaming import ChangelogSink, MergeSink, bind_parameters, fan_out, named_sink
 from rillflow.streaming.sinks import LinesWriter, _write_rows
 
 
@@ -93,6 +93,22 @@ def test_jdbc_options():
                             "batchsize": "10", "driver": "d", "numPartitions": "4"}
 
 
+def test_sinks_by_name():
+    assert isinstance(named_sink("console", {}, []), ConsoleSink)
+    login = {"url": "jdbc:mysql://h/db", "userName": "u", "password": "p"}
+    assert named_sink("jdbc", {**login, "table": "t"}, ["a"]).options["batchsize"] == "5000"
+    made = Recorder()
+    rows = named_sink("jdbc", {**login, "query": "insert into t values (${0})", "connect": lambda: made,
+                               "batchSize": 3}, ["a"])
+    writer = rows.make()
+    assert isinstance(writer, StatementWriter) and writer.batch_size == 3
+    for name, options in (("jdbc", login), ("jdbc", {**login, "query": "x ${b}", "connect": print}), ("other", {})):
+        with pytest.raises(ValueError):
+            named_sink(name, options, ["a"])
+    with pytest.raises(ValueError):
+        MergeSink("t", ["k"], ["seq"], "replace")
+
+
 def test_console_prints_joined_rows(spark, tmp_path):
     shown = str(tmp_path / "shown")
 
