@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -158,13 +157,24 @@ def _from_list(json: Column, path: str, positions: list[str], rest: list[_Part])
         # A list without further lists in it needs no opening, whether it holds all hits or is the only one.
         flat = hits.startswith("[") & (F.locate("[", hits, 2) == 0) & (hits != "[]")
         out = F.when(flat, hits)
-        if not positions:
-            out = out.when(hits == "[]", F.lit(None)).when(~hits.startswith("["), F.concat(F.lit("["), hits, F.lit("]")))
+        if positions:
+            # No hit is no answer yet: the only element may be a list of objects.
+            return out.otherwise(stepwise)
+        out = out.when(hits == "[]", F.lit(None)).when(~hits.startswith("["), F.concat(F.lit("["), hits, F.lit("]")))
         return out.when(hits.isNotNull(), stepwise)
 
     return _let(F.get_json_object(json, f"{path}[*]['{rest[0].key}']"), from_hits)
 
 
+def _direct(json: Column, parts: list[_Part]) -> Column:
+    """The answer of the built-in; at a position it shows a JSON null as text."""
+    path = _builtin_path(parts)
+    found = F.get_json_object(json, path)
+    if not parts[-1].positions:
+        return found
+    return _let(found, lambda f: F.when(f == "null", _plain(_boxed(json, path[1:]))).otherwise(f))
+
+
 def json_get(json: Column, path: str) -> Column:
     """Text at ``path``: scalars plain, objects and lists as JSON, null when missing.
 
@@ -187,7 +197,7 @@ def json_get(json: Column, path: str) -> Column:
         before = _builtin_path(parts[:star]) + parts[star].builtin(lead)
         stops.append(_from_list(json, before, parts[star].positions[lead:], parts[star + 1:]))
     if star is None:
-        stops.insert(0, F.get_json_object(json, _builtin_path(parts)))
+        stops.insert(0, _direct(json, parts))
     return F.coalesce(*stops)
 
 
@@ -203,7 +213,11 @@ def json_read(json: Column, path: str) -> Column:
         raise ValueError(f"cannot read JSON path {path!r}")
     steps = [(named or quoted, position) for named, position, quoted in STEP.findall(path[1:])]
     if ("", "*") not in steps:
-        return F.get_json_object(json, "$" + "".join(f"['{key}']" if key else f"[{at}]" for key, at in steps))
+        direct = "".join(f"['{key}']" if key else f"[{at}]" for key, at in steps)
+        found = F.get_json_object(json, f"${direct}")
+        if not steps or steps[-1][0]:
+            return found
+        return _let(found, lambda f: F.when(f == "null", _plain(_boxed(json, direct))).otherwise(f))
     hits = F.filter(F.array(F.get_json_object(json, "$")), lambda t: t.isNotNull())
     for number, (key, position) in enumerate(steps, 1):
         if position == "*":

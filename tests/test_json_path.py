@@ -44,6 +44,10 @@ CASES = [
     (LISTS, "$.o[0]", None),
     (LISTS, "$.deep.a.b", "[1,2,3]"),
     (LISTS, "$.deep[*].a[0].b", "1"),
+    (NESTED, "$.nul[0]", None),
+    ('{"a":["null",null]}', "$.a[0]", "null"),
+    ('{"a":["null",null]}', "$.a[1]", None),
+    ('[[{"a":1}]]', "$[*].a", "[1]"),
     (NESTED, "$.rows[0].b", "[7]"),
     (NESTED, "$.rows[0][*].b", "7"),
     (NESTED, "$.rows[0][*]", '{"b":7}'),
