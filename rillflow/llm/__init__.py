@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline, and their queries."""
 
-from . import arc, packing, prefix_tree, simhash_grid
+from . import arc, debruijn, packing, prefix_tree, simhash_grid
 from .common import CATALOG
 
 __all__ = ["CATALOG"]

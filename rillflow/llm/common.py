@@ -74,7 +74,7 @@ class BitFilter:
         bits = hashes.select(F.col("h").bitwiseAND(mask).alias("bit")).distinct()
         groups = bits.groupBy(F.floor(F.col("bit") / block).alias("block"))
 
-        def build(key, group: pa.Table) -> pa.Table:
+        def build(key, group):
             flags = np.zeros(block, dtype=np.uint8)
             flags[group.column("bit").to_numpy() % block] = 1
             return pa.table({"block": pa.array([key[0].as_py()], pa.int64()),
