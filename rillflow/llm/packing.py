@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -17,20 +19,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, query, table, texts, words_of, written
+from .common import Batches, query, table, texts, written
 
-CACHED_WORDS = 300_000          # encoded words that a worker keeps at most
+CACHED_WORDS = 800_000          # encoded words that a worker keeps at most, about 200 bytes each
+MARKS = b".,!?;:"
 
 STREAM = "part int, place long, doc_id long, start long, n long, ids binary"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, boundary boolean, ids binary")
 
 
+@lru_cache(maxsize=1)
 def encoder(path: str):
-    """A function from texts to little-endian ids.
+    """A function from texts to little-endian ids, one for all tasks of a worker.
 
-    This tokenizer drops white space and lets no token cross it, so a text's ids are those of its words in order, and
-    each worker encodes a word only once while it remembers it. Special tokens in a text keep their own ids.
+    This tokenizer lower-cases, drops white space and lets no token cross it, nor cross from a letter to a mark. So a
+    text's ids are those of its words in order, and a worker encodes a word once while it remembers it, the mark
+    that ends it apart. Special tokens in a text keep their own ids; as case matters to them, a text that may hold
+    one is not lower-cased beforehand.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -38,20 +44,27 @@ def encoder(path: str):
     model = Tokenizer.from_file(path)
     known: dict[bytes, bytes] = {}
 
-    def learn(missing: list[bytes]) -> None:
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        for word, got in zip(missing, model.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)):
-            known[word] = np.array(got.ids, dtype="<u4").tobytes()
+    def marked(word: bytes) -> bool:
+        return len(word) > 1 and word[-1] in MARKS and 97 <= word[-2] <= 122
+
+    def learn(words: set[bytes]) -> None:
+        stems = {w[:-1] if marked(w) else w for w in words} | {w[-1:] for w in words if marked(w)}
+        new = [w for w in stems if w not in known]
+        for word, got in zip(new, model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+            known[word] = array("I", got.ids).tobytes()
+        for word in words:
+            if marked(word):
+                known[word] = known[word[:-1]] + known[word[-1:]]
 
     def encode(text: str | None) -> bytes:
-        words = words_of(text)
+        data = (text or "").encode()
+        words = data.split() if b"<|" in data else data.lower().split()
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            # a word may be forgotten while the text's own new words are learned: then all its words are learned
-            new = [w for w in set(words) if w not in known]
-            learn(new if len(known) <= CACHED_WORDS else list(set(words)))
+            if len(known) > CACHED_WORDS:
+                known.clear()
+            learn({w for w in words if w not in known})
             return b"".join([known[w] for w in words])
 
     return encode
@@ -102,9 +115,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, i
     stream = written(token_stream(texts(docs, id_col, text_col), tokenizer, end_id), "stream")
     totals = stream.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # a row for each partition of the input: small at any size, and the planner checks it before it is broadcast
+    # a row of 16 bytes for each partition of the input: a few MB at 100 TB, so it may be broadcast
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = stream.join(bases, "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "n", "ids")
+    placed = stream.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "n", "ids")
 
     def cut(batches: Batches) -> Batches:
         for batch in batches:
