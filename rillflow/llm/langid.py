@@ -182,6 +182,44 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+class Guesser:
+    """Language and its probability for texts; a worker scores a word once while it remembers it."""
+
+    def __init__(self, vocabulary: dict[str, int], langs: list[str], p: np.ndarray):
+        self.lattice, self.langs, self.p = Lattice(vocabulary), langs, p
+        self.rows: dict[str, int] = {}
+        self.scores = np.empty((0, len(langs)))
+
+    def __call__(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        found = [letter_runs(x.as_py()) for x in texts] if self.langs else [[]] * len(texts)
+        if len(self.rows) > SCORED:
+            self.rows, self.scores = {}, self.scores[:0]
+        new = list({w for words in found for w in words if w not in self.rows})
+        self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.scores = np.concatenate([self.scores, self.lattice.score([START + w for w in new], self.p)])
+        best, sure = [], []
+        for words in found:
+            if not words:
+                best.append("und")
+                sure.append(0.0)
+                continue
+            at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+            total = self.scores[at].sum(axis=0)
+            top = int(total.argmax())
+            best.append(self.langs[top])
+            sure.append(float(1 / np.exp(total - total[top]).sum()))
+        return best, sure
+
+
+def trained(docs: DataFrame, vocabulary_path: str, rounds: int):
+    """The model learned from (doc_id, text, lang), broadcast: its size is that of vocabulary times languages."""
+    train = docs.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("lang").isNotNull()
+                       & F.col("text").isNotNull())
+    vocabulary = pieces(vocabulary_path)
+    langs, p = learn(written(word_counts(train), "words"), vocabulary, rounds)
+    return docs.sparkSession.sparkContext.broadcast((vocabulary, langs, p))
+
+
 def identify(docs: DataFrame, vocabulary_path: str, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row.
@@ -191,35 +229,14 @@ def identify(docs: DataFrame, vocabulary_path: str, rounds: int = 2, id_col: str
     ties go to the language that comes first by name. Texts that are null or hold no letter are ``und`` with score 0,
     and so is every text if there is nothing to learn from. Null ids are never learned from and are not held out.
     """
-    spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"),
                        docs[lang_col].cast("string").alias("lang"))
-    train = docs.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("lang").isNotNull()
-                       & F.col("text").isNotNull())
-    vocabulary = pieces(vocabulary_path)
-    langs, p = learn(written(word_counts(train), "words"), vocabulary, rounds)
-    shared = spark.sparkContext.broadcast((vocabulary, langs, p))
+    shared = trained(docs, vocabulary_path, rounds)
 
     def predict(batches: Batches) -> Batches:
-        vocabulary, langs, p = shared.value
-        lattice, rows, scores = Lattice(vocabulary), {}, np.empty((0, len(langs)))
+        guess = Guesser(*shared.value)
         for batch in batches:
-            found = [letter_runs(x.as_py()) for x in batch.column(2)] if langs else [[]] * len(batch)
-            if len(rows) > SCORED:
-                rows, scores = {}, scores[:0]
-            new = list({w for words in found for w in words if w not in rows})
-            rows.update(zip(new, range(len(rows), len(rows) + len(new))))
-            scores = np.concatenate([scores, lattice.score([START + w for w in new], p)])
-            best, sure = [], []
-            for words in found:
-                if not words:
-                    best.append("und")
-                    sure.append(0.0)
-                    continue
-                total = scores[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                top = int(total.argmax())
-                best.append(langs[top])
-                sure.append(float(1 / np.exp(total - total[top]).sum()))
+            best, sure = guess(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()),
                                               pa.array(sure, pa.float64())],
                                              ["doc_id", "held_out", "lang_pred", "score"])
@@ -228,6 +245,28 @@ def identify(docs: DataFrame, vocabulary_path: str, rounds: int = 2, id_col: str
     return given.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, vocabulary_path: str, least: float = 0.5, rounds: int = 2) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, ...), unchanged, whose text is in a learned language.
+
+    Rejected are texts without a letter and those whose best language has a probability below ``least``. Where nothing
+    could be learned no row is rejected for its language, only for having no letter.
+    """
+    shared = trained(docs.select(docs["doc_id"].cast("long"), docs["text"], docs["lang"]), vocabulary_path, rounds)
+
+    def keep(batches: Batches) -> Batches:
+        guess = Guesser(*shared.value)
+        for batch in batches:
+            text = batch.column("text")
+            if guess.langs:
+                best, sure = guess(text)
+                fine = [b != "und" and s >= least for b, s in zip(best, sure)]
+            else:
+                fine = [bool(letter_runs(x.as_py())) for x in text]
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 @query("op8_marginal_unigrams")
 def marginal_unigrams(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
