@@ -116,10 +116,11 @@ def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
     groups = written(near_duplicates(docs, distance), "groups")
     keepers = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(keepers, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    mark = F.udf(fingerprint, "long")
-    nameless = groups.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    lone = docs.where("doc_id is null").withColumn("_fp", mark("text")).join(nameless.distinct(), "_fp")
-    return kept.unionByName(lone.dropDuplicates(["_root"]).select(*docs.columns))
+    mark = F.udf(lambda text: fingerprint(text), "long")
+    nameless = groups.where("component_id is null").select("fp", "root").distinct()
+    lone = docs.where(docs["doc_id"].isNull()).select(F.struct(*docs.columns).alias("row"), mark("text").alias("fp"))
+    lone = lone.join(nameless, "fp").dropDuplicates(["root"]).select("row.*")
+    return kept.unionByName(lone)
 
 
 @query("op5_simhash_grid")
