@@ -42,16 +42,20 @@ def grouped_sets(df: DataFrame, by: Sequence[str], sums: dict[str, Column], kind
     return fine.groupingSets(chosen, *[F.col(name) for name in by]).agg(*totals)
 
 
-def net_changes(changes: DataFrame, keys: Sequence[str], sign: str, sums: dict[str, str]) -> DataFrame:
+def net_changes(changes: DataFrame, keys: Sequence[str], sign: str, sums: dict[str, str],
+                gone: str | None = None) -> DataFrame:
     """Aggregates of a change stream, where ``sign`` -1 takes a row back.
 
-    Groups whose rows were all taken back are left out.
+    Groups whose rows were all taken back are left out. A stream in update
+    mode has to say that they are: with ``gone`` they stay, marked by that
+    column, for a changelog sink that knows it as ``deleted``.
     """
     signed = changes.groupBy(*keys).agg(
         F.sum(F.col(sign)).alias("__rows"),
         *[F.sum(F.col(sign) * F.col(value)).alias(name) for name, value in sums.items()],
     )
-    return signed.filter(F.col("__rows") > 0).select(*keys, F.col("__rows").alias("cnt"), *sums)
+    rows = signed.select(*keys, F.col("__rows").alias("cnt"), *sums)
+    return rows.withColumn(gone, F.col("cnt") <= 0) if gone else rows.filter("cnt > 0")
 
 
 def _sides(left: DataFrame, right: DataFrame) -> DataFrame:

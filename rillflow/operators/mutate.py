@@ -46,8 +46,14 @@ def insert_new(target: DataFrame, batch: DataFrame, keys: Sequence[str], order:
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows replace those of the same key or are added."""
-    last = latest_by_key(batch, keys, order).select(*target.columns)
-    return target.join(last.select(*keys), list(keys), "left_anti").unionByName(last)
+    rest = [name for name in target.columns if name not in keys]
+    if not rest:
+        return target.unionByName(batch.select(*target.columns)).distinct()
+    last = latest_by_key(batch, keys, order).select(*keys, F.struct(*rest).alias("__new"))
+    met = target.select(*keys, F.struct(*rest).alias("__old")).join(last, list(keys), "full")
+    row = F.when(F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("__old"))
+    # a null key equals no other, so such rows of either side stay
+    return met.select(*keys, row.alias("__row")).select(*keys, "__row.*").select(*target.columns)
 
 
 def update(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -64,7 +70,8 @@ def update(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequ
 
 
 def delete(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return target.join(batch.select(*keys), list(keys), "left_anti")
+    """Rows whose key is in the batch go; the batch is one row per key by then."""
+    return target.join(batch.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def accumulate(target: DataFrame, batch: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -85,8 +92,9 @@ def accumulate(target: DataFrame, batch: DataFrame, keys: Sequence[str], values:
 
 
 def merge_into(batch: DataFrame, table: str, keys: Sequence[str], order: Sequence[str], mode: str = "upsert") -> None:
-    """Apply a batch to a catalog table that supports row-level changes."""
-    last = latest_by_key(batch, keys, order).alias("b")
+    """Apply a batch to a catalog table that supports row-level changes; an insert takes a key's first row."""
+    pick = first_by_key if mode == "insert" else latest_by_key
+    last = pick(batch, keys, order).alias("b")
     target = table.split(".")[-1]
     merge = last.mergeInto(table, _same(keys, left=target))
     if mode in ("upsert", "update"):

@@ -94,9 +94,23 @@ def sample(spark, sf):
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
-@checked()
+@checked("""
+    SELECT l_returnflag, count(*) AS n, true AS near_share, true AS rows_of_table, true AS repeatable
+    FROM lineitem GROUP BY l_returnflag
+""")
 def sample_random(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").sample(fraction=0.1, seed=7)
+    # Which rows come is the sampler's own; how many, from where, and that a seed gives them again, can be checked.
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    drawn = [rows.sample(fraction=0.1, seed=7).groupBy(*rows.columns).count().withColumnRenamed("count", name)
+             for name in ("once", "again")]
+    known = rows.groupBy(*rows.columns).agg(F.count("*").alias("held"))
+    met = known.join(drawn[0], rows.columns, "full").join(drawn[1], rows.columns, "full").fillna(0)
+    # six standard deviations, so that a right sampler fails once in a billion tables
+    expected, spread = F.sum("held") * 0.1, 6 * F.sqrt(F.sum("held") * 0.09)
+    return met.groupBy("l_returnflag").agg(
+        F.sum("held").alias("n"), (F.abs(F.sum("once") - expected) <= spread).alias("near_share"),
+        F.every(F.col("once") <= F.col("held")).alias("rows_of_table"),
+        F.every(F.col("once") == F.col("again")).alias("repeatable"))
 
 
 @checked("""

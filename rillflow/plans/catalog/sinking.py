@@ -5,8 +5,7 @@ from ...operators.coerce import row_text, to_store
 from ...schema import TableDef
 from ...session import scratch
 from ...sources import replay
-from ...streaming import ParquetSink, RowSink, bind_columns, drain, fan_out
-from ...streaming.sinks import LinesWriter
+from ...streaming import KeyedSink, LinesSink, ParquetSink, bind_columns, drain, fan_out
 from ..pipeline import Pipeline
 from .base import F, cents, checked, number, table
 
@@ -107,10 +106,10 @@ def sink_coerce(spark, sf):
 
 @checked("SELECT event_id || ',' || user_id || ',' || CASE WHEN event_type = 'view' THEN 'null' ELSE event_type END AS value FROM events")
 def sink_foreach(spark, sf):
-    folder = scratch(spark, "lines")
+    sink = LinesSink(scratch(spark, "lines"))
     rows = replay(spark, sf, "events").select("event_id", "user_id", F.expr("nullif(event_type, 'view')"))
-    drain(rows, RowSink(lambda: LinesWriter(folder)), scratch(spark, "lines-state"))
-    return spark.read.text(folder)
+    drain(rows, sink, scratch(spark, "lines-state"))
+    return sink.read(spark)
 
 
 @checked("""
@@ -138,3 +137,85 @@ def sink_contract(spark, sf):
     job.insert_into("out", "SELECT event_id, NULL, event_type FROM feed")
     job.run()
     return sink.read(spark)
+
+
+@checked("""
+    SELECT event_id, 1 AS run, event_type AS kind FROM events WHERE event_type = 'click'
+    UNION ALL SELECT event_id, 1, 'other' FROM events WHERE event_type <> 'click'
+    UNION ALL SELECT o_orderkey, 1, 'order' FROM orders
+    UNION ALL SELECT event_id, 2, event_type FROM events WHERE event_type = 'click'
+    UNION ALL SELECT event_id, 2, 'other' FROM events WHERE event_type <> 'click'
+    UNION ALL SELECT o_orderkey, 2, 'order' FROM orders
+""")
+def sink_two_inserts(spark, sf):
+    # Two streams and a batch into one table, and the same once more from fresh checkpoints.
+    sink = ParquetSink(scratch(spark, "shared"))
+    for run in (1, 2):
+        job = Pipeline(spark)
+        job.source(TableDef("feed", [("event_id", "bigint"), ("event_type", "varchar")]), replay(spark, sf, "events"))
+        job.batch_table("some_orders", table(spark, sf, "orders").select("o_orderkey"))
+        job.sink(TableDef("out", [("event_id", "bigint"), ("run", "int"), ("kind", "varchar")], options={"name": "both"}),
+                 sink)
+        job.insert_into("out", f"SELECT event_id, {run}, event_type FROM feed WHERE event_type = 'click'")
+        job.insert_into("out", f"SELECT event_id, {run}, 'other' FROM feed WHERE event_type <> 'click'")
+        job.insert_into("out", f"SELECT o_orderkey, {run}, 'order' FROM some_orders")
+        job.run()
+    return sink.read(spark)
+
+
+def _keyed(spark, sf, change):
+    """Price changes in several micro-batches, every one written twice, into a keyed table."""
+    sink = KeyedSink(scratch(spark, change), ["o_orderkey"], ["seq"], change, start=_target(spark, sf),
+                     types={"o_totalprice": "double"})
+
+    class Twice(KeyedSink):
+        def __init__(self):
+            pass
+
+        def for_writer(self, writer):
+            self.inner = sink.for_writer(writer)
+            return self
+
+        def write(self, batch, batch_id):
+            self.inner.write(batch, batch_id)
+            self.inner.write(batch, batch_id)
+
+    feed, state = scratch(spark, "changes"), scratch(spark, "state")
+    changes = _changes(spark, sf)
+    for seq in (1, 2):
+        part = changes.filter(F.col("seq") == seq)
+        part.write.mode("append").parquet(feed)
+        drain(spark.readStream.schema(part.schema).parquet(feed), Twice(), state)
+    return sink.read(spark)
+
+
+@checked("""
+    SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P'
+    UNION ALL SELECT o_orderkey, o_custkey, round(o_totalprice + 1, 2) FROM orders
+    WHERE o_orderstatus = 'P' AND o_totalprice > 250000
+""")
+def stream_insert(spark, sf):
+    return _keyed(spark, sf, "insert")
+
+
+@checked(f"""
+    SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 250000 THEN {NEWEST} ELSE o_totalprice END AS o_totalprice
+    FROM orders WHERE o_orderstatus <> 'P' OR o_totalprice > 250000
+""")
+def stream_upsert(spark, sf):
+    return _keyed(spark, sf, "upsert")
+
+
+@checked(f"""
+    SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 250000 THEN {NEWEST} ELSE o_totalprice END AS o_totalprice
+    FROM orders WHERE o_orderstatus <> 'P'
+""")
+def stream_update(spark, sf):
+    return _keyed(spark, sf, "update")
+
+
+@checked("""
+    SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice <= 250000
+""")
+def stream_delete(spark, sf):
+    return _keyed(spark, sf, "delete")

@@ -7,6 +7,7 @@ from ...schema import Col, TableDef
 from ...session import scratch
 from ...sources import connect, connector, keep_from, replay, tagged_union
 from ...streaming import ParquetSink, drain
+from ..pipeline import Pipeline
 from .base import F, checked, envelopes, table
 
 TOPIC = TableDef("topic1", [
@@ -24,6 +25,24 @@ def src_envelope_decode(spark, sf):
     return decode(envelopes(table(spark, sf, "events"), F.col("props")), TOPIC)
 
 
+@checked("""
+    SELECT event_id AS topic, event_type AS key, json_extract_string(props, '$.k') AS value
+    FROM events WHERE event_id % 7 > 0
+""")
+def src_envelope_origin(spark, sf):
+    # The messages have fields named like the envelope's own; one in seven has no value.
+    message = F.to_json(F.struct(F.col("event_id").alias("topic"), F.col("event_type").alias("key"),
+                                 F.get_json_object("props", "$.k").alias("value")))
+    rows = envelopes(replay(spark, sf, "events"), F.when(F.col("event_id") % 7 > 0, message))
+    job, sink = Pipeline(spark), ParquetSink(scratch(spark, "origin"))
+    columns = [("topic", "bigint"), ("key", "varchar"), ("value", "varchar")]
+    job.source(TableDef("named_alike", columns), rows)
+    job.sink(TableDef("out", columns), sink)
+    job.insert_into("out", "SELECT topic, key, value FROM named_alike")
+    job.run()
+    return sink.read(spark)
+
+
 @checked("""
     SELECT event_type AS _topic, CAST(user_id AS VARCHAR) AS _key, CAST(user_id % 4 AS INTEGER) AS _partition,
            event_id AS _offset, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k

@@ -1,5 +1,6 @@
 """Streaming queries: windows, lateness, state, restarts and joins of streams."""
 
+from ...operators.aggregates import net_changes
 from ...operators.joins import interval_join
 from ...operators.sessions import hop_totals, session_totals
 from ...schema import TableDef, Watermark
@@ -210,11 +211,12 @@ def stream_topk(spark, sf):
 
 @checked("""
     SELECT event_type, CAST(round(min(value) * 100) AS BIGINT) AS lo, CAST(round(max(value) * 100) AS BIGINT) AS hi,
-           count(*) AS n
-    FROM events GROUP BY event_type
+           count(value) AS n
+    FROM (SELECT event_type, CASE WHEN event_id % 3 > 0 THEN value END AS value FROM events) GROUP BY event_type
 """)
 def stream_keyed_state(spark, sf):
-    states = running_state(replay(spark, sf, "events"), ["event_type"], "event_id", Spread(), ["value"])
+    rows = replay(spark, sf, "events").withColumn("value", F.expr("CASE WHEN event_id % 3 > 0 THEN value END"))
+    states = running_state(rows, ["event_type"], "event_id", Spread(), ["value"])
     parts = _run(spark, states, ChangelogSink(scratch(spark, "keyed"), ["event_type", "part"]))
     return parts.groupBy("event_type").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
 
@@ -222,7 +224,7 @@ def stream_keyed_state(spark, sf):
 @checked("SELECT event_id, user_id, event_type FROM events")
 def stream_dedup(spark, sf):
     twice = _events(spark, sf).unionByName(_events(spark, sf))
-    once = dedup(twice, ["event_id"], ways=4)
+    once = dedup(twice, ["event_id"])
     return _run(spark, once.select("event_id", "user_id", "event_type"), ParquetSink(scratch(spark, "dedup")))
 
 
@@ -280,3 +282,31 @@ def stream_interval_join(spark, sf):
         "user_id", F.col("event_id").alias("buy_id"), "buy_ts")
     pairs = interval_join(clicks, buys, ["user_id"], "click_ts", "buy_ts", 6 * 3_600_000)
     return _run(spark, pairs.select("user_id", "click_id", "buy_id"), ParquetSink(scratch(spark, "pairs")))
+
+
+@checked("""
+    SELECT o_custkey, count(*) AS cnt, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+    FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey
+""")
+def stream_retract(spark, sf):
+    # All but open orders are taken back in later batches; customers without open orders vanish.
+    orders = table(spark, sf, "orders").select("o_custkey", cents("o_totalprice").alias("total"), "o_orderstatus")
+    back = orders.withColumn("sign", F.lit(-1))
+    parts = [orders.withColumn("sign", F.lit(1))] + [back.filter(F.col("o_orderstatus") == s) for s in ("F", "P")]
+    sink = ChangelogSink(scratch(spark, "retract"), ["o_custkey"], deleted="gone", compact_every=2)
+    out = _in_turn(spark, parts, lambda s: net_changes(s, ["o_custkey"], "sign", {"total": "total"}, gone="gone"), sink)
+    return out.select("o_custkey", "cnt", number(F.col("total")).alias("total"))
+
+
+@checked("""
+    SELECT event_type, w - i * INTERVAL 2 MINUTE AS window_start, w - i * INTERVAL 2 MINUTE + INTERVAL 10 MINUTE AS window_end,
+           CAST(sum(round(value * 100)) AS BIGINT) AS total
+    FROM (SELECT *, time_bucket(INTERVAL 2 MINUTE, ts) AS w FROM events), (SELECT unnest(range(0, 5)) AS i)
+    WHERE epoch_us(w - i * INTERVAL 2 MINUTE) % 240000000 = 0
+    GROUP BY ALL
+""")
+def win_hop_uneven(spark, sf):
+    # Ten minutes every four: no window edge may cut a pane.
+    worth = F.round(F.col("value") * 100).cast("bigint")
+    totals = hop_totals(table(spark, sf, "events"), ["event_type"], "ts", "10 minutes", "4 minutes", {"total": worth})
+    return totals.select("event_type", zoneless("window_start"), zoneless("window_end"), "total")

@@ -6,17 +6,19 @@ nothing runs before :meth:`Pipeline.start`.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.registry import register
 from ..operators.decode import decode
 from ..schema import Col, ContractError, TableDef, Watermark, fit_to_sink
-from ..session import scratch
-from ..sources.custom import connect
+from ..session import new_writer, scratch
+from ..sources.custom import connect, gives_envelopes
 from ..sources.envelope import ENVELOPE
 from ..streaming import eventtime
 from ..streaming.runtime import Target, fan_out, start
@@ -33,6 +35,7 @@ class _Insert:
     mode: str | None = None
     every: str | None = None
     checkpoint: str | None = None
+    shown: str | None = None
 
 
 class Pipeline:
@@ -56,18 +59,23 @@ class Pipeline:
         self.tables[name] = df
         return df
 
-    def source(self, table: TableDef, rows: DataFrame | str, strict: bool = False,
-               lateness: str | int = 0) -> DataFrame:
+    def source(self, table: TableDef, rows: DataFrame | str, strict: bool = False, lateness: str | int = 0,
+               envelopes: bool | None = None) -> DataFrame:
         """A source table.
 
         ``rows`` is a connector name, an envelope DataFrame, which is decoded,
         or a DataFrame that already has the declared columns. ``lateness`` adds
-        to the watermark delay.
+        to the watermark delay. Whether rows are envelopes is the connector's
+        to say, or ``envelopes``; a DataFrame is one if it has just the
+        columns of an envelope, whatever names are declared.
         """
         if isinstance(rows, str):
+            envelopes = gives_envelopes(rows) if envelopes is None else envelopes
             rows = connect(self.spark, rows, table.options, table.struct())
         names = [col.name for col in table.columns]
-        if set(ENVELOPE.names) <= set(rows.columns) and not set(names) <= set(rows.columns):
+        if envelopes is None:
+            envelopes = rows.schema.names == ENVELOPE.names and rows.schema["value"].dataType == T.BinaryType()
+        if envelopes:
             rows = decode(rows, table, strict)
         else:
             rows = fit_to_sink(rows.select(*names), table.struct())
@@ -102,26 +110,41 @@ class Pipeline:
         return self.spark.sql(query) if isinstance(query, str) else query
 
     def insert_into(self, name: str, query: Query, columns: list[str] | None = None, mode: str | None = None,
-                    fire_every: str | None = None) -> DataFrame:
+                    fire_every: str | None = None, label: str | None = None) -> DataFrame:
         """Send a query to a sink table, checked against its columns.
 
         ``fire_every`` is the time between (partial) results; window results
-        then appear before their window ends, in update mode.
+        then appear before their window ends, in update mode. State belongs to
+        the insert's sink and query text, or to its ``label``.
         """
         if name not in self.sinks:
             raise ContractError(f"no sink table {name}, there are {sorted(self.sinks)}")
         table, target = self.sinks[name]
         df = fit_to_sink(self.query(query), table.struct(), columns)
         mode = mode or table.options.get("outputMode") or ("update" if fire_every else None)
-        label = table.options.get("name") or f"{name}_{len(self.inserts)}"
         every = fire_every or table.options.get("every")
-        self.inserts.append(_Insert(label, df, target, mode, every, table.options.get("checkpoint")))
+        label = self._label(name, query, label)
+        shown = table.options.get("name")
+        if shown and any(insert.shown == shown for insert in self.inserts):
+            shown = f"{shown}_{label}"
+        root = table.options.get("checkpoint")
+        self.inserts.append(_Insert(label, df, target, mode, every, f"{root}/{label}" if root else None, shown))
         return df
 
+    def _label(self, name: str, query: Query, label: str | None = None) -> str:
+        """What tells an insert from others, wherever it stands in the job: its sink and its query text.
+
+        DataFrames have no text; they are numbered per sink, unless the caller names them. Equal ones are numbered.
+        """
+        if label is None and isinstance(query, str):
+            label = hashlib.sha1(" ".join(query.split()).encode()).hexdigest()[:10]
+        label, taken = f"{name}_{label or 'rows'}", {insert.name for insert in self.inserts}
+        return next(x for x in (label, *(f"{label}_{n}" for n in range(2, 2 + len(taken)))) if x not in taken)
+
     def select(self, query: Query, mode: str | None = None) -> DataFrame:
         """A bare select: its rows are printed."""
         df = self.query(query)
-        self.inserts.append(_Insert(f"select_{len(self.inserts)}", df, ConsoleSink(), mode))
+        self.inserts.append(_Insert(self._label("select", query), df, ConsoleSink(), mode))
         return df
 
     def start(self) -> list[StreamingQuery]:
@@ -131,9 +154,10 @@ class Pipeline:
         for insert in self.inserts:
             if insert.df.isStreaming:
                 state = insert.checkpoint or f"{root}/{insert.name}"
-                running.append(start(insert.df, insert.sink, state, insert.mode, insert.every, insert.name))
+                shown = insert.shown or insert.name
+                running.append(start(insert.df, insert.sink, state, insert.mode, insert.every, shown))
             elif isinstance(insert.sink, Sink):
-                insert.sink.write(insert.df, 0)
+                insert.sink.for_writer(new_writer()).write(insert.df, 0)
             else:
                 insert.sink(insert.df)
         return running
@@ -146,7 +170,7 @@ class Pipeline:
     def fan_out(self, source: DataFrame, branches: list[tuple[Callable[[DataFrame], DataFrame], Sink]],
                 name: str = "fan_out") -> None:
         """One query over ``source`` whose batches feed several sinks."""
-        self.inserts.append(_Insert(name, source, fan_out(branches)))
+        self.inserts.append(_Insert(self._label(name, source), source, fan_out(branches)))
 
 
 __all__ = ["Col", "Pipeline", "TableDef", "Watermark"]

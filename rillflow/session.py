@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -66,3 +67,35 @@ def scratch(spark: SparkSession, label: str) -> str:
 def is_directory(spark: SparkSession, path: str) -> bool:
     fs, hadoop = _fs(spark, path)
     return fs.exists(hadoop) and fs.getFileStatus(hadoop).isDirectory()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, in order; none if there is no such folder."""
+    fs, hadoop = _fs(spark, path)
+    return sorted(status.getPath().getName() for status in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = _fs(spark, path)
+    return fs.exists(hadoop)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, hadoop = _fs(spark, path)
+    fs.delete(hadoop, True)
+
+
+def new_writer() -> str:
+    """An id for whoever writes; later ones sort after earlier ones."""
+    return f"{time.time_ns() // 1_000_000:014d}-{uuid.uuid4().hex[:8]}"
+
+
+def writer_of(spark: SparkSession, checkpoint: str) -> str:
+    """The writer a checkpoint stands for: the same after a restart, another one for a fresh checkpoint."""
+    known = [name.removeprefix("writer-") for name in names(spark, checkpoint) if name.startswith("writer-")]
+    if known:
+        return known[0]
+    writer = new_writer()
+    fs, hadoop = _fs(spark, f"{checkpoint}/writer-{writer}")
+    fs.mkdirs(hadoop)
+    return writer

@@ -14,18 +14,27 @@ from .lines import socket_lines
 Reader = Callable[[SparkSession, dict, T.StructType], DataFrame]
 
 _connectors: dict[str, Reader | type[DataSource]] = {}
+_envelopes: set[str] = set()
 
 
-def connector(name: str):
-    """Register a source: a callable ``(spark, options, schema)`` or a ``DataSource`` class."""
+def connector(name: str, envelopes: bool = False):
+    """Register a source: a callable ``(spark, options, schema)`` or a ``DataSource`` class.
+
+    ``envelopes`` says that it gives message envelopes, which are decoded.
+    """
 
     def keep(source):
         _connectors[name] = source
+        (_envelopes.add if envelopes else _envelopes.discard)(name)
         return source
 
     return keep
 
 
+def gives_envelopes(name: str) -> bool:
+    return name in _envelopes
+
+
 def connect(spark: SparkSession, name: str, options: dict, schema: T.StructType, stream: bool = True) -> DataFrame:
     """Rows of the source called ``name``.
 
@@ -43,7 +52,7 @@ def connect(spark: SparkSession, name: str, options: dict, schema: T.StructType,
     return reader.format(name).schema(schema).options(**options).load()
 
 
-@connector("kafka")
+@connector("kafka", envelopes=True)
 def _kafka(spark: SparkSession, options: dict, schema: T.StructType) -> DataFrame:
     return kafka_source(spark, options)
 

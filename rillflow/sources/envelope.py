@@ -50,6 +50,11 @@ def _position(text: str) -> str:
     return text
 
 
+def _refused(key: str) -> bool:
+    """``kafka.group.id`` is the one of them that the reader takes when it is spelled out."""
+    return key.removeprefix("kafka.") in UNSUPPORTED and key != "kafka.group.id"
+
+
 def kafka_options(options: dict) -> dict[str, str]:
     """Reader options for declared topic-source ``options``.
 
@@ -61,7 +66,7 @@ def kafka_options(options: dict) -> dict[str, str]:
         raise ValueError(f"value_type {kind!r} is not supported, only json")
     out = {}
     for key, value in options.items():
-        if value is None or key == "value_type" or key.removeprefix("kafka.") in UNSUPPORTED:
+        if value is None or key == "value_type" or _refused(key):
             continue
         out[RENAMED.get(key, key)] = str(value)
     if not out.get("subscribe") or not out.get("kafka.bootstrap.servers"):

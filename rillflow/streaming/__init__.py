@@ -3,13 +3,13 @@
 from .eventtime import event_time, hop, interval, proctime, session, tumble, with_lateness
 from .runtime import drain, fan_out, micro_batch_sql, start
 from .sinks import (
-    ChangelogSink, CompleteSink, ConsoleSink, JdbcSink, MergeSink, ParquetSink, RowSink, RowWriter, Sink,
+    ChangelogSink, CompleteSink, ConsoleSink, JdbcSink, KeyedSink, LinesSink, MergeSink, ParquetSink, RowSink, RowWriter, Sink,
     StatementWriter, bind_columns, bind_parameters, named_sink,
 )
 from .state import dedup, running_state
 
 __all__ = [
-    "ChangelogSink", "CompleteSink", "ConsoleSink", "JdbcSink", "MergeSink", "ParquetSink", "RowSink", "RowWriter",
+    "ChangelogSink", "CompleteSink", "ConsoleSink", "JdbcSink", "KeyedSink", "LinesSink", "MergeSink", "ParquetSink", "RowSink", "RowWriter",
     "Sink", "StatementWriter", "bind_columns", "bind_parameters", "dedup", "drain", "event_time", "fan_out", "hop",
     "interval", "micro_batch_sql", "named_sink", "proctime", "running_state", "session", "start", "tumble", "with_lateness",
 ]

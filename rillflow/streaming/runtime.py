@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import writer_of
 from .eventtime import interval
 from .sinks import Sink
 
@@ -19,10 +20,12 @@ def start(df: DataFrame, sink: Target, checkpoint: str, mode: str | None = None,
     """Start one query with its own checkpoint.
 
     ``every`` is the time between micro-batches; without it the query takes
-    what is there and ends. A callable sink starts the query itself.
+    what is there and ends. A callable sink starts the query itself. The
+    checkpoint says which writer the query is to its sink.
     """
     if not isinstance(sink, Sink):
         return sink(df)
+    sink = sink.for_writer(writer_of(df.sparkSession, checkpoint))
     writer = df.writeStream.outputMode(mode or sink.mode).option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
@@ -39,29 +42,30 @@ def drain(df: DataFrame, sink: Target, checkpoint: str, mode: str | None = None)
 
 
 class _Shared(Sink):
-    """One batch, computed once, handed to several consumers in order."""
+    """One batch, computed once, handed to several sinks in order, each branch being a writer of its own."""
 
-    def __init__(self, consumers: Sequence[Callable[[DataFrame, int], None]]):
-        self.consumers = consumers
+    def __init__(self, branches: Sequence[tuple[Callable[[DataFrame], DataFrame], Sink]]):
+        self.branches = [(derive, sink.for_writer(f"branch{at}")) for at, (derive, sink) in enumerate(branches)]
+
+    def for_writer(self, writer: str) -> Sink:
+        own = _Shared([])
+        own.branches = [(derive, sink.for_writer(f"{writer}-{at}")) for at, (derive, sink) in enumerate(self.branches)]
+        return own
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if batch.isEmpty():
                 return
-            for consume in self.consumers:
-                consume(batch, batch_id)
+            for derive, sink in self.branches:
+                sink.write(derive(batch), batch_id)
         finally:
             batch.unpersist()
 
 
 def fan_out(branches: Sequence[tuple[Callable[[DataFrame], DataFrame], Sink]]) -> Sink:
     """A sink that derives one result per branch from each batch; empty batches are skipped."""
-
-    def consumer(derive, sink):
-        return lambda batch, batch_id: sink.write(derive(batch), batch_id)
-
-    return _Shared([consumer(derive, sink) for derive, sink in branches])
+    return _Shared(branches)
 
 
 def micro_batch_sql(view: str, statements: Sequence[tuple[str, Sink]]) -> Sink:
@@ -71,11 +75,11 @@ def micro_batch_sql(view: str, statements: Sequence[tuple[str, Sink]]) -> Sink:
     sorting work on streams too, within a batch.
     """
 
-    def consumer(text, sink):
-        def consume(batch: DataFrame, batch_id: int) -> None:
+    def derive(text):
+        def run(batch: DataFrame) -> DataFrame:
             batch.createOrReplaceTempView(view)
-            sink.write(batch.sparkSession.sql(text), batch_id)
+            return batch.sparkSession.sql(text)
 
-        return consume
+        return run
 
-    return _Shared([consumer(text, sink) for text, sink in statements])
+    return _Shared([(derive(text), sink) for text, sink in statements])

@@ -84,7 +84,7 @@ def test_topic_options():
         "value_type": "json", "maxOffsetsPerTrigger": 10, "missing": None, "kafka.group.id": "x",
     })
     assert options == {"subscribe": "a,b", "kafka.bootstrap.servers": "h:9092", "startingOffsets": "earliest",
-                       "maxOffsetsPerTrigger": "10"}
+                       "maxOffsetsPerTrigger": "10", "kafka.group.id": "x"}
     with pytest.raises(ValueError, match="json"):
         kafka_options({"kafka_topic": "a", "kafka_broker": "h", "value_type": "avro"})
     with pytest.raises(ValueError, match="largest"):

@@ -111,7 +111,8 @@ def test_sink_options_name_the_query_and_its_state(spark, job, folder):
     query, = job.start()
     query.awaitTermination()
     assert query.name == "counted" and sink.read(spark).first().n == 4
-    assert spark.read.text(state + "/metadata").count() == 1
+    insert, = job.inserts
+    assert spark.read.text(f"{state}/{insert.name}/metadata").count() == 1
 
 
 def test_line_source_knows_its_hosts(spark):
@@ -183,7 +184,7 @@ class Total(Accumulator):
 def test_accumulator_over_many_partitions(spark):
     rows = spark.range(0, 5000, 1, 16).select((F.col("id") % 3).cast("string").alias("k"), F.col("id").alias("v"))
     rows = rows.withColumn("k", F.when(F.col("k") != "2", F.col("k")))
-    got = {r.k: r.m for r in aggregate_by(rows, ["k"], Total(), ["v"], "m", ways=3).collect()}
+    got = {r.k: r.m for r in aggregate_by(rows, ["k"], Total(), ["v"], "m").collect()}
     want = {r.k: r.m for r in rows.groupBy("k").agg(F.avg("v").alias("m")).collect()}
     assert got == pytest.approx(want)
     register(spark, "spread", Spread)

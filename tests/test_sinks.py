@@ -2,9 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 from rillflow.operators import mutate
 from rillflow.operators.coerce import to_store
-from rillflow.schema import SchemaError
+from rillflow.plans.pipeline import Pipeline
+from rillflow.schema import SchemaError, TableDef
 from rillflow.streaming import ConsoleSink, JdbcSink, ParquetSink, RowSink, RowWriter, StatementWriter
-from rillflow.streaming import ChangelogSink, MergeSink, bind_parameters, fan_out, named_sink
+from rillflow.streaming import ChangelogSink, CompleteSink, KeyedSink, LinesSink, MergeSink, bind_parameters, fan_out, named_sink
 from rillflow.streaming.sinks import LinesWriter, _write_rows
 
 
@@ -133,8 +134,8 @@ def test_changelog_gives_the_newest_row(spark, folder):
     sink.write(spark.createDataFrame([("a", 1), ("b", 1)], "k string, n int"), 0)
     sink.write(spark.createDataFrame([("a", 2)], "k string, n int"), 1)
     assert sorted(map(tuple, sink.read(spark).collect())) == [("a", 2), ("b", 1)]
-    sink.compact(spark, folder + "-compact")
-    assert spark.read.parquet(folder + "-compact").count() == 2
+    sink.compact(spark)
+    assert sorted(map(tuple, sink.read(spark).collect())) == [("a", 2), ("b", 1)]
 
 
 def test_fan_out_skips_empty_batches(spark, folder):
@@ -186,3 +187,85 @@ def test_store_types(spark):
     for name, kind in (("b", "bigint"), ("x", "int"), ("i", "double"), ("t", "date")):
         with pytest.raises(SchemaError):
             to_store(moment, {name: kind})
+
+
+def ids(rows):
+    return sorted(row[0] for row in rows.collect())
+
+
+def test_branches_of_one_sink_keep_all_rows(spark, folder, tmp_path):
+    sink = ParquetSink(folder)
+    both = fan_out([(lambda b: b.filter("id % 2 = 0"), sink), (lambda b: b.filter("id % 2 = 1"), sink)])
+    both = both.for_writer("w")
+    for _ in range(2):                                  # the second time is a retry
+        both.write(spark.range(100), 0)
+    assert ids(sink.read(spark)) == list(range(100))
+
+
+def test_state_follows_query_text_and_not_its_place(spark, folder):
+    def job(queries, options=None):
+        made = Pipeline(spark, folder)
+        made.batch_table("t", spark.range(3))
+        made.sink(TableDef("out", [("id", "bigint")], options=options or {}), ParquetSink(folder + "x"))
+        for query in queries:
+            made.insert_into("out", query)
+        return {i.name: (i.checkpoint, i.shown) for i in made.inserts}
+
+    a, b = "SELECT id FROM t", "SELECT id + 1 FROM t"
+    assert job([a, b]) == job([b, a]) and set(job([a])) < set(job(["SELECT id + 2 FROM t", a]))
+    assert len(job([a, a])) == 2
+    named = job([a, b], {"name": "n", "checkpoint": "c"})
+    assert len({c for c, _ in named.values()}) == 2 and len({n for _, n in named.values()}) == 2
+
+
+def test_changelog_stays_bounded(spark, tmp_path):
+    sink = ChangelogSink(f"file:{tmp_path}/log", ["k"], deleted="gone", compact_every=3)
+    for batch in range(24):
+        rows = [(k, batch, k == 4 and batch >= 6) for k in range(5) if k < 4 or batch < 7]
+        sink.write(spark.createDataFrame(rows, "k int, v int, gone boolean"), batch)
+        want = [(k, batch) for k in range(4)] + ([(4, batch)] if batch < 6 else [])
+        assert sorted(tuple(r) for r in sink.read(spark).collect()) == want
+    kept = list(tmp_path.glob("log/changes/*/batch_id=*"))
+    assert len(kept) <= 6 and len(list(tmp_path.glob("log/base/*"))) <= 2
+    newest = sorted(tmp_path.glob("log/base/*"))[-1]
+    assert spark.read.parquet(f"file:{newest}/rows").count() == 4      # the deletion itself is gone by now
+
+
+def test_complete_sink_keeps_two_batches(spark, tmp_path):
+    sink = CompleteSink(f"file:{tmp_path}/all")
+    for batch in range(12):
+        sink.write(spark.range(batch), batch)
+        assert sink.read(spark).count() == batch
+    assert len(list(tmp_path.glob("all/*/batch_id=*"))) == 2
+
+
+@pytest.mark.parametrize("change, want", [
+    ("insert", {1: "a", 2: "c", 3: "x"}), ("upsert", {1: "b", 2: "d", 3: "x"}), ("update", {1: "b", 3: "x"}),
+    ("delete", {3: "x"}),
+])
+def test_keyed_sink(spark, folder, change, want):
+    start = spark.createDataFrame([(1, "a"), (3, "x")], "k int, v string")
+    sink = KeyedSink(folder, ["k"], ["at"], change, start=start).for_writer("w")
+    batches = [[(1, "b", 1), (2, "c", 1), (2, "d", 2)], [(9, "e", 1)]]
+    schema = "k int, v string, at int"
+    for batch_id, rows in enumerate(batches):
+        for _ in range(2):
+            sink.write(spark.createDataFrame(rows, schema), batch_id)
+    more = {"insert": {9: "e"}, "upsert": {9: "e"}}.get(change, {})
+    assert {r.k: r.v for r in sink.read(spark).collect()} == want | more
+
+
+def test_keyed_sink_adds_up_once_and_coerces(spark, folder):
+    start = spark.createDataFrame([("a", 5)], "k string, n bigint")
+    sink = KeyedSink(folder, ["k"], change="accumulate", values=["n"], types={"k": "string"}, start=start).for_writer("w")
+    for batch_id, k in enumerate([7, 7, 8]):
+        for _ in range(2):
+            sink.write(spark.createDataFrame([(k, 1)], "k int, n bigint"), batch_id)
+    assert {r.k: r.n for r in sink.read(spark).collect()} == {"a": 5, "7": 2, "8": 1}
+
+
+def test_lines_of_a_repeated_batch(spark, tmp_path):
+    sink = LinesSink(f"file:{tmp_path}/lines").for_writer("w")
+    sink.write(spark.range(100).repartition(4), 0)
+    sink.write(spark.range(100).repartition(2), 0)
+    assert spark.read.option("recursiveFileLookup", "true").text(f"file:{tmp_path}/lines").count() == 100

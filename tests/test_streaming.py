@@ -133,3 +133,27 @@ def test_state_lives_in_the_configured_folder(spark):
 
 def test_streams_all_have_sql():
     assert all(CATALOG[name].sql for name in IN_PARTS)
+
+
+def test_state_of_quiet_keys_goes(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from rillflow.functions import Accumulator
+    from rillflow.streaming import ChangelogSink, drain, event_time, running_state
+
+    class Count(Accumulator):
+        state, result = "n bigint", "bigint"
+
+        def zero(self):
+            return (0,)
+
+        def add(self, state, values):
+            return (state[0] + len(values),)
+
+    feed = f"file:{tmp_path}/feed"
+    sink = ChangelogSink(f"file:{tmp_path}/out", ["k", "part"])
+    for k, at in (("a", 0), ("b", 1), ("b", 100), ("b", 101), ("b", 102), ("a", 103)):
+        spark.createDataFrame([(k, at)], "k string, at long").select(
+            "k", F.timestamp_seconds("at").alias("ts")).write.mode("append").parquet(feed)
+        rows = event_time(spark.readStream.schema("k string, ts timestamp").parquet(feed), "ts", "1 second")
+        drain(running_state(rows, ["k"], "k", Count(), ["ts"], ttl_ms=20_000), sink, f"file:{tmp_path}/state")
+    assert {r.k: r.n for r in sink.read(spark).collect()} == {"a": 1, "b": 2}
