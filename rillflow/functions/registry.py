@@ -11,9 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..schema import data_type
 
@@ -65,7 +67,7 @@ def register(spark: SparkSession, name: str, what, returns: str | T.DataType | N
     elif isinstance(made, Accumulator):
         _accumulators[name] = made
     elif isinstance(made, type):
-        spark.udtf.register(name, F.udtf(made, returnType=returns))
+        spark.udtf.register(name, F.udtf(made, returnType=returns, useArrow=True))
     elif hasattr(made, "evalType") or hasattr(made, "returnType"):
         spark.udf.register(name, made)
     elif callable(made):
@@ -80,45 +82,61 @@ def _state_fields(acc: Accumulator) -> list[str]:
     return [part.split()[0] for part in acc.state.split(",")]
 
 
-def aggregate_by(df: DataFrame, keys: Sequence[str], acc: str | Accumulator, values: Sequence[str], name: str,
-                 ways: int = 256) -> DataFrame:
-    """User aggregate per key in three steps: batch, part of a key, key.
+HELD_KEYS = 50_000
 
-    Each Arrow batch is brought to one state row per key before the shuffle.
-    States of a key are then merged in ``ways`` parts and the parts last, and
-    both merges read their group in batches, so a hot key stays small.
+# Whole numbers and truth values keep their digits beside nulls.
+EXACT = {
+    pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(),
+    pa.bool_(): pd.BooleanDtype(),
+}
+
+
+def aggregate_by(df: DataFrame, keys: Sequence[str], acc: str | Accumulator, values: Sequence[str],
+                 name: str) -> DataFrame:
+    """User aggregate per key in two steps: task, key.
+
+    Each task keeps one state per key, at most ``HELD_KEYS`` of them before it
+    sends them on, so a hot key reaches its merge as one row per task or a few.
+    Keys and values travel as Arrow data: null keys are a group, and large
+    whole numbers keep their digits. Null values reach ``add`` as missing.
     """
     acc = accumulator(acc)
-    keys, fields = list(keys), _state_fields(acc)
+    keys, values, fields = list(keys), list(values), _state_fields(acc)
     key_ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    keyed = df.select(*keys, *values)
+    state_ddl, result_ddl = f"{key_ddl}, {acc.state}", f"{key_ddl}, `{name}` {acc.result}"
+    state_types = [to_arrow_type(f.dataType) for f in T.StructType.fromDDL(acc.state)]
+    result_type = to_arrow_type(data_type(acc.result))
 
-    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(found: list[tuple], kinds: list, columns: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], columns)
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
+        kinds: list = []
         for batch in batches:
-            rows = []
-            for key, part in batch.groupby(keys, dropna=False, sort=False):
-                rows.append((*key, *acc.add(acc.zero(), part[list(values)])))
-            if rows:
-                yield pd.DataFrame(rows, columns=[*keys, *fields])
-
-    def merged(batches: Iterator[pd.DataFrame]) -> tuple[list, tuple]:
-        key, state = None, acc.zero()
+            kinds = [batch.schema.field(i).type for i in range(len(keys))] + state_types
+            frame = pa.Table.from_batches([batch.select(range(len(keys), len(keys) + len(values)))]).to_pandas(
+                types_mapper=EXACT.get)
+            listed = list(zip(*[c.to_pylist() for c in batch.columns[:len(keys)]]))
+            places: dict[tuple, list[int]] = {}
+            for at, key in enumerate(listed):
+                places.setdefault(key, []).append(at)
+            for key, at in places.items():
+                held[key] = acc.add(held.get(key) or acc.zero(), frame.iloc[at])
+            if len(held) > HELD_KEYS:
+                yield rows([(*k, *s) for k, s in held.items()], kinds, [*keys, *fields])
+                held.clear()
+        if held:
+            yield rows([(*k, *s) for k, s in held.items()], kinds, [*keys, *fields])
+
+    def last_merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, kinds = (), acc.zero(), []
         for batch in batches:
-            key = list(batch[keys].iloc[0])
-            for row in batch[fields].itertuples(index=False, name=None):
+            kinds = [batch.schema.field(i).type for i in range(len(keys))]
+            key = tuple(batch.column(i)[0].as_py() for i in range(len(keys)))
+            for row in zip(*[batch.column(i).to_pylist() for i in range(len(keys), batch.num_columns)]):
                 state = acc.merge(state, row)
-        return key, state
-
-    def part_merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = merged(batches)
-        yield pd.DataFrame([(*key, *state)], columns=[*keys, *fields])
-
-    def last_merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = merged(batches)
-        yield pd.DataFrame([(*key, acc.finish(state))], columns=[*keys, name])
+        yield rows([(*key, acc.finish(state))], [*kinds, result_type], [*keys, name])
 
-    state_ddl = f"{key_ddl}, {acc.state}"
-    part = F.pmod(F.spark_partition_id(), F.lit(ways)).alias("__part")
-    per_batch = keyed.mapInPandas(states, state_ddl).select("*", part)
-    per_part = per_batch.groupBy(*keys, "__part").applyInPandas(part_merge, state_ddl)
-    return per_part.groupBy(*keys).applyInPandas(last_merge, f"{key_ddl}, `{name}` {acc.result}")
+    per_task = df.select(*keys, *values).mapInArrow(states, state_ddl)
+    return per_task.groupBy(*keys).applyInArrow(last_merge, result_ddl)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
@@ -76,7 +77,7 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
     a hot key is spread over time. Works on batch and, with a watermark on
     both sides, on streams, where the time condition also bounds the state.
     """
-    width_ms = width_ms or within_ms
+    width_ms = width_ms or max(within_ms, 1)
     first, last = _slot(_millis(left_time), width_ms), _slot(_millis(left_time) + within_ms, width_ms)
     lefts = left.select("*", F.explode(F.sequence(first, last)).alias("__ls"))
     renamed = {key: f"__r_{key}" for key in keys}
@@ -124,7 +125,8 @@ def spread_join(big: DataFrame, other: DataFrame, keys: Sequence[str], ways: int
                 how: str = "inner") -> DataFrame:
     """Equi-join whose hot keys are cut into ``ways`` parts on the big side.
 
-    Only the hot keys' rows of ``other`` are copied. The list of hot keys is
+    Null keys, which match nothing, are cut into parts as well. Only the hot
+    keys' rows of ``other`` are copied. The list of hot keys is
     broadcast: ``share`` bounds it to ``1/share`` rows. Use it where an
     aggregation on the same key follows, as adaptive skew splitting stands
     back there. ``how`` is ``inner`` or ``left``.
@@ -136,7 +138,8 @@ def spread_join(big: DataFrame, other: DataFrame, keys: Sequence[str], ways: int
     # The reading task counts in, so that exact copies are spread too, and a repeated task cuts the same way.
     place = F.xxhash64(F.spark_partition_id(), *[F.col(f"`{name}`") for name in big.columns])
     part = F.pmod(place, F.lit(ways)).cast("int")
-    cut = big.join(hot, keys, "left").withColumn("__part", F.when(F.col("__hot"), part).otherwise(0)).drop("__hot")
+    null = reduce(lambda a, b: a | b, [F.col(f"`{key}`").isNull() for key in keys])
+    cut = big.join(hot, keys, "left").withColumn("__part", F.when(F.col("__hot") | null, part).otherwise(0)).drop("__hot")
     parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
     copied = other.join(hot, keys, "left").withColumn("__part", F.explode(parts)).drop("__hot")
     return cut.join(copied, [*keys, "__part"], how).drop("__part")

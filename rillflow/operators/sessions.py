@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,10 +45,14 @@ def hop_totals(df: DataFrame, keys: Sequence[str], time: str, size: str, slide:
                sums: dict[str, Column]) -> DataFrame:
     """Sliding-window sums per key with ``window_start`` and ``window_end``.
 
-    Rows are summed per slide-wide pane first, so it is panes and not rows that are
-    copied into each window they belong to. ``size`` must be a multiple of ``slide``.
+    Rows are summed per pane first, so it is panes and not rows that are copied into
+    each window they belong to. A pane is as wide as the greatest common divisor of
+    ``size`` and ``slide``, so that no window cuts one.
     """
-    panes = df.withColumn("__at", F.col(time).cast("timestamp")).groupBy(*keys, F.window("__at", slide)).agg(
+    from ..streaming.eventtime import interval
+
+    pane = f"{gcd(interval(size), interval(slide))} milliseconds"
+    panes = df.withColumn("__at", F.col(time).cast("timestamp")).groupBy(*keys, F.window("__at", pane)).agg(
         *[F.sum(value).alias(name) for name, value in sums.items()])
     placed = panes.withColumn("__at", F.col("window.start")).drop("window")
     return placed.groupBy(*keys, F.window("__at", size, slide)).agg(

@@ -131,7 +131,9 @@ class Spread(Accumulator):
         return (2**62, -(2**62), 0)
 
     def add(self, state, values):
-        cents = values.iloc[:, 0].mul(100).round().astype("int64")
+        cents = values.iloc[:, 0].dropna().mul(100).round().astype("int64")
+        if cents.empty:
+            return state
         return min(state[0], int(cents.min())), max(state[1], int(cents.max())), state[2] + len(cents)
 
     def merge(self, left, right):
@@ -150,6 +152,19 @@ def udaf_custom(spark, sf):
     return aggregate_by(table(spark, sf, "events"), ["event_type"], "spread", ["value"], "value_spread")
 
 
+@checked("""
+    SELECT CASE WHEN user_id % 5 > 0 THEN 9007199254740992 + user_id % 5 END AS big, event_type = 'view' AS seen,
+           CAST(round(max(v) * 100) - round(min(v) * 100) AS BIGINT) AS value_spread
+    FROM (SELECT *, CASE WHEN event_id % 3 > 0 AND event_type <> 'error' THEN value END AS v FROM events) GROUP BY ALL
+""")
+def udaf_nullable_keys(spark, sf):
+    rows = table(spark, sf, "events").select(
+        F.expr("CASE WHEN user_id % 5 > 0 THEN 9007199254740992 + user_id % 5 END").alias("big"),
+        (F.col("event_type") == "view").alias("seen"),
+        F.expr("CASE WHEN event_id % 3 > 0 AND event_type <> 'error' THEN value END").alias("v"))
+    return aggregate_by(rows, ["big", "seen"], Spread(), ["v"], "value_spread")
+
+
 class Pieces:
     """Words of a text, numbered."""
 

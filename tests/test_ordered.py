@@ -135,3 +135,48 @@ def test_set_operations_treat_nulls_as_equal(spark):
     b = spark.createDataFrame([(1, None), (3, "y"), (4, "z")], "n int, s string")
     same(intersect_rows(a, b), a.intersect(b))
     same(except_rows(a, b), a.subtract(b))
+
+
+def test_interval_join_of_equal_times(spark):
+    from rillflow.operators.joins import interval_join
+
+    left = spark.sql("select 1 k, timestamp_millis(x) t from values 0, 5 as v(x)")
+    right = spark.sql("select 1 k, timestamp_millis(x) u, x from values 5, 6 as v(x)")
+    assert [r.x for r in interval_join(left, right, ["k"], "t", "u", 0).collect()] == [5]
+
+
+def test_spread_join_cuts_null_keys(spark):
+    rows = spark.range(4000).selectExpr("case when id % 10 = 0 then id end as k", "id")
+    joined = spread_join(rows, spark.range(4000).selectExpr("id as k", "id * 2 as w"), ["k"], ways=16, how="left")
+    assert joined.count() == 4000 and joined.where("w is not null").count() == 400
+    sizes = joined.where("k is null").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 3000
+
+
+def test_user_aggregate_keeps_keys_apart_and_shuffles_once(spark):
+    from rillflow.functions.registry import Accumulator, aggregate_by
+
+    class Total(Accumulator):
+        state, result = "s bigint", "bigint"
+
+        def zero(self):
+            return (0,)
+
+        def add(self, state, values):
+            return (state[0] + int(values.iloc[:, 0].sum()),)
+
+        def merge(self, left, right):
+            return (left[0] + right[0],)
+
+        def finish(self, state):
+            return state[0]
+
+    big = 2**53
+    rows = spark.createDataFrame([(big, big + 1), (big + 1, 1), (None, None), (None, 5), (big, None)], "k bigint, v bigint")
+    got = aggregate_by(rows, ["k"], Total(), ["v"], "s")
+    assert {r.k: r.s for r in got.collect()} == {big: big + 1, big + 1: 1, None: 5}
+    many = spark.range(200_000).selectExpr("id % 70000 as k", "id as v").repartition(3)
+    got = aggregate_by(many, ["k"], Total(), ["v"], "s")
+    assert got.count() == 70_000 and got.agg(F.sum("s")).first()[0] == sum(range(200_000))
+    plan = aggregate_by(spark.range(10).selectExpr("id as k", "id as v"), ["k"], Total(), ["v"], "s")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
