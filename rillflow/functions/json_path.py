@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a key and a position of a path look like.
 KEY = re.compile(r"[a-zA-Z0-9_\-:\s]+")
 POSITION = re.compile(r"\[([0-9]+|\*)\]")
 
