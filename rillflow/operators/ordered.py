@@ -95,8 +95,11 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
     along, whole = _along(keys), W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(
         W.unboundedPreceding, W.unboundedFollowing
     )
-    picked = top_per_group(df, keys, [F.col(name) for name in order], nth).filter(F.col("rn") == nth)
-    edges = _beside(edges, picked.select(*keys, F.struct(value).alias("__nth")), keys)
+    if nth == 1:
+        edges = edges.withColumn("__nth", F.first("__first").over(whole))
+    else:
+        picked = top_per_group(df, keys, [F.col(name) for name in order], nth).filter(F.col("rn") == nth)
+        edges = _beside(edges, picked.select(*keys, F.struct(value).alias("__nth")), keys)
     edges = edges.select(
         *keys, BUCKET,
         F.lag("__last").over(along)[value].alias("__before"),
@@ -131,8 +134,8 @@ def sliding_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     """Aggregates over ROWS BETWEEN ``preceding`` PRECEDING AND CURRENT ROW.
 
     ``totals`` maps output names to function names such as ``sum``. A bucket
-    receives the last ``preceding`` rows before it; every bucket has a row, so
-    they all lie in the ``preceding`` buckets before.
+    receives the last ``preceding`` rows before it. They come from the buckets
+    that end among those rows, so at most twice as many are ever put together.
     """
     rows = df.withColumn(BUCKET, bucket)
     item = F.struct(*[F.col(name) for name in order], *([] if value in order else [F.col(value)]))
@@ -141,10 +144,13 @@ def sliding_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
         rows.withColumn("__back", F.row_number().over(from_end)).filter(F.col("__back") <= preceding)
         .groupBy(*keys, BUCKET).agg(F.array_sort(F.collect_list(item)).alias("__tail"))
     )
-    near = _along(keys).rowsBetween(-preceding, -1)
-    before = F.flatten(F.collect_list("__tail").over(near))
+    # A bucket of more than ``preceding`` rows counts as so many: what lies before it is out of reach all the same.
+    starts = F.coalesce(F.sum(F.size("__tail")).over(_along(keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    near = W.partitionBy(*keys).orderBy("__start").rangeBetween(-max(preceding - 1, 0), 0)
+    before = F.flatten(F.collect_list("__previous").over(near))
     carried = (
-        tails.withColumn("__before", before)
+        tails.withColumns({"__start": starts, "__previous": F.lag("__tail").over(_along(keys))})
+        .withColumn("__before", before)
         .withColumn("__before", F.when(F.size("__before") > preceding, F.slice("__before", -preceding, preceding))
                     .otherwise(F.col("__before")))
         .select(*keys, BUCKET, F.explode("__before").alias("__item"), F.lit(HEAD).alias(MARK))

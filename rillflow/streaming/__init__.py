@@ -4,12 +4,12 @@ from .eventtime import event_time, hop, interval, proctime, session, tumble, wit
 from .runtime import drain, fan_out, micro_batch_sql, start
 from .sinks import (
     ChangelogSink, CompleteSink, ConsoleSink, JdbcSink, KeyedSink, LinesSink, MergeSink, ParquetSink, RowSink, RowWriter, Sink,
-    StatementWriter, bind_columns, bind_parameters, named_sink,
+    StatementWriter, bind_columns, bind_parameters, named_sink, sink_connector,
 )
 from .state import dedup, running_state
 
 __all__ = [
     "ChangelogSink", "CompleteSink", "ConsoleSink", "JdbcSink", "KeyedSink", "LinesSink", "MergeSink", "ParquetSink", "RowSink", "RowWriter",
     "Sink", "StatementWriter", "bind_columns", "bind_parameters", "dedup", "drain", "event_time", "fan_out", "hop",
-    "interval", "micro_batch_sql", "named_sink", "proctime", "running_state", "session", "start", "tumble", "with_lateness",
+    "interval", "micro_batch_sql", "named_sink", "proctime", "running_state", "session", "sink_connector", "start", "tumble", "with_lateness",
 ]

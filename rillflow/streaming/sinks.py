@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..operators import mutate
 from ..operators.coerce import row_text, to_store
 from ..operators.mutate import latest_by_key, merge_into
+from ..options import JOB_OPTIONS, Option, read_options
 from ..session import exists, names, remove
 
 WRITER, BATCH = "writer_id", "batch_id"
@@ -453,21 +454,59 @@ class LinesSink(RowSink):
         return spark.read.option("recursiveFileLookup", "true").text(self.folder)
 
 
-def named_sink(name: str, options: dict, columns: Sequence[str]) -> Sink:
-    """A sink by connector name: ``console``, or ``jdbc`` into a ``table`` or by a ``query`` template.
+Maker = Callable[[dict, Sequence[str]], Sink]
 
-    A template needs ``connect``, a callable that opens a DB-API connection.
-    """
-    if name == "console":
-        return ConsoleSink()
-    if name != "jdbc":
-        raise ValueError(f"unknown sink connector {name!r}")
-    size = int(options.get("batchSize", 5000))
-    if options.get("table"):
-        return JdbcSink(options["url"], options["table"], options["userName"], options["password"], size,
-                        options.get("driver"))
-    if not options.get("query") or not options.get("connect"):
-        raise ValueError("a jdbc sink needs a table, or a query with connect")
-    connect, query, mark = options["connect"], options["query"], options.get("placeholder", "?")
+_connectors: dict[str, tuple[Maker, tuple[Option, ...]]] = {}
+
+
+def sink_connector(name: str, options: Sequence[Option] = ()):
+    """Register a sink: a callable ``(options, columns)`` that makes it, with the options it declares."""
+
+    def keep(make: Maker) -> Maker:
+        _connectors[name] = (make, tuple(options))
+        return make
+
+    return keep
+
+
+def sink_options(name: str) -> tuple[Option, ...]:
+    """The options that a sink connector declares."""
+    if name not in _connectors:
+        raise ValueError(f"unknown sink connector {name!r}, there are {sorted(_connectors)}")
+    return _connectors[name][1]
+
+
+def named_sink(name: str, options: dict, columns: Sequence[str]) -> Sink:
+    """A sink by connector name, from its declared options."""
+    declared = sink_options(name)
+    return _connectors[name][0](read_options(f"sink {name}", declared, options, JOB_OPTIONS), columns)
+
+
+@sink_connector("console")
+def _console(options: dict, columns: Sequence[str]) -> Sink:
+    return ConsoleSink()
+
+
+@sink_connector("jdbc", [
+    Option("url", str, None, "JDBC address, for a table"),
+    Option("table", str, None, "table to append to"),
+    Option("userName", str, None, "who logs in"),
+    Option("password", str, None, "the password"),
+    Option("driver", str, None, "driver class, if the address does not tell"),
+    Option("query", str, None, "statement template with ${0} or ${name} parameters, instead of a table"),
+    Option("connect", Callable, None, "opens a DB-API connection on an executor, for a query"),
+    Option("placeholder", str, "?", "how the driver writes a parameter"),
+    Option("batchSize", int, 5000, "rows sent at once"),
+])
+def _jdbc(options: dict, columns: Sequence[str]) -> Sink:
+    if options["table"]:
+        missing = [name for name in ("url", "userName", "password") if options[name] is None]
+        if missing:
+            raise ValueError(f"sink jdbc: a table needs the options {missing}")
+        return JdbcSink(options["url"], options["table"], options["userName"], options["password"],
+                        options["batchSize"], options["driver"])
+    if not options["query"] or not options["connect"]:
+        raise ValueError("sink jdbc: it needs a table, or a query with connect")
+    connect, query, mark, size = (options[name] for name in ("connect", "query", "placeholder", "batchSize"))
     bind_parameters(query, columns, mark)
     return RowSink(lambda: StatementWriter(connect, query, columns, size, mark))

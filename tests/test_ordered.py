@@ -180,3 +180,13 @@ def test_user_aggregate_keeps_keys_apart_and_shuffles_once(spark):
     assert got.count() == 70_000 and got.agg(F.sum("s")).first()[0] == sum(range(200_000))
     plan = aggregate_by(spark.range(10).selectExpr("id as k", "id as v"), ["k"], Total(), ["v"], "s")
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_sliding_rows_over_many_rows(spark):
+    rows = spark.range(9000).selectExpr("id % 3 as k", "id as o", "id % 7 as v")
+    bucket = F.when(F.col("o") < 4000, F.floor(F.col("o") / 7)).otherwise(1000 + F.floor(F.col("o") / 2500))
+    got = sliding_rows(rows, ["k"], ["o"], bucket, "v", 2000, {"total": "sum", "n": "count"})
+    rows.createOrReplaceTempView("many_rows")
+    want = spark.sql("""select *, sum(v) over w as total, count(v) over w as n from many_rows
+                        window w as (partition by k order by o rows between 2000 preceding and current row)""")
+    assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == 9000
