@@ -125,11 +125,17 @@ def decode(envelopes: DataFrame, table: TableDef, strict: bool = False, keep: tu
     return rows.select(*keep, *out)
 
 
+def marked(envelopes: DataFrame, table: TableDef) -> DataFrame:
+    """Decoded rows beside the envelope columns not declared, and ``BROKEN``: the message is not a JSON object.
+
+    One parse for both sides; a fan-out over it writes them apart without another.
+    """
+    carried = tuple(name for name in envelopes.columns if name not in {col.name for col in table.columns})
+    return decode(envelopes, table, keep=carried, mark_broken=True)
+
+
 def quarantine(envelopes: DataFrame, table: TableDef) -> tuple[DataFrame, DataFrame]:
     """Decoded rows, and the envelopes whose message is not a JSON object."""
-    carried = tuple(name for name in envelopes.columns if name not in {col.name for col in table.columns})
-    marked = decode(envelopes, table, keep=carried, mark_broken=True)
-    names = [col.name for col in table.columns]
-    good = marked.filter(~F.col(BROKEN)).select(*names)
-    bad = marked.filter(F.col(BROKEN)).select(*carried)
-    return good, bad
+    rows, names = marked(envelopes, table), [col.name for col in table.columns]
+    carried = [name for name in rows.columns if name not in {*names, BROKEN}]
+    return rows.filter(~F.col(BROKEN)).select(*names), rows.filter(F.col(BROKEN)).select(*carried)

@@ -1,7 +1,7 @@
 """Message decoding and JSON paths."""
 
 from ...functions.json_path import json_get
-from ...operators.decode import decode, quarantine
+from ...operators.decode import BROKEN, decode, marked
 from ...schema import Col, TableDef
 from .base import F, checked, envelopes, table
 
@@ -120,12 +120,10 @@ def decode_quarantine(spark, sf):
     messages = envelopes(table(spark, sf, "events"), F.expr("""
         case when event_type = 'error' then substring(props, 1, length(props) - 1)
              when event_type = 'signup' then concat('[', props, ']') else props end"""))
-    good, bad = quarantine(messages, TableDef("topic1", [("_offset", "bigint"), ("k", "bigint")]))
-    return good.select(
-        F.lit("good").alias("side"), F.col("_offset").alias("id"), F.lit(None).cast("string").alias("raw"), "k"
-    ).unionByName(bad.select(
-        F.lit("bad").alias("side"), F.col("offset").alias("id"), F.col("value").cast("string").alias("raw"),
-        F.lit(None).cast("bigint").alias("k")))
+    rows, broken = marked(messages, TableDef("topic1", [("_offset", "bigint"), ("k", "bigint")])), F.col(BROKEN)
+    return rows.select(
+        F.when(broken, "bad").otherwise("good").alias("side"), F.col("_offset").alias("id"),
+        F.when(broken, F.col("value").cast("string")).alias("raw"), F.when(~broken, F.col("k")).alias("k"))
 
 
 @checked("""
