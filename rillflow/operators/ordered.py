@@ -208,6 +208,26 @@ def sliding_range(df: DataFrame, keys: Sequence[str], order: str, value: str, pr
         *df.columns, *[results[fn].alias(name) for name, fn in totals.items()])
 
 
+def sliding_span(df: DataFrame, keys: Sequence[str], order: str, preceding: int, following: int, width: int,
+                 totals: dict[str, Column]) -> DataFrame:
+    """Any aggregates over RANGE BETWEEN ``preceding`` PRECEDING AND ``following`` FOLLOWING of a whole-number order.
+
+    ``totals`` maps output names to aggregates, of doubles too, which cannot
+    be taken back as ``sliding_range`` does. A row is copied to each bucket
+    with frames it belongs to, so ``width`` should be a few times the frame,
+    and a bucket of a key should fit a task. Rows without an order are each
+    other's frame.
+    """
+    at = F.col(order).cast("bigint")
+    slot = lambda x: F.floor(x / F.lit(width)).cast("bigint")
+    placed = df.select(
+        "*", at.alias("__pos"), slot(at).alias("__own"),
+        F.explode_outer(F.sequence(slot(at - following), slot(at + preceding))).alias(BUCKET))
+    frame = W.partitionBy(*keys, BUCKET).orderBy("__pos").rangeBetween(-preceding, following)
+    out = placed.withColumns({name: total.over(frame) for name, total in totals.items()})
+    return out.filter(F.col(BUCKET).eqNullSafe(F.col("__own"))).select(*df.columns, *totals)
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], count: int) -> DataFrame:
     """First ``count`` rows per key with their ``rn``.
 

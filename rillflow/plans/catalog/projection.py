@@ -1,7 +1,7 @@
 """Projections, filters, sorting, limits and set operations."""
 
 from ...operators.aggregates import except_rows, intersect_rows
-from ...operators.ordered import neighbours, ranked, sliding_range, sliding_rows, top_per_group
+from ...operators.ordered import neighbours, ranked, sliding_range, sliding_rows, sliding_span, top_per_group
 from .base import F, cents, checked, number, table
 
 
@@ -177,6 +177,21 @@ def win_range_frame(spark, sf):
     return out.select("event_id", "event_type", number(F.col("sum_value")).alias("sum_value"), "cnt")
 
 
+@checked("""
+    SELECT event_id, event_type, min(value) OVER w AS lo, max(value) OVER w AS hi,
+           round(avg(CAST(round(value * 100) AS BIGINT)) OVER w, 6) AS mean_cents, count(*) OVER w AS cnt
+    FROM (SELECT *, epoch_us(ts) // 1000000 AS sec FROM events)
+    WINDOW w AS (PARTITION BY event_type ORDER BY sec RANGE BETWEEN 3600 PRECEDING AND 1800 FOLLOWING)
+""")
+def win_range_span(spark, sf):
+    rows = table(spark, sf, "events").select(
+        "event_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("sec"), "value")
+    worth = F.round(F.col("value") * 100).cast("bigint")
+    out = sliding_span(rows, ["event_type"], "sec", 3600, 1800, 6 * 3600, {
+        "lo": F.min("value"), "hi": F.max("value"), "mean": F.avg(worth), "cnt": F.count("*")})
+    return out.select("event_id", "event_type", "lo", "hi", F.round("mean", 6).alias("mean_cents"), "cnt")
+
+
 @checked("""
     SELECT l_orderkey, l_linenumber, l_partkey, nullif(l_returnflag, 'N') AS flag, l_extendedprice
     FROM lineitem ORDER BY flag ASC NULLS LAST, l_extendedprice DESC NULLS FIRST, l_orderkey, l_linenumber, l_partkey
