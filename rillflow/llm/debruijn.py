@@ -30,7 +30,7 @@ WINDOW, ANCHOR = 20, 6
 NO_ID = -(1 << 63)              # stands for a null id, so that it comes first
 FACTOR = 0x9E3779B97F4A7C15     # odd, so it has an inverse modulo 2^64
 INVERSE = pow(FACTOR, -1, 1 << 64)
-CACHED_WORDS = 500_000
+PLACE = (1 << 20) - 1           # low bits of a gram's hash that make way for its place
 
 
 class Powers:
@@ -46,23 +46,15 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
 class Spans:
     """Hashes of any span of a text's words, from one running sum."""
 
-    powers, known = Powers(), WordHashes()
+    powers = Powers()
 
     def __init__(self, words: list[bytes]):
         n = len(words)
         up, self.down = self.powers(n + 1)
-        hashes = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=n)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=n)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(hashes * up[:n], out=self.sums[1:])
 
@@ -75,6 +67,15 @@ class Spans:
         return x ^ (x >> np.uint64(32))
 
 
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` successive values, by doubling."""
+    size, out = 1, x
+    while 2 * size <= width:
+        out, size = np.minimum(out[:-size], out[size:]), 2 * size
+    rest = width - size
+    return np.minimum(out[:-rest], out[rest:]) if rest else out
+
+
 def paths(words: list[bytes], window: int = WINDOW, anchor: int = ANCHOR):
     """(spans, starts, sizes, anchors) of the paths of a text: each covers ``sizes`` windows from ``starts`` on."""
     edges = len(words) - window + 1
@@ -82,11 +83,12 @@ def paths(words: list[bytes], window: int = WINDOW, anchor: int = ANCHOR):
         return None
     spans = Spans(words)
     grams = spans(np.arange(len(words) - anchor + 1), anchor)
-    views = np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1)
-    least = views.argmin(axis=1) + np.arange(edges)
+    least = sliding_min((grams & ~np.uint64(PLACE)) | (np.arange(len(grams), dtype=np.uint64) & np.uint64(PLACE)),
+                        window - anchor + 1)
     starts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     sizes = np.diff(np.r_[starts, edges])
-    return spans, starts, sizes, grams[least[starts]]
+    places = starts + (((least[starts] & np.uint64(PLACE)).astype(np.int64) - starts) & PLACE)
+    return spans, starts, sizes, grams[places]
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -217,7 +219,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A document all of whose words are removed keeps its row with an empty text. Null texts stay null.
     """
     marks = repeated_spans(placed(docs)).select("doc", "th", "marks")
-    cut = F.udf(without_repeats, "string")
+    cut = F.udf(lambda text, marks: without_repeats(text, marks), "string")
     here = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
                        .alias("doc"), F.xxhash64(docs["text"]).alias("th"))
     met = here.join(marks, ["doc", "th"], "left")
