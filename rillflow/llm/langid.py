@@ -24,6 +24,7 @@ LETTERS = regex.compile(r"\p{L}+")
 START = "▁"                # stands before a word's first letter in the vocabulary
 TABLED = 41                     # characters of a word that is worked on with others of its length
 COUNTED, SCORED = 300_000, 1_000_000    # words that a task counts, and a worker scores, before it lets go of them
+ROWS = 1000                     # documents whose words are held at once
 SMOOTH = 0.01
 
 
@@ -182,6 +183,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def slices(batches: Batches) -> Batches:
+    """Batches of at most ``ROWS`` rows: all words of a batch are held at once, at some sixty bytes each."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 class Guesser:
     """Language and its probability for texts; a worker scores a word once while it remembers it."""
 
@@ -235,7 +243,7 @@ def identify(docs: DataFrame, vocabulary_path: str, rounds: int = 2, id_col: str
 
     def predict(batches: Batches) -> Batches:
         guess = Guesser(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             best, sure = guess(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()),
                                               pa.array(sure, pa.float64())],
@@ -255,7 +263,7 @@ def with_language(docs: DataFrame, vocabulary_path: str, least: float = 0.5, rou
 
     def keep(batches: Batches) -> Batches:
         guess = Guesser(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             text = batch.column("text")
             if guess.langs:
                 best, sure = guess(text)
