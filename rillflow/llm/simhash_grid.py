@@ -15,42 +15,33 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Batches, query, table, texts, written
 from .components import components
+from .similar import set_key, shingle_hashes, similar
 
-BITS, SEGMENT, SEED = 64, 2, 42
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+BITS, SEGMENT = 64, 2
 ODD = 0x5555555555555555
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Majority of the bits of all shingle hashes, as a signed 64-bit number; zero for a text without words."""
-    words = text.encode().translate(LOWER).split() if text else []
-    if not words:
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
         return 0
-    joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [hashed(joined, SEED)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        hashes = [hashed(joined[a:b], SEED)
-                  for a, b in zip((ends - sizes)[:1 - shingle].tolist(), ends[shingle - 1:].tolist())]
     bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
     return int(np.packbits(ones, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) of every row of (doc_id, text)."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            found = [fingerprint(x.as_py()) for x in batch.column(1)]
+            found = [fingerprint(x.as_py(), shingle) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     return docs.mapInArrow(run, "doc_id long, fp long")
@@ -92,14 +83,15 @@ def fingerprint_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return left.join(right, ["set", "cell"]).where(near).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text",
+                    shingle: int = 3) -> DataFrame:
     """(doc_id, fp, root, component_id): the group of near-duplicates that each document belongs to.
 
     ``root`` is the smallest fingerprint of the group, ``component_id`` the smallest id. Texts without words have
     fingerprint zero and are linked like others. Null ids take part but never name a group unless it has no other id
     (then null). Repeated rows come out as often as they came in.
     """
-    marked = written(fingerprints(texts(docs, id_col, text_col)), "fingerprints")
+    marked = written(fingerprints(texts(docs, id_col, text_col), shingle), "fingerprints")
     first = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(fingerprint_links(first.select("fp"), distance)).withColumnRenamed("node", "fp")
     placed = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -108,15 +100,21 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
     return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3, least: float | None = None) -> DataFrame:
     """The documents (doc_id, text, ...) without near-duplicates: of each group the one with the smallest id stays.
 
+    Near-duplicates are texts whose fingerprints differ in at most ``distance`` bits or, where ``least`` is given,
+    whose sets of shingles have a Jaccard similarity of ``least`` or more; ``shingle`` is the words of a shingle.
     Rows that repeat an id count once. Among documents without an id one stays, if nothing in its group has an id.
     """
-    groups = written(near_duplicates(docs, distance), "groups")
+    if least is None:
+        found, marked = near_duplicates(docs, distance, shingle=shingle), lambda text: fingerprint(text, shingle)
+    else:
+        found, marked = similar(docs, shingle, least), lambda text: set_key(text, shingle)
+    groups = written(found, "groups")
     keepers = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(keepers, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    mark = F.udf(lambda text: fingerprint(text), "long")
+    mark = F.udf(marked, "long")
     nameless = groups.where("component_id is null").select("fp", "root").distinct()
     lone = docs.where(docs["doc_id"].isNull()).select(F.struct(*docs.columns).alias("row"), mark("text").alias("fp"))
     lone = lone.join(nameless, "fp").dropDuplicates(["root"]).select("row.*")
