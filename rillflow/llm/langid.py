@@ -23,6 +23,7 @@ from .common import Batches, query, table, written
 LETTERS = regex.compile(r"\p{L}+")
 START = "▁"                # stands before a word's first letter in the vocabulary
 TABLED = 41                     # characters of a word that is worked on with others of its length
+PLAIN = 16                      # characters of a word up to which products of probabilities stay far from underflow
 COUNTED, SCORED = 300_000, 1_000_000    # words that a task counts, and a worker scores, before it lets go of them
 ROWS = 1000                     # documents whose words are held at once
 SMOOTH = 0.01
@@ -61,13 +62,16 @@ class Lattice:
 
     def score(self, texts: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each text in each language; ``p`` has a row for each piece."""
-        out = np.empty((len(texts), p.shape[1]))
+        out, logs = np.empty((len(texts), p.shape[1])), log(p)
         for where in by_length(texts):
             same = [texts[w] for w in where]
             if len(same[0]) > TABLED:
                 out[where] = [self.long_score(s, p) for s in same]
                 continue
             spans, ids = self.table(same)
+            if len(same[0]) > PLAIN:
+                out[where] = self.log_sums(spans, ids, logs)[-1]
+                continue
             ahead = np.zeros((len(same[0]) + 1, len(same), p.shape[1]))
             ahead[0] = 1
             for k, (i, j) in enumerate(spans):
@@ -75,6 +79,16 @@ class Lattice:
             out[where] = np.log(ahead[-1])
         return out
 
+    def log_sums(self, spans: list[tuple[int, int]], ids: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Logs of the forward sums at each position of each text; ``logs`` has a row for each piece."""
+        ahead = np.full((spans[-1][1] + 1, len(ids), *logs.shape[1:]), -np.inf)
+        ahead[0] = 0
+        for k, (i, j) in enumerate(spans):
+            met = np.flatnonzero(ids[:, k] != self.none)
+            if len(met):
+                ahead[j][met] = np.logaddexp(ahead[j][met], ahead[i][met] + logs[ids[met, k]])
+        return ahead
+
     def long_score(self, s: str, p: np.ndarray) -> np.ndarray:
         """The same for one text of any length: only the last few sums are kept, scaled up when they get small."""
         recent, scale = [np.ones(p.shape[1])], np.zeros(p.shape[1])
@@ -92,9 +106,12 @@ class Lattice:
 
     def expect(self, texts: list[str], n: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in ``n`` copies of each text, under the probabilities ``p`` of one language."""
-        uses = np.zeros(len(p))
+        uses, logs = np.zeros(len(p)), log(p)
         for where in by_length(texts):
             spans, ids = self.table([texts[w] for w in where])
+            if len(texts[where[0]]) > PLAIN:
+                uses += self.log_expect(spans, ids, n[where], logs)
+                continue
             length, weight = len(texts[where[0]]), p[ids]
             ahead, behind = np.zeros((length + 1, len(where))), np.zeros((length + 1, len(where)))
             ahead[0] = behind[-1] = 1
@@ -107,6 +124,25 @@ class Lattice:
             uses += np.bincount(ids.ravel(), share.ravel(), minlength=len(p))
         return uses
 
+    def log_expect(self, spans: list[tuple[int, int]], ids: np.ndarray, n: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """The same for texts of one length, by logs of the sums."""
+        ahead = self.log_sums(spans, ids, logs)
+        behind, uses = np.full(ahead.shape, -np.inf), np.zeros(len(logs))
+        behind[-1] = 0
+        for k, (i, j) in reversed(list(enumerate(spans))):
+            met = np.flatnonzero(ids[:, k] != self.none)
+            if len(met):
+                piece, after = ids[met, k], logs[ids[met, k]] + behind[j][met]
+                share = n[met] * np.exp(ahead[i][met] + after - ahead[-1][met])
+                np.add.at(uses, piece, share)
+                behind[i][met] = np.logaddexp(behind[i][met], after)
+        return uses
+
+
+def log(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(p)
+
 
 def by_length(texts: list[str]) -> list[np.ndarray]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))

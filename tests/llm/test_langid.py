@@ -51,6 +51,32 @@ def test_long_words_do_not_underflow():
     assert np.isfinite(got).all() and got[0] < -50_000
 
 
+@pytest.mark.parametrize("letters", [16, 30, 34, 36, 40])
+def test_unseen_letters_do_not_underflow(letters):
+    lattice = Lattice(VOCABULARY)
+    p = np.full((9, 2), 1e-3)
+    p[lattice.unknown] = 0.01 / 1e9, 0.02 / 1e9         # of a billion pieces
+    p[-1] = 0
+    text = "▁" + "ж" * letters
+    want = np.log(1e-3) + letters * np.log(p[lattice.unknown])
+    assert lattice.score([text, "▁a", text], p)[2] == pytest.approx(want)
+    uses = lattice.expect([text, text], np.array([2.0, 1e9]), p[:, 0])
+    assert uses[lattice.unknown] == pytest.approx((1e9 + 2) * letters) and uses[0] == pytest.approx(1e9 + 2)
+    assert np.isfinite(uses).all() and uses[-1] == 0
+
+
+@pytest.mark.parametrize("text", ["▁" + "ab" * 6 + "cbab" * 2, "▁" + "ab" * 9])
+def test_logs_give_what_products_give(text, monkeypatch):
+    lattice = Lattice(VOCABULARY)
+    p = np.random.default_rng(3).random((9, 2))
+    p[-1] = 0
+    run = lambda: (lattice.score([text], p), lattice.expect([text], np.array([2.0]), p[:, 0]))
+    by_logs = run()
+    monkeypatch.setattr("rillflow.llm.langid.PLAIN", 99)
+    for a, b in zip(by_logs, run()):
+        assert a == pytest.approx(b)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     langs = {r.doc_id: r.lang for r in docs.collect()}
