@@ -2,10 +2,11 @@
 
 A document's score is the sum of the conditional log-probabilities of its tokens. The network sees ``SIDE`` tokens to
 the left and to the right; each place has its own embedding table, their sum goes through one tanh layer, and the
-token is predicted in two steps, its class and then itself within the class, so that neither softmax is wide.
+token is predicted in two steps, its class and then itself within the class, so that neither softmax is wide. Words
+beyond the vocabulary are predicted as one of ``RARE`` hash classes, and their share of that class's tokens is added.
 
-Training is data-parallel in rounds: every partition starts from the shared model, learns from the masked tokens of
-all its documents, and sends its parameters; their mean, weighted by tokens, is the next shared model. Parameters are
+Training is data-parallel in rounds: every partition starts from the shared model, learns from the tokens of all its
+documents that are masked in this round (each token is in one of the rounds), and sends its parameters; their mean, weighted by tokens, is the next shared model. Parameters are
 averaged in chunks and in two steps, so no task or driver ever holds more than a bounded number of models.
 """
 
@@ -20,13 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, query, table, texts
+from .common import Batches, query, table, texts, written
 
 SIDE, HIDDEN, CLASSES = 2, 32, 32
 VOCABULARY = CLASSES * CLASSES
 RARE = 64                       # tokens that stand for all rarer words, by hash
 PAD = VOCABULARY                # what lies beyond either end of a document
-MASKED = 8                      # one token in so many is predicted while training
+KEPT = 200_000                  # rarer words whose shares of their class every worker holds; the others are joined
 BATCH, SLICE, RATE = 2048, 65_536, 0.08
 COUNTED = 400_000
 CHUNK, FAN = 2048, 256
@@ -82,6 +83,39 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Codes(dict):
+    """Numbers of the words held here; of another word minus its class minus one, and the word is noted in ``left``."""
+
+    left: list[bytes]
+
+    def __missing__(self, word: bytes) -> int:
+        self.left.append(word)
+        return -1 - zlib.crc32(word) % RARE
+
+
+class Shares:
+    """Log share of each rarer word in the tokens of its class, where one token more stands for unseen words."""
+
+    def __init__(self, counts: DataFrame, ids: dict[bytes, int]):
+        spark = counts.sparkSession
+        common = spark.createDataFrame([(bytearray(w),) for w in ids], "word binary")
+        self.rare = written(counts.join(F.broadcast(common), "word", "left_anti"), "rare")
+        totals = self.rare.groupBy((F.crc32("word") % RARE).alias("class")).agg(F.sum("n").alias("n")).collect()
+        self.logs = np.zeros(RARE)
+        for row in totals:
+            self.logs[row["class"]] = np.log1p(row["n"])
+        top = self.rare.orderBy(F.desc("n"), "word").limit(KEPT).collect()
+        self.words = [bytes(r["word"]) for r in top]
+        self.codes = np.array([zlib.crc32(w) % RARE for w in self.words], dtype=np.int64)
+        self.kept = np.log(np.array([r["n"] for r in top], dtype=np.float64)) - self.logs[self.codes]
+
+    def joined(self, met: DataFrame) -> DataFrame:
+        """(row, more): the summed log shares of the words (row, word, k) that no worker holds."""
+        logs = F.array(*[F.lit(float(x)) for x in self.logs])
+        share = F.coalesce(F.log("n"), F.lit(0.0)) - F.get(logs, (F.crc32("word") % RARE).cast("int"))
+        return met.join(self.rare, "word", "left").groupBy("row").agg(F.sum(F.col("k") * share).alias("more"))
+
+
 def laid_out(listed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All documents in one row with ``SIDE`` pads around each, and where each one's tokens begin."""
     pads = np.full(SIDE, PAD, dtype=np.int32)
@@ -160,8 +194,8 @@ def train(docs: DataFrame, ids: dict[bytes, int], rounds: int) -> np.ndarray:
 
             def step():
                 row, starts = laid_out(listed)
-                # masked places shift with the document's length and the round, so every kind of place has its turn
-                at = [np.arange(s + (len(x) + 3 * turn) % MASKED, s + len(x), MASKED) for s, x in zip(starts, listed)]
+                # masked places shift with the document's length and the round; the rounds together cover every token
+                at = [np.arange(s + (len(x) + turn) % rounds, s + len(x), rounds) for s, x in zip(starts, listed)]
                 at = np.concatenate(at)
                 np.random.default_rng(len(at)).shuffle(at)
                 for i in range(0, len(at), BATCH):
@@ -207,36 +241,58 @@ def train(docs: DataFrame, ids: dict[bytes, int], rounds: int) -> np.ndarray:
 def pseudo_likelihood(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, pll, pll_per_token) for every row: summed log-probabilities, all at most zero.
 
-    Tokens are words in lower case; all but the most frequent ones stand for their hash class. The vocabulary is
-    counted and the network trained over all documents. Null and empty texts have no tokens: ``pll`` is 0 and the mean
-    is null. Null and repeated ids are scored row by row. An empty table gives no rows.
+    Tokens are words in lower case. A word that is not among the most frequent ones has the probability of its hash
+    class times its share of the class's tokens; shares of the less rare ones are held by every worker, the others are
+    joined. The vocabulary is counted and the network trained over all documents. Null and empty texts have no tokens:
+    ``pll`` is 0 and the mean is null. Null and repeated ids are scored row by row. An empty table gives no rows.
     """
     spark, docs = docs.sparkSession, texts(docs, id_col, text_col)
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()
+    counts = written(word_counts(docs), "words")
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()
     ids = {bytes(row["word"]): i for i, row in enumerate(top)}
-    shared = spark.sparkContext.broadcast((ids, train(docs, ids, rounds)))
+    shares = Shares(counts, ids)
+    # by number: first the words of the vocabulary, then the rarer ones that are held, last the classes from the end on
+    token = np.concatenate([np.arange(len(ids)), VOCABULARY - RARE + shares.codes,
+                            VOCABULARY - 1 - np.arange(RARE)]).astype(np.int32)
+    share = np.concatenate([np.zeros(len(ids)), shares.kept, np.zeros(RARE)])
+    shared = spark.sparkContext.broadcast(([*ids, *shares.words], token, share, train(docs, ids, rounds)))
 
     def score(batches: Batches) -> Batches:
-        known, flat = shared.value
-        lookup, m = Ids(known), views(flat)
+        known, token, share, flat = shared.value
+        lookup, m = Codes(zip(known, range(len(known)))), views(flat)
+        at_row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            listed = []
+            listed, more, ends, left, k = [], [], [0], [], []
             for text in batch.column(1):
-                found = words(text.as_py())
-                listed.append(np.fromiter(map(lookup.__getitem__, found), np.int32, len(found)))
+                found, lookup.left = words(text.as_py()), []
+                codes = np.fromiter(map(lookup.__getitem__, found), np.int64, len(found))
+                listed.append(token[codes])
+                more.append(float(share[codes].sum()))
+                rest = Counter(lookup.left)
+                left += rest.keys()
+                k += rest.values()
+                ends.append(len(left))
             row, starts = laid_out(listed)
             at = np.flatnonzero(row != PAD)
             each = np.zeros(len(row) + 1)
             for i in range(0, len(at), SLICE):
                 each[at[i:i + SLICE]] = log_probabilities(m, row, at[i:i + SLICE])
             n = [len(x) for x in listed]
-            total = [float(each[s:s + k].sum()) for s, k in zip(starts.tolist(), n)]
+            total = [float(each[s:s + c].sum()) + x for s, c, x in zip(starts.tolist(), n, more)]
+            rest = pa.StructArray.from_arrays([pa.array(left, pa.binary()), pa.array(k, pa.int64())], ["word", "k"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()),
-                 pa.array([t / k if k else None for t, k in zip(total, n)], pa.float64())],
-                ["doc_id", "n_tokens", "pll", "pll_per_token"])
-
-    return docs.mapInArrow(score, "doc_id long, n_tokens long, pll double, pll_per_token double")
+                [pa.array(np.arange(at_row, at_row + len(n))), batch.column(0), pa.array(n, pa.int64()),
+                 pa.array(total, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)],
+                ["row", "doc_id", "n_tokens", "pll", "rest"])
+            at_row += len(n)
+
+    fields = "row long, doc_id long, n_tokens long, pll double, rest array<struct<word: binary, k: long>>"
+    scored = written(docs.mapInArrow(score, fields), "scored")
+    met = scored.select("row", F.explode("rest").alias("rest")).select("row", "rest.word", "rest.k")
+    whole = scored.drop("rest").join(shares.joined(met), "row", "left")
+    whole = whole.withColumn("pll", F.col("pll") + F.coalesce("more", F.lit(0.0)))
+    each = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))
+    return whole.select("doc_id", "n_tokens", "pll", each.alias("pll_per_token"))
 
 
 @query("op6_masked_lm")

@@ -56,6 +56,43 @@ def test_scores(spark):
     assert lm.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kept", [0, 1, 200_000])
+def test_rare_words_have_their_share_of_the_class(spark, monkeypatch, kept):
+    monkeypatch.setattr(lm, "KEPT", kept)
+    common = " ".join(f"c{i} c{i} c{i} c{i} c{i} c{i} c{i} c{i} c{i}" for i in range(lm.VOCABULARY - lm.RARE))
+    by_class = {}
+    for i in range(300):
+        by_class.setdefault(lm.zlib.crc32(f"r{i}".encode()) % lm.RARE, []).append(f"r{i}")
+    often, once = next(v for v in by_class.values() if len(v) > 1)[:2]
+    rows = [(0, common), (1, f"{often} c0"), (2, f"{once} c0"), (3, f"{often} c0 {often} {often} {often} {often}"),
+            (1, "c1"), (None, f"{once} c0"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = lm.pseudo_likelihood(docs).collect()
+    assert len(got) == len(rows)
+    a, b, c = (next(r.pll for r in got if r.doc_id == i and r.n_tokens == 2) for i in (1, 2, None))
+    assert a - b == pytest.approx(np.log(6 / 2), abs=1e-4) and b == pytest.approx(c)
+
+
+def test_rounds_cover_every_token(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "learn", lambda flat, square, row, at: seen.append(len(at)))
+    rows = [(i, " ".join("ab" * 3 if i % 2 else "c" for _ in range(i))) for i in range(1, 20)]
+
+    class Docs:
+        """Runs the partitions here, so that the calls are counted."""
+        sparkSession = spark
+        select = lambda self, *_: self
+
+        def mapInArrow(self, run, _):
+            import pyarrow as pa
+            monkeypatch.setattr(lm.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda s: 0})()))
+            list(run(iter([pa.RecordBatch.from_pydict({"text": [t for _, t in rows]})])))
+            return spark.createDataFrame([], "part long, chunk long, weight double, values binary")
+
+    lm.train(Docs(), {b"c": 0}, 2)
+    assert sum(seen) == sum(i for i, _ in rows)
+
+
 def test_counts(spark):
     docs = spark.createDataFrame([(1, "A a b\nÉ"), (2, None), (3, "a")], "doc_id long, text string")
     assert {bytes(r.word).decode(): r.n for r in lm.word_counts(docs).collect()} == {"a": 3, "b": 1, "é": 1}
