@@ -3,8 +3,8 @@
 A seed looks at some of ``SPAN`` successive words and ignores the others. The masks are chosen so that whenever
 ``WINDOW`` aligned words of a document and a benchmark item agree in all but ``WINDOW - LEAST`` places, wherever those
 are, some mask sees only agreeing words; a test tries all patterns. A hit is verified in the row it is found in, since
-the benchmark side of the join carries the words around its seed: texts are never shuffled, and no hit outlives its
-row unless it is a leak.
+the benchmark side of the join carries the words around its seed. With few seeds these are broadcast and no text is
+shuffled; with more, places and seeds are, and each text once, when the words around its hits are looked up.
 """
 
 from __future__ import annotations
@@ -57,6 +57,16 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
     return items.select(F.explode(seeds(F.col("j"), F.col("hashes"))).alias("seed"), "item_id", near.alias("near"))
 
 
+def shuffled_hits(sown: DataFrame, known: DataFrame, listed: DataFrame) -> DataFrame:
+    """(doc_id, th, listed, i, item_id, near): hits of any number of seeds, by shuffles of numbers and of whole texts once.
+
+    Copies of a text have the same hits, which are looked for once.
+    """
+    places = sown.select("th", "i", "seed").distinct()
+    hits = places.join(known, "seed").select("th", "i", "item_id", "near").distinct()
+    return listed.join(hits, "th")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, item_id, best_match): documents that share ``WINDOW`` aligned words with an item, up to
     ``WINDOW - LEAST`` substitutions.
@@ -73,7 +83,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     placed = listed.where(F.size("listed") >= SPAN).withColumn("hashes", hashed(F.col("listed")))
     placed = placed.select("doc_id", "th", "listed", "hashes", positions(F.col("listed")).alias("i"))
     sown = placed.select("doc_id", "th", "listed", "i", F.explode(seeds(F.col("i"), F.col("hashes"))).alias("seed"))
-    hits = sown.join(F.broadcast(known) if few else known, "seed")
+    hits = sown.join(F.broadcast(known), "seed") if few else shuffled_hits(sown, known, listed)
     # Verified apart from the join, as together they would be more code than the JVM compiles. The generator is there
     # so that the words around the hit are cut out before that, and the text stays behind.
     hits = hits.select("doc_id", "th", "item_id", "near",

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+from rillflow.llm import decontaminate
 from rillflow.llm.decontaminate import LEAST, MASKS, SPAN, WINDOW, leaks, without_leaks
 
 DOCS = "doc_id long, text string, item_id string, seed int, gone_id int, th string"
@@ -63,6 +64,30 @@ def test_odd_rows(spark):
     assert len(left) == 6 and all((r.seed, r.gone_id, r.th) == (1, 2, "y") for r in left)
 
 
+def test_many_seeds_shuffle_numbers_and_each_text_once(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(30))) for i in range(6)]
+    docs = [(i, " ".join([f"x{rng.randrange(99)}" for _ in range(50)] + items[i % 6][1].split()[i % 5:])) for i in range(30)]
+    docs += [(1, docs[1][1]), (100, docs[1][1]), (None, docs[2][1]), (101, None), (102, "short"), (1, docs[4][1])]
+    d, b = frames(spark, docs, items)
+    want = sorted(map(tuple, leaks(d, b).collect()), key=str)
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    found = leaks(d, b)
+    assert sorted(map(tuple, found.collect()), key=str) == want and len(want) > 30
+    assert sorted(r.doc_id for r in without_leaks(d, b).collect()) == [101, 102]
+    # of all that is shuffled below the join on seeds, nothing carries the list of words
+    joined = []
+
+    def walk(plan):
+        if plan.nodeName() == "Join" and "seed" in plan.condition().toString():
+            joined.append(plan.left().output().toString() + plan.right().output().toString())
+        for k in range(plan.children().size()):
+            walk(plan.children().apply(k))
+
+    walk(found._jdf.queryExecution().optimizedPlan())
+    assert len(joined) == 1 and "listed" not in joined[0] and "near" in joined[0]
+
+
 def test_empty_tables(spark):
     item = " ".join(f"word{i}" for i in range(30))
     for docs, items in (([], [(1, item)]), ([(1, item)], []), ([], [])):
