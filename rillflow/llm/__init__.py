@@ -1,6 +1,8 @@
 """Operators of a training-data pipeline, and their queries."""
 
-from . import arc, debruijn, decontaminate, langid, masked_lm, packing, prefix_tree, simhash_grid, toxicity_chain, weak_rules
+from . import (
+    arc, debruijn, decontaminate, divergence, langid, masked_lm, packing, prefix_tree, simhash_grid, toxicity_chain, weak_rules,
+)
 from .common import CATALOG
 
 __all__ = ["CATALOG"]

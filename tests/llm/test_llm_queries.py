@@ -20,7 +20,7 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(entry.EXTRA) == {*CATALOG, "pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in CATALOG) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in CATALOG) == list(range(1, 14))
 
 
 def test_bit_filter(spark):
