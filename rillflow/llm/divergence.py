@@ -64,7 +64,7 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
                 for part in term_lists(raw.as_py()):
                     terms.update(part)
                 counts = seen.setdefault(lang, Counter())
-                new = terms.difference(counts)
+                new = [t for t in terms if t not in counts]
                 held += 150 * len(new) + sum(map(len, new))
                 counts.update(terms)
                 if held > HELD:
@@ -77,7 +77,7 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
     return found.groupBy("lang", F.col("term").cast("string").alias("term")).agg(F.sum("docs").alias("docs"))
 
 
-SHARDS = "lang string, tier int, shard int, shards int, sizes array<int>, bits binary, keys array<binary>, placed int"
+SHARDS = "lang string, tier int, shard int, shards int, sizes array<int>, bits binary, keys array<binary>, placed int, terms int"
 
 
 def perfect_hashes(kept: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
@@ -101,9 +101,9 @@ def perfect_hashes(kept: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     def place(key, group):
         terms = sorted(group.column("term").to_pylist())
         sizes, bitmaps, keys, placed = build(terms, np.array([term_hash(t) for t in terms], dtype=np.uint64))
-        row = [*(k.as_py() for k in key), group.column("shards")[0].as_py(), sizes, bitmaps, keys, placed]
+        row = [*(k.as_py() for k in key), group.column("shards")[0].as_py(), sizes, bitmaps, keys, placed, len(keys)]
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary(),
-                 pa.list_(pa.binary()), pa.int32()]
+                 pa.list_(pa.binary()), pa.int32(), pa.int32()]
         return pa.table([pa.array([v], k) for v, k in zip(row, kinds)], names=[f.split()[0] for f in SHARDS.split(", ")])
 
     return dealt.groupBy("lang", "tier", "shard").applyInArrow(place, SHARDS)
@@ -219,7 +219,7 @@ def pair_distances(groups: DataFrame, shards: DataFrame, counts: DataFrame) -> D
     packed = counts.groupBy("lang", "tier", "shard", "source").agg(F.collect_list(F.struct("slot", "n")).alias("found"))
     none = groups.where("v = 0").select("lang").distinct().select(
         "lang", F.lit(0).alias("tier"), F.lit(0).alias("shard"), F.lit(0).alias("terms"))
-    blocks = shards.select("lang", "tier", "shard", F.size("keys").alias("terms")).unionByName(none)
+    blocks = shards.select("lang", "tier", "shard", "terms").unionByName(none)
     tiles = F.ceil(F.col("sources") / TILE)
     rows = groups.select("lang", "source", "whole", F.pmod(F.xxhash64("source"), tiles).cast("int").alias("tile"),
                          F.sequence(F.lit(0), (tiles - 1).cast("int")).alias("tiles"))
@@ -287,8 +287,8 @@ def divergence(docs: DataFrame, least_docs: int = 30, ranks: int = 50, most: int
     shards = written(perfect_hashes(kept, most), "shards")
     columns = [F.col("lang").alias("name"), "shard", "shards", "sizes", "bits", "keys", "placed"]
     shared = spark.sparkContext.broadcast(PerfectHashes(shards.where("tier = 0").select(*columns).toArrow()))
-    terms = shards.select("lang", "tier", "shard", F.posexplode("keys").alias("slot", "item")).withColumn(
-        "item", F.col("item").cast("string"))
+    terms = shards.select("lang", "tier", "shard", F.posexplode("keys").alias("slot", "item"))
+    terms = written(terms.withColumn("item", F.col("item").cast("string")), "terms")
     rest = terms.where("tier = 1")
     others = None if rest.isEmpty() else BitFilter(spark, rest.select(F.xxhash64("item").alias("h")))
 
