@@ -29,17 +29,6 @@ TABLES, FIRST, LARGER = 3, 4, 4     # tables of a sketch, cells of a table at fi
 HELD = 1 << 22                      # code points of texts compared at once
 
 
-def digests(text: str) -> np.ndarray:
-    """A digest per paragraph; a paragraph that comes again has another one each time, so that sets do for repeats."""
-    seen: dict[str, int] = {}
-    found = []
-    for paragraph in PARAGRAPH.findall(text):
-        again = seen.get(paragraph, 0)
-        seen[paragraph] = again + 1
-        found.append(xxhash.xxh3_64_intdigest(paragraph, again))
-    return np.array(found, dtype=np.uint64)
-
-
 def _mixed(keys: np.ndarray, salt: int) -> np.ndarray:
     x = keys + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -47,6 +36,20 @@ def _mixed(keys: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def digests(text: str) -> np.ndarray:
+    """A digest per paragraph; a paragraph that comes again has another one each time, so all of a text's digests differ."""
+    found = np.array([xxhash.xxh3_64_intdigest(x) for x in PARAGRAPH.findall(text)], dtype=np.uint64)
+    while True:
+        order = np.argsort(found, kind="stable")
+        begins = np.ones(len(found), dtype=bool)
+        begins[1:] = found[order][1:] != found[order][:-1]
+        if begins.all():
+            return found
+        again = np.arange(len(found)) - np.maximum.accumulate(np.where(begins, np.arange(len(found)), 0))
+        more = order[~begins]
+        found[more] = _mixed(found[more] + _mixed(again[~begins].astype(np.uint64), 0), 0)
+
+
 @dataclass
 class Sketches:
     """One sketch for each text of a list, with ``size`` cells a table."""

@@ -87,4 +87,6 @@ def test_failure_is_seen_and_mended(monkeypatch):
 def test_repeats_of_a_paragraph_have_digests_of_their_own():
     assert len(set(digests("x\n" * 50).tolist())) == 50
     assert set(digests("a.b.a.").tolist()) == set(digests("b.a.a.").tolist()) > set(digests("a.b.").tolist())
+    short = "".join(f"{chr(97 + i % 26)}{'' if i % 3 else 'b'}." for i in range(3000))
+    assert len(set(digests(short).tolist())) == 3000
     assert not len(digests(""))
