@@ -7,6 +7,8 @@ scored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -17,22 +19,28 @@ from .common import Batches, query, table
 
 WORDS = regex.compile(r"\p{L}+")
 CAPITALS = regex.compile(r"\p{Lu}+")
-FEATURES, MIN_DOCS, FOLDS, STEPS, RIDGE = 600, 4, 4, 200, 0.1
+STEMS = range(6, 8)             # letters of a beginning that several words of a text share
+FEATURES = (24, 96, 384)        # how many words a model may take; the out-of-fold predictions choose
+MIN_DOCS, FOLDS, STEPS, RIDGE = 2, 4, 30, 0.1
 
 # Category and the label expression that it is learned from; null: the row says nothing about the category.
 CATEGORIES = (("junk", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_junk", "quality = 0 and toxic = 1"))
 
 
 def features(text: str | None) -> set[str]:
-    """The distinct words of a whole text in lower case, and signs of its make-up as words that no text can hold."""
+    """The distinct words of a whole text in lower case, beginnings that several of them go on from, and signs of make-up.
+
+    Beginnings and signs are written as words that no text can hold.
+    """
     if not text:
         return {"=empty"}
     found = set(WORDS.findall(text.lower()))
+    stems = Counter(w[:n] for w in found for n in STEMS if len(w) > n)
     if 4 * sum(map(len, CAPITALS.findall(text))) > len(text):
         found.add("=upper")
     if 20 * sum(text.count(c) for c in "#$%&*|<>!") > len(text):
         found.add("=symbols")
-    return found
+    return found | {"^" + stem for stem, n in stems.items() if n > 1}
 
 
 class Linear:
@@ -46,8 +54,8 @@ class Linear:
         return self.bias + sum(self.weights[self.words[w]] for w in hits) + float(self.dense @ inputs)
 
 
-def chosen_words(docs: list[set[str]], y: np.ndarray) -> dict[str, int]:
-    """The words whose presence tells most about ``y``, by the G-test with its sign left aside."""
+def chosen_words(docs: list[set[str]], y: np.ndarray, most: int) -> dict[str, int]:
+    """The ``most`` words whose presence tells most about ``y``, by the G-test with its sign left aside."""
     seen: dict[str, list[int]] = {}
     for words, label in zip(docs, y.tolist()):
         for w in words:
@@ -59,34 +67,44 @@ def chosen_words(docs: list[set[str]], y: np.ndarray) -> dict[str, int]:
     share = (y.sum() + 0.5) / (len(y) + 1)
     n = no + yes
     gain = yes * np.log(np.maximum(yes, 1e-9) / (n * share)) + no * np.log(np.maximum(no, 1e-9) / (n * (1 - share)))
-    order = sorted(range(len(kept)), key=lambda i: (-gain[i], kept[i][0]))[:FEATURES]
+    order = sorted(range(len(kept)), key=lambda i: (-gain[i], kept[i][0]))[:most]
     return {kept[i][0]: at for at, i in enumerate(order)}
 
 
-def fit(docs: list[set[str]], inputs: np.ndarray, y: np.ndarray) -> Linear:
-    """Ridge-penalised logistic regression by accelerated gradient steps."""
-    words = chosen_words(docs, y)
-    rows, columns = [], []
+def design(docs: list[set[str]], words: dict[str, int], inputs: np.ndarray) -> np.ndarray:
+    """A row per document: presence of the words, the dense inputs, and a one for the bias."""
+    x = np.zeros((len(docs), len(words) + inputs.shape[1] + 1))
     for i, doc in enumerate(docs):
-        hits = [words[w] for w in words.keys() & doc]
-        rows += [i] * len(hits)
-        columns += hits
-    rows, columns = np.array(rows, dtype=np.int64), np.array(columns, dtype=np.int64)
-    n, d, k = len(docs), len(words), inputs.shape[1]
-    per_row = np.bincount(rows, minlength=n) + 1 + (inputs ** 2).sum(axis=1)
-    step = 1 / (0.25 * per_row.mean() * max(1, n) ** 0.5 + RIDGE)
-    w, momentum = np.zeros(d + k + 1), np.zeros(d + k + 1)
-    square = np.full(d + k + 1, 1e-8)
+        x[i, [words[w] for w in words.keys() & doc]] = 1
+    x[:, len(words):-1] = inputs
+    x[:, -1] = 1
+    return x
+
+
+def fit(docs: list[set[str]], inputs: np.ndarray, y: np.ndarray, most: int) -> Linear:
+    """Ridge-penalised logistic regression by Newton steps, halved while they do not lower the loss."""
+    words = chosen_words(docs, y, most)
+    x = design(docs, words, inputs)
+    ridge = np.full(x.shape[1], RIDGE)
+    ridge[-1] = 0
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * ridge @ w ** 2)
+
+    w = np.zeros(x.shape[1])
     for _ in range(STEPS):
-        ahead = w + 0.9 * momentum
-        z = np.bincount(rows, ahead[columns], minlength=n) + inputs @ ahead[d:d + k] + ahead[-1]
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        slope = np.r_[np.bincount(columns, error[rows], minlength=d), error @ inputs, error.sum()]
-        slope[:-1] += RIDGE * ahead[:-1]
-        square = 0.9 * square + 0.1 * slope ** 2
-        momentum = 0.9 * momentum - max(step, 0.02) * slope / np.sqrt(square)
-        w = w + momentum * 0.5
-    return Linear(words, w[:d], w[d:d + k], float(w[-1]))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (p - y) + ridge * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), slope)
+        now, part = loss(w), 1.0
+        while part > 1e-6 and loss(w - part * step) > now:
+            part /= 2
+        w = w - part * step
+        if np.abs(part * step).max() < 1e-7:
+            break
+    d = len(words)
+    return Linear(words, w[:d], w[d:-1], float(w[-1]))
 
 
 def sigmoid(x: float) -> float:
@@ -104,15 +122,25 @@ def fit_chain(docs: list[set[str]], labels: np.ndarray, folds: np.ndarray) -> li
             inputs = np.c_[inputs, np.full(len(docs), chain[-1])]
             continue
         pick = lambda at: ([docs[i] for i in at], inputs[at], y[at])
-        out = np.zeros(len(docs))
-        for fold in range(FOLDS):
-            train, test = known[folds[known] != fold], np.flatnonzero(folds == fold)
-            if len(set(y[train].tolist())) < 2:
-                out[test] = y[known].mean()
-                continue
-            model = fit(*pick(train))
-            out[test] = [sigmoid(model.logit(docs[i], inputs[i])) for i in test]
-        chain.append(fit(*pick(known)))
+
+        def out_of_fold(most: int) -> np.ndarray:
+            out = np.zeros(len(docs))
+            for fold in range(FOLDS):
+                train, test = known[folds[known] != fold], np.flatnonzero(folds == fold)
+                if len(set(y[train].tolist())) < 2:
+                    out[test] = y[known].mean()
+                    continue
+                model = fit(*pick(train), most)
+                out[test] = [sigmoid(model.logit(docs[i], inputs[i])) for i in test]
+            return out
+
+        def loss(out: np.ndarray) -> float:
+            right = np.where(y[known] == 1, out[known], 1 - out[known])
+            return -float(np.log(np.maximum(right, 1e-12)).sum())
+
+        tried = [(out_of_fold(most), most) for most in FEATURES]
+        out, most = min(tried, key=lambda x: loss(x[0]))
+        chain.append(fit(*pick(known), most))
         inputs = np.c_[inputs, out]
     return chain
 
@@ -128,8 +156,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_ro
              text_col: str = "text") -> DataFrame:
     """(doc_id, p_<category> for each category) for every document.
 
-    The chain is fitted on at most ``train_rows`` labelled documents, those whose ids have the least hashes. Labels of
-    one document that disagree count as positive; null labels leave their category open, rows with a null id are not
+    The chain is fitted on at most ``train_rows`` labelled documents, those whose ids have the least hashes; of rows that
+    repeat an id the one with the least text hash is learned from. Labels of one document that disagree count as positive; null labels leave their category open, rows with a null id are not
     learned from. Without labels for a category its probability is 0, if all agree it is what they say. Null and
     empty texts are scored by the feature that says so. Repeated rows come out as often as they came in.
     """
@@ -148,7 +176,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_ro
                                                pa.list_(pa.string()))], [*batch.schema.names[:-1], "words"])
 
     fields = ", ".join(["doc_id long", *[f"{c} double" for c in names], "words array<string>"])
-    rows = given.join(sample, "doc_id").select("doc_id", *names, "text").mapInArrow(listed, fields).toArrow()
+    # one row for each sampled id, chosen by hashes alone, so that copies of a document bring no more texts
+    copies = given.select("doc_id", F.xxhash64("text").alias("th")).join(sample, "doc_id")
+    copies = copies.groupBy("doc_id", *names).agg(F.min("th").alias("th"))
+    once = given.withColumn("th", F.xxhash64("text")).join(copies, ["doc_id", "th"])
+    once = once.groupBy("doc_id", *names).agg(F.first("text").alias("text"))
+    rows = once.select("doc_id", *names, "text").mapInArrow(listed, fields).toArrow()
     rows = rows.sort_by("doc_id")
     y = np.stack([rows.column(c).to_numpy() for c in names], axis=1) if len(rows) else np.zeros((0, len(names)))
     ids = rows.column("doc_id").to_numpy()

@@ -1,7 +1,8 @@
 """Classifier chains: accuracy on documents not learned from, and defined results for odd input."""
 
 import numpy as np
-from rillflow.llm.toxicity_chain import features, fit_chain, predict, toxicity
+from rillflow.llm import toxicity_chain as module
+from rillflow.llm.toxicity_chain import design, features, fit, fit_chain, toxicity
 
 DOCS = "doc_id long, text string, quality string, junk int, words string"
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -20,16 +21,57 @@ def test_unseen_documents(spark):
     assert sum(got[i] for i in test if toxic[i]) >= 0.75 * sum(toxic[i] for i in test)
 
 
-def test_later_models_see_out_of_fold_probabilities():
+def solved(x, y, ridge):
+    """The least loss by plain gradient steps, without Newton's curvature."""
+    w, rate = np.zeros(x.shape[1]), 4 / (np.linalg.norm(x, 2) ** 2 + 4 * ridge)
+    weight = np.r_[np.full(x.shape[1] - 1, ridge), 0]
+    for _ in range(60_000):
+        w -= rate * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) + weight * w)
+    return w
+
+
+def test_fit_is_the_least_loss():
+    rng = np.random.default_rng(1)
+    docs = [{f"w{j}" for j in rng.choice(12, 4, replace=False)} for _ in range(200)]
+    inputs = rng.random((200, 2))
+    y = (rng.random(200) < 1 / (1 + np.exp(2 - 4 * inputs[:, 0] - np.array(["w3" in d for d in docs])))).astype(float)
+    model = fit(docs, inputs, y, 8)
+    assert len(model.words) == 8 and model.dense[0] > 1
+    want = solved(design(docs, model.words, inputs), y, module.RIDGE)
+    assert np.allclose(np.r_[model.weights, model.dense, model.bias], want, atol=1e-4)
+
+
+def test_later_models_see_out_of_fold_probabilities(monkeypatch):
+    """The second category follows the first where no word of the document says so."""
     rng = np.random.default_rng(2)
     docs, labels = [], []
     for _ in range(600):
-        a = rng.random() < 0.4
-        docs.append({"bad" if a and rng.random() < 0.9 else "good", f"w{rng.integers(9)}"})
-        labels.append([float(a), float(a)])
-    chain = fit_chain(docs, np.array(labels), np.arange(600) % 4)
+        signs = {f"s{j}" for j in range(40) if rng.random() < 0.5}
+        a = len(signs) + rng.normal() > 20.5
+        docs.append(signs)
+        labels.append([float(a), float(a if rng.random() < 0.9 else rng.random() < 0.5)])
+    labels, folds, seen = np.array(labels), np.arange(600) % 4, []
+    monkeypatch.setattr(module, "FEATURES", (40,))
+    monkeypatch.setattr(module, "fit", lambda d, x, y, most: seen.append(x) or fit(d, x, y, 40 if not x.shape[1] else 5))
+    chain = fit_chain(docs, labels, folds)
     assert chain[1].dense.shape == (1,) and chain[1].dense[0] > 0        # it leans on the earlier category
-    assert predict(chain, {"bad"})[1] > 0.5 > predict(chain, {"good"})[1]
+    given = seen[-1][:, 0]
+    for fold in range(4):
+        rest = np.flatnonzero(folds != fold)
+        model = fit([docs[i] for i in rest], np.zeros((450, 0)), labels[rest, 0], 40)
+        own = np.flatnonzero(folds == fold)
+        assert np.allclose(given[own], [1 / (1 + np.exp(-model.logit(docs[i], np.zeros(0)))) for i in own])
+
+
+def test_one_row_of_each_labelled_id(spark):
+    """Copies of a labelled document weigh nothing and bring nothing to the driver."""
+    docs = [(i, "you idiot" if i % 2 else "fine day") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, i % 2, "z") for i in range(40)], LABELS)
+    plain, repeated = (spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], DOCS)
+                       for rows in (docs, docs + docs[:1] * 3000))
+    want = {r.doc_id: r.p_toxic for r in toxicity(plain, labels).collect()}
+    got = toxicity(repeated, labels).collect()
+    assert len(got) == 3040 and all(r.p_toxic == want[r.doc_id] for r in got)
 
 
 def test_odd_rows(spark):
@@ -53,4 +95,5 @@ def test_no_labels_no_documents(spark):
 
 def test_features():
     assert features(None) == features("") == {"=empty"}
+    assert features("Achlich achliche achlicher b") == {"achlich", "achliche", "achlicher", "b", "^achlic", "^achlich"}
     assert features("AAA bbb") == {"aaa", "bbb", "=upper"} and "=symbols" in features("a### b###")
