@@ -69,25 +69,44 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
-                  within_ms: int, width_ms: int | None = None) -> DataFrame:
+                  within_ms: int, width_ms: int | None = None, how: str = "inner") -> DataFrame:
     """Pairs of equal ``keys`` whose right time is 0 to ``within_ms`` after the left time.
 
-    Key columns are taken from the left; all other names must differ. Left rows are copied to the one or
+    Key columns are taken from the left; all other names must differ. One side's rows are copied to the one or
     two time slots their interval touches and the join is on key and slot, so
     a hot key is spread over time. Works on batch and, with a watermark on
     both sides, on streams, where the time condition also bounds the state.
+
+    ``how`` is ``inner``, ``left``, ``right`` or ``full``. A side whose rows stay without partner is never the
+    copied one, so each of them comes out once; on a stream when the watermark says that no partner can come any
+    more. ``full`` takes two joins, as either side can stay alone: the second gives just the right rows that do.
     """
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError("interval_join is inner, left, right or full")
+    if how == "full":
+        paired = interval_join(left, right, keys, left_time, right_time, within_ms, width_ms, "left")
+        marked = left.withColumn("__there", F.lit(True))
+        alone = interval_join(marked, right, keys, left_time, right_time, within_ms, width_ms, "right")
+        return paired.unionByName(alone.filter(F.col("__there").isNull()).drop("__there"))
     width_ms = width_ms or max(within_ms, 1)
-    first, last = _slot(_millis(left_time), width_ms), _slot(_millis(left_time) + within_ms, width_ms)
-    lefts = left.select("*", F.explode(F.sequence(first, last)).alias("__ls"))
+    if how == "left":
+        reach = F.sequence(_slot(_millis(right_time) - within_ms, width_ms), _slot(_millis(right_time), width_ms))
+        left_slot, right_slot = _slot(_millis(left_time), width_ms), F.explode(reach)
+    else:
+        reach = F.sequence(_slot(_millis(left_time), width_ms), _slot(_millis(left_time) + within_ms, width_ms))
+        left_slot, right_slot = F.explode(reach), _slot(_millis(right_time), width_ms)
+    lefts = left.select("*", left_slot.alias("__ls"))
     renamed = {key: f"__r_{key}" for key in keys}
-    rights = right.withColumnsRenamed(renamed).withColumn("__rs", _slot(_millis(right_time), width_ms))
+    rights = right.withColumnsRenamed(renamed).select("*", right_slot.alias("__rs"))
     cond = (F.col("__ls") == F.col("__rs")) & (F.col(right_time) >= F.col(left_time)) & (
         F.col(right_time) <= F.col(left_time) + F.expr(f"interval {within_ms} milliseconds")
     )
     for key, other in renamed.items():
         cond = cond & (F.col(key) == F.col(other))
-    return lefts.join(rights, cond, "inner").drop("__ls", "__rs", *renamed.values())
+    joined = lefts.join(rights, cond, how)
+    if how == "right":
+        joined = joined.withColumns({key: F.col(other) for key, other in renamed.items()})
+    return joined.drop("__ls", "__rs", *renamed.values())
 
 
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:

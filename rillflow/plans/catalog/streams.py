@@ -6,7 +6,9 @@ from ...operators.sessions import hop_totals, session_totals
 from ...schema import TableDef, Watermark
 from ...session import scratch
 from ...sources import replay
-from ...streaming import ChangelogSink, ParquetSink, Sink, dedup, drain, event_time, proctime, running_state
+from ...streaming import (
+    ChangelogSink, ParquetSink, Sink, asof_stream, dedup, drain, event_time, join_changes, proctime, running_state, topk_changes,
+)
 from ...streaming.eventtime import bounds, hop, label, session, tumble, with_lateness
 from ...streaming.sinks import CompleteSink
 from ..pipeline import Pipeline
@@ -284,6 +286,109 @@ def stream_interval_join(spark, sf):
     return _run(spark, pairs.select("user_id", "click_id", "buy_id"), ParquetSink(scratch(spark, "pairs")))
 
 
+def _side(spark, sf, kind, prefix):
+    """Events of a kind with a watermark of their own, columns named for a join."""
+    rows = event_time(replay(spark, sf, "events").filter(F.col("event_type") == kind), "ts", "1 hour", f"{prefix}_ts")
+    return rows.select("user_id", F.col("event_id").alias(f"{prefix}_id"), f"{prefix}_ts", F.col("value").alias(f"{prefix}_value"))
+
+
+# The watermark of two streams is that of the slower one.
+CLOSED = """
+    WITH mark AS (
+        SELECT date_trunc('millisecond', least(max(ts) FILTER (event_type = 'click'), max(ts) FILTER (event_type = '{other}')))
+               - INTERVAL 1 HOUR AS closed FROM events),
+    c AS (SELECT user_id, event_id AS click_id, ts AS click_ts FROM events WHERE event_type = 'click'),
+    p AS (SELECT user_id, event_id AS {name}_id, ts AS {name}_ts, value AS {name}_value FROM events WHERE event_type = '{other}')
+"""
+
+
+@checked(CLOSED.format(other="view", name="view") + """
+    SELECT c.user_id, click_id, view_id, view_value FROM c ASOF LEFT JOIN p ON c.user_id = p.user_id AND click_ts >= view_ts
+    WHERE click_ts <= (SELECT closed FROM mark)
+""")
+def stream_asof(spark, sf):
+    # The last view of the user before each click, as soon as no earlier view can arrive.
+    found = asof_stream(_side(spark, sf, "click", "click").drop("click_value"), _side(spark, sf, "view", "view"), ["user_id"],
+                        "click_ts", "view_ts", {"view_id": "view_id", "view_value": "view_value"}, slot="5 days", ways=2)
+    return _run(spark, found.drop("click_ts"), ParquetSink(scratch(spark, "asof")))
+
+
+WITHIN = "c.user_id = p.user_id AND buy_ts >= click_ts AND buy_ts <= click_ts + INTERVAL 6 HOUR"
+NULL_IDS = "CAST(NULL AS BIGINT)"
+LEFT_CLOSED = f"""
+    SELECT c.user_id, click_id, buy_id FROM c JOIN p ON {WITHIN}
+    UNION ALL SELECT user_id, click_id, {NULL_IDS} FROM c
+    WHERE click_ts + INTERVAL 6 HOUR <= (SELECT closed FROM mark) AND NOT EXISTS (SELECT 1 FROM p WHERE {WITHIN})
+"""
+
+
+def _bought(spark, sf, how):
+    clicks, buys = _side(spark, sf, "click", "click"), _side(spark, sf, "purchase", "buy")
+    rows = interval_join(clicks, buys, ["user_id"], "click_ts", "buy_ts", 6 * 3_600_000, how=how)
+    return _run(spark, rows.select("user_id", "click_id", "buy_id"), ParquetSink(scratch(spark, "bought")))
+
+
+@checked(CLOSED.format(other="purchase", name="buy") + LEFT_CLOSED)
+def stream_left_interval(spark, sf):
+    # Clicks without a purchase in the next six hours come once the watermark has passed those.
+    return _bought(spark, sf, "left")
+
+
+@checked(CLOSED.format(other="purchase", name="buy") + LEFT_CLOSED + f"""
+    UNION ALL SELECT user_id, {NULL_IDS}, buy_id FROM p
+    WHERE buy_ts <= (SELECT closed FROM mark) AND NOT EXISTS (SELECT 1 FROM c WHERE {WITHIN})
+""")
+def stream_full_interval(spark, sf):
+    return _bought(spark, sf, "full")
+
+
+def _come_and_go(rows, gone):
+    """All rows come, those of ``gone`` go again, as (order of arrival, sign)."""
+    back = rows.filter(gone).withColumn("sign", F.lit(-1))
+    return [rows.withColumn("sign", F.lit(1)).withColumn("step", F.lit(0)), back.withColumn("step", F.lit(1))]
+
+
+@checked("""
+    SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, c_mktsegment
+    FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' AND c_nationkey <> 3
+""")
+def stream_retract_join(spark, sf):
+    # Orders and customers come in turns; then finished orders and the customers of one nation are taken back.
+    orders = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("key"), "o_orderkey", "o_totalprice", F.lit(None).cast("string").alias("c_mktsegment"),
+        (F.col("o_orderstatus") == "F").alias("gone"), F.lit("order").alias("side"))
+    customers = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("key"), F.lit(None).cast("long").alias("o_orderkey"), F.lit(None).cast("double").alias("o_totalprice"),
+        "c_mktsegment", (F.col("c_nationkey") == 3).alias("gone"), F.lit("customer").alias("side"))
+    (first, first_back), (second, second_back) = (_come_and_go(rows, F.col("gone")) for rows in (orders, customers))
+    parts = [p.drop("step", "gone") for p in (first, second.unionByName(first_back), second_back)]
+
+    def joined(stream):
+        left = stream.filter("side = 'order'").select("key", "o_orderkey", "o_totalprice", "sign")
+        return join_changes(left, stream.filter("side = 'customer'").select("key", "c_mktsegment", "sign"), ["key"], ways=2)
+
+    out = _in_turn(spark, parts, joined, ParquetSink(scratch(spark, "changes")))
+    net = out.groupBy(F.col("key").alias("o_custkey"), "o_orderkey", "o_totalprice", "c_mktsegment").agg(F.sum("sign").alias("n"))
+    return net.filter("n > 0").drop("n")
+
+
+@checked("""
+    SELECT o_custkey, rank, o_orderkey, CAST(cents AS BIGINT) AS cents FROM (
+        SELECT o_custkey, o_orderkey, round(o_totalprice * 100) AS cents, CAST(row_number() OVER (
+            PARTITION BY o_custkey ORDER BY round(o_totalprice * 100) DESC, o_orderkey) AS INTEGER) AS rank
+        FROM orders WHERE o_orderstatus <> 'F') WHERE rank <= 3
+""")
+def stream_topk_per_group(spark, sf):
+    # The three dearest orders of each customer; finished orders are taken back, and others move up.
+    orders = table(spark, sf, "orders").select(
+        "o_custkey", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"), "o_orderstatus")
+    parts = [p.drop("step", "o_orderstatus") for p in _come_and_go(orders, F.col("o_orderstatus") == "F")]
+    log = _in_turn(spark, parts, lambda s: topk_changes(s, ["o_custkey"], "cents", 3, "o_orderkey", sign="sign", width=10_000_000),
+                   ParquetSink(scratch(spark, "ranks")))
+    net = log.groupBy("o_custkey", "rank", "o_orderkey", "cents").agg(F.sum("sign").alias("n"))
+    return net.filter("n > 0").drop("n")
+
+
 @checked("""
     SELECT o_custkey, count(*) AS cnt, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
     FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey
