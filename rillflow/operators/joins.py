@@ -109,20 +109,6 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
     return joined.drop("__ls", "__rs", *renamed.values())
 
 
-def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs with ``low <= value < high``, joined on the slot of the value.
-
-    A range is copied to every slot of ``width`` it touches, so ``width``
-    should be near the usual range length. No pair is compared outside its slot.
-    """
-    first = F.floor(F.col(low) / F.lit(width)).cast("bigint")
-    last = F.floor(F.col(high) / F.lit(width)).cast("bigint")
-    spread = ranges.select("*", F.explode(F.sequence(first, last)).alias("__rs"))
-    placed = points.withColumn("__ps", F.floor(F.col(value) / F.lit(width)).cast("bigint"))
-    cond = (F.col("__ps") == F.col("__rs")) & (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))
-    return placed.join(spread, cond, "inner").drop("__ps", "__rs")
-
-
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.001) -> DataFrame:
     """Keys that hold at least ``share`` of the rows: never more than ``1/share`` of them.
 

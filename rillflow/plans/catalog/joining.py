@@ -1,6 +1,7 @@
 """Joins."""
 
-from ...operators.joins import asof_join, interval_join, range_join, spread_join
+from ...operators.inequality import inequality_join, range_join
+from ...operators.joins import asof_join, interval_join, spread_join
 from .base import F, cents, checked, number, table
 
 
@@ -119,7 +120,21 @@ def join_range(spark, sf):
     bands = table(spark, sf, "supplier").select(
         "s_suppkey", (F.col("s_acctbal") * 40).alias("low"), (F.col("s_acctbal") * 40 + 2500).alias("high"))
     points = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return range_join(points, bands, "o_totalprice", "low", "high", 2500.0).select("o_orderkey", "s_suppkey")
+    return range_join(points, bands, "o_totalprice", "low", "high").select("o_orderkey", "s_suppkey")
+
+
+@checked("""
+    SELECT a.event_id, count(*) AS cheaper_later FROM events a JOIN events b
+    ON a.event_type = 'error' AND b.event_type = 'purchase' AND a.ts < b.ts AND a.value > b.value GROUP BY a.event_id
+""")
+def join_inequality(spark, sf):
+    # For each error the purchases after it that cost less: no equality to partition by.
+    events = table(spark, sf, "events")
+    errors = events.filter("event_type = 'error'").select("event_id", "ts", "value")
+    buys = events.filter("event_type = 'purchase'").select(
+        F.col("event_id").alias("buy_id"), F.col("ts").alias("buy_ts"), F.col("value").alias("buy_value"))
+    pairs = inequality_join(errors, buys, [("ts", "<", "buy_ts"), ("value", ">", "buy_value")])
+    return pairs.groupBy("event_id").agg(F.count("*").alias("cheaper_later"))
 
 
 @checked("""
