@@ -7,7 +7,8 @@ from ...schema import TableDef, Watermark
 from ...session import scratch
 from ...sources import replay
 from ...streaming import (
-    ChangelogSink, ParquetSink, Sink, asof_stream, dedup, drain, event_time, join_changes, proctime, running_state, topk_changes,
+    ChangelogSink, KeyedProcess, LateSplit, ParquetSink, Sink, Variable, asof_stream, dedup, drain, event_time, join_changes,
+    keyed_process, proctime, running_state, set_changes, topk_changes,
 )
 from ...streaming.eventtime import bounds, hop, label, session, tumble, with_lateness
 from ...streaming.sinks import CompleteSink
@@ -342,6 +343,97 @@ def stream_full_interval(spark, sf):
     return _bought(spark, sf, "full")
 
 
+class _NoPurchase(KeyedProcess):
+    """Clicks without a purchase of their user in the half hour after them."""
+
+    variables = {"clicks": Variable("map"), "bought": Variable("list"), "newest": Variable("value")}
+    wait = 30 * 60 * 1_000_000
+
+    def on_rows(self, key, rows, state):
+        bought = []
+        for row in rows:
+            if row["event_type"] == "purchase":
+                bought.append(row["rowtime"])
+            else:
+                state["clicks"].put(row["event_id"], row["rowtime"])
+                state.wake(row["rowtime"] + self.wait)
+        if bought:
+            state["bought"].append(*bought)
+            state["newest"].put(max([*bought, state["newest"].get(0)]))
+        return ()
+
+    def on_timer(self, key, at, state):
+        due = [(event, clicked) for event, clicked in state["clicks"].items() if clicked + self.wait <= state.now]
+        bought = list(state["bought"])
+        for event, clicked in due:
+            state["clicks"].remove(event)
+            if not any(clicked <= b <= clicked + self.wait for b in bought):
+                yield {"user_id": key["user_id"], "event_id": event}
+        # clicks that are left, or still to come, are less than half an hour behind the watermark
+        since = state.now - self.wait
+        if state["newest"].get(0) < since:
+            state["bought"].clear()
+        elif len(bought) != len(left := [b for b in bought if b >= since]):
+            state["bought"].put(left)
+
+
+@checked("""
+    WITH mark AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS closed FROM events
+                  WHERE event_type IN ('click', 'purchase'))
+    SELECT user_id, event_id FROM events c WHERE event_type = 'click' AND ts + INTERVAL 30 MINUTE <= (SELECT closed FROM mark)
+      AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = c.user_id AND p.event_type = 'purchase'
+                      AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 30 MINUTE)
+""")
+def stream_timers(spark, sf):
+    rows = _events(spark, sf).filter("event_type IN ('click', 'purchase')").select("user_id", "event_id", "event_type", "rowtime")
+    alone = keyed_process(rows, ["user_id"], _NoPurchase(), "user_id long, event_id long", at="rowtime")
+    return _run(spark, alone, ParquetSink(scratch(spark, "alone")))
+
+
+@checked("""
+    SELECT event_id, event_type, event_type = 'error' AND ts <=
+        (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM events WHERE event_type <> 'error') AS late
+    FROM events
+""")
+def stream_late_side(spark, sf):
+    # All errors arrive after everything else; those behind the watermark go to a table of their own.
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts")
+    kept, late = (ParquetSink(scratch(spark, name)) for name in ("kept", "side"))
+    split = LateSplit("ts", "2 hours", kept, late, scratch(spark, "marks"))
+    parts = [events.filter("event_type <> 'error'"), events.filter("event_type = 'error'")]
+    return _in_turn(spark, parts, lambda stream: stream, split).select("event_id", "event_type", "late")
+
+
+def _set_changes(spark, sf, kind):
+    """Customers and states of dear orders against those of urgent ones, row by row in three parts."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderkey")
+    parts = [orders.filter(F.col("o_orderkey") % 3 == n) for n in (2, 0, 1)]
+
+    def query(stream):
+        pick = lambda cond: stream.filter(cond).select("o_custkey", "o_orderstatus")
+        return set_changes(pick("o_totalprice > 100000"), pick("o_orderpriority LIKE '1%'"), kind)
+
+    log = _in_turn(spark, parts, query, ParquetSink(scratch(spark, "sets")))
+    net = log.groupBy("o_custkey", "o_orderstatus").agg(F.sum("sign").alias("n")).filter("n > 0")
+    return net.select("o_custkey", "o_orderstatus", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
+
+
+SET_SQL = """
+    SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 100000
+    {kind} SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderpriority LIKE '1%'
+"""
+
+
+@checked(SET_SQL.format(kind="EXCEPT ALL"))
+def stream_except_all(spark, sf):
+    return _set_changes(spark, sf, "except all")
+
+
+@checked(SET_SQL.format(kind="INTERSECT ALL"))
+def stream_intersect_all(spark, sf):
+    return _set_changes(spark, sf, "intersect all")
+
+
 def _come_and_go(rows, gone):
     """All rows come, those of ``gone`` go again, as (order of arrival, sign)."""
     back = rows.filter(gone).withColumn("sign", F.lit(-1))

@@ -1,8 +1,10 @@
 """Structured Streaming: event time, windows, sinks and query start."""
 
 from .asof import asof_stream
-from .changes import join_changes, merged_ranking, topk_changes
+from .changes import join_changes, merged_ranking, set_changes, topk_changes
 from .eventtime import event_time, hop, interval, proctime, session, tumble, with_lateness
+from .late import LateSplit
+from .process import KeyedProcess, State, Variable, keyed_process
 from .runtime import drain, fan_out, micro_batch_sql, start
 from .sinks import (
     ChangelogSink, CompleteSink, ConsoleSink, JdbcSink, KeyedSink, LinesSink, MergeSink, ParquetSink, RowSink, RowWriter, Sink,
@@ -11,9 +13,9 @@ from .sinks import (
 from .state import dedup, running_state
 
 __all__ = [
-    "ChangelogSink", "CompleteSink", "ConsoleSink", "JdbcSink", "KeyedSink", "LinesSink", "MergeSink",
-    "ParquetSink", "RowSink", "RowWriter", "Sink", "StatementWriter", "asof_stream", "bind_columns",
-    "bind_parameters", "dedup", "drain", "event_time", "fan_out", "hop", "interval", "join_changes",
-    "merged_ranking", "micro_batch_sql", "named_sink", "proctime", "running_state", "session", "sink_connector",
-    "start", "topk_changes", "tumble", "with_lateness",
+    "ChangelogSink", "CompleteSink", "ConsoleSink", "JdbcSink", "KeyedProcess", "KeyedSink", "LateSplit",
+    "LinesSink", "MergeSink", "ParquetSink", "RowSink", "RowWriter", "Sink", "State", "StatementWriter", "Variable",
+    "asof_stream", "bind_columns", "bind_parameters", "dedup", "drain", "event_time", "fan_out", "hop", "interval",
+    "join_changes", "keyed_process", "merged_ranking", "micro_batch_sql", "named_sink", "proctime", "running_state",
+    "session", "set_changes", "sink_connector", "start", "topk_changes", "tumble", "with_lateness",
 ]

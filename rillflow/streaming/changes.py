@@ -198,3 +198,56 @@ def merged_ranking(log: DataFrame, keys: Sequence[str], order: str, count: int,
     stands = log.groupBy(*names, "part", "rank").agg(F.sum("sign").alias("n")).where("n > 0")
     first = [F.col(order).desc() if descending else F.col(order).asc(), *([F.col(tie)] if tie else [])]
     return top_per_group(stands.select(*names), keys, [*first, packed(names)], count).withColumnRenamed("rn", "rank")
+
+
+def _remaining(kind: str, left: int, right: int) -> int:
+    """How often a row is in the result, from how often it is on either side."""
+    left, right = max(left, 0), max(right, 0)
+    if kind == "except":
+        return int(left > 0 and right == 0)
+    if kind == "intersect":
+        return int(left > 0 and right > 0)
+    return max(left - right, 0) if kind == "except all" else min(left, right)
+
+
+class _SetChanges(StatefulProcessor):
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def init(self, handle) -> None:
+        self.counts = handle.getValueState("counts", "l long, r long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        counts = list(self.counts.get()) if self.counts.exists() else [0, 0]
+        before = _remaining(self.kind, *counts)
+        for batch in rows:
+            for side in (0, 1):
+                counts[side] += int(batch["sign"][batch["side"] == side].sum())
+        if any(counts):
+            self.counts.update(tuple(counts))
+        elif self.counts.exists():
+            self.counts.clear()
+        if change := _remaining(self.kind, *counts) - before:
+            yield pd.DataFrame({"body": [key[0]], "sign": [change]})
+
+
+def set_changes(left: DataFrame, right: DataFrame, kind: str, sign: str | None = None) -> DataFrame:
+    """The changes of ``left`` except or intersect ``right`` over whole streams, as rows arrive in any order.
+
+    ``kind`` is ``except``, ``except all``, ``intersect`` or ``intersect all``. Both sides have the same columns; nulls are
+    equal to each other. With ``sign``, rows also go (-1). Adding up the column ``sign`` (or of that name) per row of the
+    result gives how often the row is in it. State: two counts for each distinct row that stands on a side.
+    """
+    if kind not in ("except", "except all", "intersect", "intersect all"):
+        raise ValueError(f"no set operation {kind!r}")
+    several_variables(left.sparkSession)
+    names = [name for name in left.columns if name != sign]
+    given = (F.col(sign) if sign else F.lit(1)).cast("long").alias("sign")
+    sides = [side.select(packed(names).alias("who"), F.lit(number).alias("side"), given) for number, side in enumerate((left, right))]
+    out = sides[0].unionByName(sides[1]).groupBy("who").transformWithStateInPandas(
+        _SetChanges(kind), "body string, sign long", "append", "none")
+    fields = [left.schema[name] for name in names]
+    return out.select(unpacked("body", fields).alias("r"), F.col("sign").alias(sign or "sign")).select("r.*", sign or "sign")
