@@ -168,9 +168,10 @@ def keyed_process(stream: DataFrame, keys: Sequence[str], process: KeyedProcess,
     """Runs ``process`` for each key; columns ``returns`` (DDL) of the rows it gives.
 
     ``time`` is the clock of the timers: ``event`` (the watermark, which the stream must have on column ``at``; rows behind
-    it are dropped), ``processing``, or ``none``. Variables with a time to live need ``processing``. Null keys are a key;
-    with event time, rows without a time are dropped. A key is one task's at a time, so a key that holds much of the data
-    wants a further column in ``keys``, such as a hash of an id, and results that add up over it.
+    it are dropped), ``processing``, or ``none``. Variables with a time to live need ``processing``; a query on that clock
+    looks for timers again and again, so it needs a trigger interval and ends when it is stopped. Null keys are a key; with
+    event time, rows without a time are dropped. A key is one task's at a time, so a key that holds much of the data wants
+    a further column in ``keys``, such as a hash of an id, and results that add up over it.
     """
     if time not in ("event", "processing", "none") or (time == "event") != (at is not None):
         raise ValueError("time is event (with at), processing or none")

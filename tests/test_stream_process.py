@@ -8,7 +8,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 from rillflow.plans.catalog.streams import _NoPurchase
-from rillflow.streaming import KeyedProcess, LateSplit, ParquetSink, Variable, drain, event_time, keyed_process, set_changes
+from rillflow.session import is_directory
+from rillflow.streaming import KeyedProcess, LateSplit, ParquetSink, Variable, drain, event_time, keyed_process, set_changes, start
 
 BEGIN = dt.datetime(2024, 5, 1)
 EVENTS = "event_id long, user_id long, event_type string, ts timestamp"
@@ -73,12 +74,21 @@ def sessions():
 def test_time_to_live_and_processing_time(spark, folder):
     returns = "k long, recent int, n int, seen map<string, int>, ids array<long>, timer boolean"
     query = lambda s: keyed_process(s, ["user_id"], sessions(), returns, time="processing")
-    feed, sink = f"{folder}/feed", ParquetSink(f"{folder}/sink")
-    for part in ([(1, 5, "click"), (2, 5, "view")], [(3, 5, "view")]):
-        spark.createDataFrame([(i, u, e, at(0)) for i, u, e in part], EVENTS).coalesce(1).write.mode("append").parquet(feed)
-        drain(query(spark.readStream.schema(EVENTS).parquet(feed)), sink, f"{folder}/state")
-        time.sleep(1.2)
-    rows = sink.read(spark).collect()
+    feed, sink, rows = f"{folder}/feed", ParquetSink(f"{folder}/sink"), []
+    spark.createDataFrame([], EVENTS).write.parquet(feed)
+    # such a query looks for timers that are due again and again, so it is stopped by hand
+    running = start(query(spark.readStream.schema(EVENTS).parquet(feed)), sink, f"{folder}/state", every="1 second")
+    try:
+        for n, part in enumerate(([(1, 5, "click"), (2, 5, "view")], [(3, 5, "view")]), 1):
+            spark.createDataFrame([(i, u, e, at(0)) for i, u, e in part], EVENTS).coalesce(1).write.mode("append").parquet(feed)
+            for _ in range(40):
+                time.sleep(1.2)
+                rows = sink.read(spark).collect() if running.lastProgress and is_directory(spark, sink.path) else []
+                if sum(not r.timer for r in rows) == n and any(r.timer for r in rows):
+                    break
+            time.sleep(1.2)
+    finally:
+        running.stop()
     first, last = sorted((r for r in rows if not r.timer), key=lambda r: r.n)
     assert (first.recent, first.n, first.seen, first.ids) == (2, 2, {"click": 1, "view": 1}, [1, 2])
     assert (last.recent, last.n, last.seen, last.ids) == (1, 3, {"view": 2}, [1, 2, 3])
