@@ -176,10 +176,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, train_ro
                                                pa.list_(pa.string()))], [*batch.schema.names[:-1], "words"])
 
     fields = ", ".join(["doc_id long", *[f"{c} double" for c in names], "words array<string>"])
-    # one row for each sampled id, chosen by hashes alone, so that copies of a document bring no more texts
-    copies = given.select("doc_id", F.xxhash64("text").alias("th")).join(sample, "doc_id")
+    # one row for each sampled id, chosen by hashes alone, so that copies of a document bring no more texts; both
+    # broadcasts have at most train_rows rows
+    copies = given.select("doc_id", F.xxhash64("text").alias("th")).join(F.broadcast(sample), "doc_id")
     copies = copies.groupBy("doc_id", *names).agg(F.min("th").alias("th"))
-    once = given.withColumn("th", F.xxhash64("text")).join(copies, ["doc_id", "th"])
+    once = given.withColumn("th", F.xxhash64("text")).join(F.broadcast(copies), ["doc_id", "th"])
     once = once.groupBy("doc_id", *names).agg(F.first("text").alias("text"))
     rows = once.select("doc_id", *names, "text").mapInArrow(listed, fields).toArrow()
     rows = rows.sort_by("doc_id")
