@@ -128,18 +128,17 @@ def placed_ranges(ranges: DataFrame, low: str, high: str, width: float | None =
     real = ranges.where(F.col(low) < F.col(high))
     ends = [F.col(c).cast("double") for c in (low, high)]
     finite = [F.when(F.abs(e) < F.lit(math.inf), e) for e in ends]
-    bounds = real.agg(F.min(F.least(*finite)), F.max(F.greatest(*finite))).first()
-    start, end = (0.0, 0.0) if bounds[0] is None else bounds
+    own = F.ceil(F.log2(finite[1] - finite[0])).cast("int")         # null for infinite ones
+    start, end, known = real.agg(F.min(F.least(*finite)), F.max(F.greatest(*finite)),
+                                 F.collect_set(F.coalesce(own, F.lit(1 << 20)))).first()
+    start, end = (0.0, 0.0) if start is None else (start, end)
     top = math.ceil(math.log2((end - start) / 64)) if end > start else 0
-    bottom = max(top - 46, math.ceil(math.log2(width))) if width else top - 46
-    length = _clipped(ends[1], start, end) - _clipped(ends[0], start, end)
-    level = F.coalesce(F.when(length > 0, F.ceil(F.log2(length))), F.lit(top)).cast("int")
-    level = F.least(F.lit(top), F.greatest(F.lit(min(bottom, top)), level))
+    bottom = min(top, max(top - 46, math.ceil(math.log2(width))) if width else top - 46)
+    level = F.least(F.lit(top), F.greatest(F.lit(bottom), F.coalesce(own, F.lit(top))))
     size = F.pow(F.lit(2.0), level)
     cells = F.sequence(*[_cell(e, start, end, size) for e in ends])
     placed = real.withColumns({"__level": level, "__cell": F.explode(cells)})
-    levels = sorted(r[0] for r in real.select(level).distinct().collect())      # less than 50
-    return placed, levels, start, end
+    return placed, sorted({min(top, max(bottom, n)) for n in known}), start, end
 
 
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float | None = None) -> DataFrame:
@@ -153,9 +152,10 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     """
     placed, levels, start, end = placed_ranges(ranges, low, high, width)
     x = F.col(value).cast("double")
-    looks = F.array(*[F.struct(F.lit(n).alias("__level"), _cell(x, start, end, F.lit(2.0 ** n)).alias("__cell")) for n in levels])
-    if not levels:
-        looks = F.expr("cast(array() as array<struct<__level: int, __cell: bigint>>)")
-    looked = points.withColumn("__look", F.explode(looks)).select(*points.columns, "__look.*")
+    looks = [F.struct(F.lit(n).alias("__level"), _cell(x, start, end, F.lit(2.0 ** n)).alias("__cell")) for n in levels]
+    if len(levels) > 1:
+        looks = [F.explode(F.array(*looks))]
+    look = looks[0] if looks else F.struct(F.lit(0).alias("__level"), F.lit(0).cast("long").alias("__cell"))
+    looked = points.withColumn("__look", look).select(*points.columns, "__look.*")
     hit = (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))
     return looked.join(placed, ["__level", "__cell"]).where(hit).drop("__level", "__cell")
