@@ -7,8 +7,8 @@ from ...schema import TableDef, Watermark
 from ...session import scratch
 from ...sources import replay
 from ...streaming import (
-    ChangelogSink, KeyedProcess, LateSplit, ParquetSink, Sink, Variable, asof_stream, dedup, drain, event_time, join_changes,
-    keyed_process, proctime, running_state, set_changes, topk_changes,
+    ChangelogSink, KeyedProcess, LateSplit, ParquetSink, Sink, Variable, asof_stream, dedup, distinct_counts,
+    distinct_sketches, drain, event_time, join_changes, keyed_process, proctime, running_state, set_changes, topk_changes, united,
 )
 from ...streaming.eventtime import bounds, hop, label, session, tumble, with_lateness
 from ...streaming.sinks import CompleteSink
@@ -434,6 +434,33 @@ def stream_intersect_all(spark, sf):
     return _set_changes(spark, sf, "intersect all")
 
 
+@checked("""
+    SELECT event_type, w AS window_start, w + INTERVAL 6 HOUR AS window_end, count(DISTINCT user_id) AS users
+    FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS w FROM events) GROUP BY event_type, w
+    HAVING w + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)
+""")
+def stream_distinct(spark, sf):
+    counts = distinct_counts(_events(spark, sf), ["event_type"], "user_id", "rowtime", "6 hours", "users")
+    return _run(spark, counts.select("event_type", *bounds(), "users"), ParquetSink(scratch(spark, "distinct")))
+
+
+@checked("""
+    SELECT event_type, w - i * INTERVAL 1 HOUR AS window_start, count(DISTINCT user_id) AS users, true AS close
+    FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM events), (SELECT unnest(range(0, 6)) AS i) GROUP BY ALL
+""")
+def stream_distinct_sketch(spark, sf):
+    # Sketches of an hour unite to windows of six; the exact counts beside them hold the estimates to 5 %.
+    panes = distinct_sketches(_events(spark, sf), ["event_type"], "user_id", "rowtime", "1 hour")
+    sink = ChangelogSink(scratch(spark, "panes"), ["event_type", "window_start"])
+    known = _run(spark, panes.select("event_type", F.col("window.start").alias("window_start"), "sketch"), sink)
+    near = united(known, ["event_type"], "1 hour", "6 hours", "about")
+    exact = _events(spark, sf, stream=False).groupBy("event_type", hop("rowtime", "6 hours", "1 hour")).agg(
+        F.count_distinct("user_id").alias("users"))
+    both = exact.select("event_type", F.col("window.start").alias("window_start"), "users").join(near, ["event_type", "window_start"], "full")
+    close = F.abs(F.col("about") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * 0.05)
+    return both.select("event_type", zoneless("window_start"), "users", F.coalesce(close, F.lit(False)).alias("close"))
+
+
 def _come_and_go(rows, gone):
     """All rows come, those of ``gone`` go again, as (order of arrival, sign)."""
     back = rows.filter(gone).withColumn("sign", F.lit(-1))
