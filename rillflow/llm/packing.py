@@ -23,6 +23,7 @@ from .common import Batches, query, table, texts, written
 
 CACHED_WORDS = 800_000          # encoded words that a worker keeps at most, about 200 bytes each
 MARKS = b".,!?;:"
+END = "</w>"                    # closes the last token of a run of letters in the vocabulary
 
 STREAM = "part int, place long, doc_id long, start long, n long, ids binary"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -37,20 +38,37 @@ def encoder(path: str):
     text's ids are those of its words in order, and a worker encodes a word once while it remembers it, the mark
     that ends it apart. Special tokens in a text keep their own ids; as case matters to them, a text that may hold
     one is not lower-cased beforehand.
+
+    New words of letters alone are encoded as one text. Each is at least one run for the tokenizer, and the token that
+    ends a run says so; with as many such tokens as words the ids are cut there, else the words are encoded singly.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     known: dict[bytes, bytes] = {}
+    ends = np.zeros(model.get_vocab_size(), dtype=bool)
+    ends[[i for token, i in model.get_vocab().items() if token.endswith(END)]] = True
+
+    def together(words: list[bytes], names: list[str]) -> bool:
+        ids = np.array(model.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) != len(words):
+            return False
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        known.update(zip(words, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
+        return True
 
     def marked(word: bytes) -> bool:
         return len(word) > 1 and word[-1] in MARKS and 97 <= word[-2] <= 122
 
     def learn(words: set[bytes]) -> None:
         stems = {w[:-1] if marked(w) else w for w in words} | {w[-1:] for w in words if marked(w)}
-        new = [w for w in stems if w not in known]
-        for word, got in zip(new, model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+        new = [(w, w.decode()) for w in stems if w not in known]
+        plain, other = [x for x in new if x[1].isalpha()], [x for x in new if not x[1].isalpha()]
+        if plain and not together(*map(list, zip(*plain))):
+            other += plain
+        for (word, _), got in zip(other, model.encode_batch_fast([x for _, x in other], add_special_tokens=False)):
             known[word] = array("I", got.ids).tobytes()
         for word in words:
             if marked(word):
