@@ -23,7 +23,8 @@ from .common import Batches, query, table, written
 LETTERS = regex.compile(r"\p{L}+")
 START = "▁"                # stands before a word's first letter in the vocabulary
 TABLED = 41                     # characters of a word that is worked on with others of its length
-PLAIN = 16                      # characters of a word up to which products of probabilities stay far from underflow
+STEP = 2.0 ** 24                # sums over cuts of n characters are held STEP**n times as large: at most 2**984
+SMALL = 1e-290                  # a smaller sum may have lost digits; its text is worked on in logs
 COUNTED, SCORED = 300_000, 1_000_000    # words that a task counts, and a worker scores, before it lets go of them
 ROWS = 1000                     # documents whose words are held at once
 SMOOTH = 0.01
@@ -60,83 +61,97 @@ class Lattice:
         ids[:, single] = np.where(part == self.none, self.unknown, part)
         return spans, ids
 
+    def scaled(self, p: np.ndarray) -> np.ndarray:
+        """``p``, with a row for each piece, times ``STEP`` for each character: no sum over cuts exceeds ``STEP**n``."""
+        sizes = np.ones(len(p))
+        sizes[:self.unknown] = list(map(len, self.ids))
+        return p * (STEP ** sizes).reshape(-1, *[1] * (p.ndim - 1))
+
     def score(self, texts: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each text in each language; ``p`` has a row for each piece."""
-        out, logs = np.empty((len(texts), p.shape[1])), log(p)
+        out, weights, logs = np.empty((len(texts), p.shape[1])), None, log(p)
         for where in by_length(texts):
             same = [texts[w] for w in where]
             if len(same[0]) > TABLED:
-                out[where] = [self.long_score(s, p) for s in same]
-                continue
-            spans, ids = self.table(same)
-            if len(same[0]) > PLAIN:
-                out[where] = self.log_sums(spans, ids, logs)[-1]
+                out[where] = [self.long_score(s, p, logs) for s in same]
                 continue
-            ahead = np.zeros((len(same[0]) + 1, len(same), p.shape[1]))
-            ahead[0] = 1
-            for k, (i, j) in enumerate(spans):
-                ahead[j] += ahead[i] * p[ids[:, k]]
-            out[where] = np.log(ahead[-1])
+            weights = self.scaled(p) if weights is None else weights
+            ahead = self.sums(*self.table(same), weights)
+            found = log(ahead[-1]) - len(same[0]) * np.log(STEP)
+            for k in np.flatnonzero((ahead < SMALL).any(axis=(0, 2))):
+                found[k] = self.long_score(same[k], p, logs)
+            out[where] = found
         return out
 
-    def log_sums(self, spans: list[tuple[int, int]], ids: np.ndarray, logs: np.ndarray) -> np.ndarray:
-        """Logs of the forward sums at each position of each text; ``logs`` has a row for each piece."""
-        ahead = np.full((spans[-1][1] + 1, len(ids), *logs.shape[1:]), -np.inf)
-        ahead[0] = 0
+    def sums(self, spans: list[tuple[int, int]], ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Forward sums at each position of each text; ``weights`` has a row for each piece."""
+        ahead = np.zeros((spans[-1][1] + 1, len(ids), *weights.shape[1:]))
+        ahead[0] = 1
         for k, (i, j) in enumerate(spans):
             met = np.flatnonzero(ids[:, k] != self.none)
-            if len(met):
-                ahead[j][met] = np.logaddexp(ahead[j][met], ahead[i][met] + logs[ids[met, k]])
+            if len(met) == len(ids):
+                ahead[j] += ahead[i] * weights[ids[:, k]]
+            elif len(met):
+                ahead[j, met] += ahead[i, met] * weights[ids[met, k]]
         return ahead
 
-    def long_score(self, s: str, p: np.ndarray) -> np.ndarray:
-        """The same for one text of any length: only the last few sums are kept, scaled up when they get small."""
-        recent, scale = [np.ones(p.shape[1])], np.zeros(p.shape[1])
+    def long_score(self, s: str, p: np.ndarray, logs: np.ndarray | None = None) -> np.ndarray:
+        """The same for one text of any length, by logs of the sums, of which only the last few are kept."""
+        logs = log(p) if logs is None else logs
+        recent = [np.zeros(p.shape[1])]
         for j in range(1, len(s) + 1):
-            now = np.zeros(p.shape[1])
+            ways = []
             for back, ahead in enumerate(reversed(recent), 1):
                 piece = self.ids.get(s[j - back:j], self.unknown if back == 1 else None)
                 if piece is not None:
-                    now = now + ahead * p[piece]
+                    ways.append(ahead + logs[piece])
+            now = np.logaddexp.reduce(ways)
             recent = [*recent[1 - self.longest:], now] if self.longest > 1 else [now]
-            if j % 16 == 0:
-                top = recent[-1]
-                recent, scale = [x / top for x in recent], scale + np.log(top)
-        return scale + np.log(recent[-1])
+        return recent[-1]
 
     def expect(self, texts: list[str], n: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in ``n`` copies of each text, under the probabilities ``p`` of one language."""
-        uses, logs = np.zeros(len(p)), log(p)
+        uses, weights, logs = np.zeros(len(p)), self.scaled(p), log(p)
         for where in by_length(texts):
-            spans, ids = self.table([texts[w] for w in where])
-            if len(texts[where[0]]) > PLAIN:
-                uses += self.log_expect(spans, ids, n[where], logs)
+            same = [texts[w] for w in where]
+            if len(same[0]) > TABLED:
+                for s, count in zip(same, n[where]):
+                    self.long_expect(s, count, logs, uses)
                 continue
-            length, weight = len(texts[where[0]]), p[ids]
-            ahead, behind = np.zeros((length + 1, len(where))), np.zeros((length + 1, len(where)))
-            ahead[0] = behind[-1] = 1
-            for k, (i, j) in enumerate(spans):
-                ahead[j] += ahead[i] * weight[:, k]
+            spans, ids = self.table(same)
+            ahead, behind = self.sums(spans, ids, weights), np.zeros((len(same[0]) + 1, len(where)))
+            behind[-1] = 1
+            low = (ahead < SMALL).any(axis=0)
+            for k in np.flatnonzero(low):
+                self.long_expect(same[k], n[where[k]], logs, uses)
+            whole = np.where(low, 0.0, n[where]) / np.where(low, 1.0, ahead[-1])
             for k, (i, j) in reversed(list(enumerate(spans))):
-                behind[i] += behind[j] * weight[:, k]
-            starts, ends = (np.array(x) for x in zip(*spans))
-            share = weight * (ahead[starts] * behind[ends]).T * (n[where] / ahead[-1])[:, None]
-            uses += np.bincount(ids.ravel(), share.ravel(), minlength=len(p))
+                met = np.flatnonzero(ids[:, k] != self.none)
+                if len(met):
+                    piece = ids[met, k]
+                    after = weights[piece] * behind[j, met]
+                    np.add.at(uses, piece, ahead[i, met] * after * whole[met])
+                    behind[i, met] += after
         return uses
 
-    def log_expect(self, spans: list[tuple[int, int]], ids: np.ndarray, n: np.ndarray, logs: np.ndarray) -> np.ndarray:
-        """The same for texts of one length, by logs of the sums."""
-        ahead = self.log_sums(spans, ids, logs)
-        behind, uses = np.full(ahead.shape, -np.inf), np.zeros(len(logs))
+    def long_expect(self, s: str, n: float, logs: np.ndarray, uses: np.ndarray) -> None:
+        """Adds the same for one text of any length to ``uses``, by logs of the sums."""
+        cuts, ahead = [], np.full(len(s) + 1, -np.inf)
+        ahead[0] = 0
+        for j in range(1, len(s) + 1):
+            met = [(i, self.ids.get(s[i:j], self.unknown if i == j - 1 else None))
+                   for i in range(max(0, j - self.longest), j)]
+            met = [(i, piece) for i, piece in met if piece is not None]
+            starts, found = (np.array(x) for x in zip(*met))
+            cuts.append((starts, found))
+            ahead[j] = np.logaddexp.reduce(ahead[starts] + logs[found])
+        behind = np.full(len(s) + 1, -np.inf)
         behind[-1] = 0
-        for k, (i, j) in reversed(list(enumerate(spans))):
-            met = np.flatnonzero(ids[:, k] != self.none)
-            if len(met):
-                piece, after = ids[met, k], logs[ids[met, k]] + behind[j][met]
-                share = n[met] * np.exp(ahead[i][met] + after - ahead[-1][met])
-                np.add.at(uses, piece, share)
-                behind[i][met] = np.logaddexp(behind[i][met], after)
-        return uses
+        for j in range(len(s), 0, -1):
+            starts, found = cuts[j - 1]
+            after = logs[found] + behind[j]
+            np.add.at(uses, found, n * np.exp(ahead[starts] + after - ahead[-1]))
+            behind[starts] = np.logaddexp(behind[starts], after)
 
 
 def log(p: np.ndarray) -> np.ndarray:
@@ -178,7 +193,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def learn(counts: DataFrame, vocabulary: dict[str, int], rounds: int) -> tuple[list[str], np.ndarray]:
-    """(languages, piece probabilities with a column for each); runs of over 40 letters are learned in stretches."""
+    """(languages, piece probabilities with a column for each)."""
     lattice = Lattice(vocabulary)
     size = len(vocabulary) + 2
     model: dict[str, np.ndarray] = {}
@@ -190,10 +205,8 @@ def learn(counts: DataFrame, vocabulary: dict[str, int], rounds: int) -> tuple[l
         for batch in batches:
             met = defaultdict(lambda: ([], []))
             for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                word = START + word
-                for at in range(0, len(word), TABLED):
-                    met[lang][0].append(word[at:at + TABLED])
-                    met[lang][1].append(n)
+                met[lang][0].append(START + word)
+                met[lang][1].append(n)
             for lang, (words, n) in met.items():
                 uses[lang] += lattice.expect(words, np.array(n, dtype=np.float64), model.get(lang, flat))
         for lang, found in uses.items():

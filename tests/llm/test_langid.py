@@ -65,16 +65,29 @@ def test_unseen_letters_do_not_underflow(letters):
     assert np.isfinite(uses).all() and uses[-1] == 0
 
 
-@pytest.mark.parametrize("text", ["▁" + "ab" * 6 + "cbab" * 2, "▁" + "ab" * 9])
+@pytest.mark.parametrize("text", ["▁" + "ab" * 6 + "cbab" * 2, "▁" + "ab" * 9, "▁" + "cabbab" * 12])
 def test_logs_give_what_products_give(text, monkeypatch):
     lattice = Lattice(VOCABULARY)
-    p = np.random.default_rng(3).random((9, 2))
+    p = np.random.default_rng(3).random((9, 2)) / 5
     p[-1] = 0
-    run = lambda: (lattice.score([text], p), lattice.expect([text], np.array([2.0]), p[:, 0]))
-    by_logs = run()
-    monkeypatch.setattr("rillflow.llm.langid.PLAIN", 99)
-    for a, b in zip(by_logs, run()):
-        assert a == pytest.approx(b)
+    run = lambda: (lattice.score([text, "▁a"], p), lattice.expect([text, "▁a"], np.array([2.0, 3.0]), p[:, 0]))
+    got = [run()]
+    for name, value in (("TABLED", 0), ("TABLED", 99), ("SMALL", np.inf)):
+        monkeypatch.setattr(f"rillflow.llm.langid.{name}", value)
+        monkeypatch.setattr("rillflow.llm.langid.STEP", 2.0 ** 10)
+        got.append(run())
+    for score, uses in got[1:]:
+        assert score == pytest.approx(got[0][0]) and uses == pytest.approx(got[0][1])
+
+
+def test_sums_that_lose_digits_on_the_way_are_taken_in_logs():
+    lattice = Lattice({**VOCABULARY, "ж" * 31 + "a" * 9: 7})
+    p = np.full((10, 1), 1e-3)
+    p[lattice.unknown], p[-1] = 1e-17, 0
+    text = "▁" + "ж" * 31 + "a" * 9             # whole, as the sums before its end vanish
+    assert lattice.score([text], p)[0, 0] == pytest.approx(2 * np.log(1e-3))
+    uses = lattice.expect([text], np.array([5.0]), p[:, 0])
+    assert uses[[0, 7]] == pytest.approx([5, 5]) and uses.sum() == pytest.approx(10)
 
 
 def test_held_out_accuracy(spark):
