@@ -53,7 +53,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark, label)}/table"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing still to be computed reads; other DataFrames are left alone."""
+    for df in tables:
+        path = df.__dict__.get("_written_at")
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -68,7 +80,9 @@ class BitFilter:
     the fuller it gets the fewer rows it keeps out, so it may only stand before an exact step.
     """
 
-    def __init__(self, spark: SparkSession, hashes: DataFrame, log_bits: int = 27):
+    LOG_BITS = 27
+
+    def __init__(self, spark: SparkSession, hashes: DataFrame, log_bits: int = LOG_BITS):
         """``hashes`` has one long column ``h``. Blocks of the bitmap are built in tasks from distinct bit numbers."""
         mask, block = (1 << log_bits) - 1, BIT_BLOCK
         bits = hashes.select(F.col("h").bitwiseAND(mask).alias("bit")).distinct()

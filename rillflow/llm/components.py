@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -33,7 +33,9 @@ def components(links: DataFrame) -> DataFrame:
         before = tuple(state)
         if state[0] == 0:
             break
-        links = written(_stars(links), "links")
+        after = written(_stars(links), "links")
+        discard(links)
+        links = after
     roots = links.select(F.col("b").alias("node")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
         roots.select("node", F.col("node").alias("root")))

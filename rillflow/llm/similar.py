@@ -3,7 +3,11 @@
 Order all shingles in one way everywhere. Of two sets with similarity ``least`` or more, the first
 ``n - ceil(least * n) + 1`` shingles of each have one in common, so links only have to be sought among texts that
 share one of these. The order is that of the hashes, with shingles that a sample shows to be common at the end; any
-order finds every pair, this one keeps the groups small.
+order finds every pair, this one keeps the groups small. Most of these shingles occur in one text alone: a pass over
+their bit numbers, counted exactly and kept as a bitmap of fixed size, holds them back before anything is grouped.
+
+Two sets differ in at least as many items as their parities differ in: each item flips one of 1,024 bits. That bound
+rules most pairs out without their sets, and the sets of the others are compared whole.
 
 Every member of a group is first compared with the group's pivot alone. Members that are linked to each other that way
 need no comparison any more, so a large group of near copies costs one comparison for each of its members.
@@ -19,11 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, BitFilter, texts, written
+from .common import Batches, BitFilter, discard, texts, written
 from .components import components
 
 SEED = 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+PARITY = 1024                   # bits that the items of a set flip
 SAMPLED = 16                    # one text in so many shows which shingles are common
 COMMON, COMMON_MOST = 8, 100_000        # texts of the sample that make a shingle common, and how many such are kept
 
@@ -55,6 +60,12 @@ def key_of(items: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64))
 
 
+def parity(items: np.ndarray) -> np.ndarray:
+    """``PARITY`` bits as longs, each flipped by the items that fall to it."""
+    at = (items.view(np.uint64) >> np.uint64(40)) & np.uint64(PARITY - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=PARITY) & 1 == 1).view(np.int64)
+
+
 def prefix_size(n: int, least: float) -> int:
     return n - ceil(least * n - 1e-9) + 1 if n else 0
 
@@ -74,34 +85,73 @@ def common_shingles(given: DataFrame, shingle: int) -> np.ndarray:
 
 
 def marks(given: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(doc_id, th, fp, n, prefix): the key of each text's set, its size and its first shingles."""
+    """(doc_id, rh, fp, n, prefix, bits): the key of each text's set, its size, first shingles and parity."""
     shared = given.sparkSession.sparkContext.broadcast(common_shingles(given, shingle))
 
     def run(batches: Batches) -> Batches:
         common = shared.value
         for batch in batches:
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, prefixes, flips = [], [], [], []
             for text in batch.column(2):
                 items = shingle_set(text.as_py(), shingle)
                 late = np.isin(items, common)
                 keys.append(key_of(items))
                 sizes.append(len(items))
                 prefixes.append(np.concatenate([items[~late], items[late]])[:prefix_size(len(items), least)])
+                flips.append(parity(items))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()),
-                 pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "th", "fp", "n", "prefix"])
+                 pa.array(prefixes, pa.list_(pa.int64())), pa.array(flips, pa.list_(pa.int64()))],
+                ["doc_id", "rh", "fp", "n", "prefix", "bits"])
+
+    return given.select("doc_id", "rh", "text").mapInArrow(
+        run, "doc_id long, rh long, fp long, n int, prefix array<long>, bits array<long>")
 
-    return given.select("doc_id", "th", "text").mapInArrow(
-        run, "doc_id long, th long, fp long, n int, prefix array<long>")
 
+def shared_only(alone: DataFrame) -> DataFrame:
+    """(fp, n, at, h): the first shingles of each set but such as no other set has among its own.
 
-def verified(pairs: DataFrame, first: DataFrame, given: DataFrame, shingle: int, least: float) -> DataFrame:
+    Bit numbers of hashes are counted, so a shingle that is alone may stay, one that is shared always does.
+    """
+    seen = alone.select(F.explode("prefix").alias("h"))
+    bit = F.col("h").bitwiseAND((1 << BitFilter.LOG_BITS) - 1).cast("int")
+    twice = seen.select(bit.alias("bit")).groupBy("bit").count().where("count > 1")
+    keep = BitFilter(alone.sparkSession, twice.select(F.col("bit").cast("long").alias("h")))
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            lists = batch.column(2)
+            h, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(batch)), sizes)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            met = np.flatnonzero(keep(h.to_numpy().view(np.uint64)))
+            row = pa.array(row[met])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row),
+                                              pa.array(at[met].astype(np.int32)), h.take(pa.array(met))],
+                                             ["fp", "n", "at", "h"])
+
+    return alone.select("fp", "n", "prefix").mapInArrow(run, "fp long, n int, at int, h long")
+
+
+def may_link(pairs: DataFrame, alone: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of keys whose sizes and parities allow a similarity of ``least``."""
+    left, right = (alone.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+                   for x in "ab")
+    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")),
+                        F.lit(0), lambda total, x: total + x)
+    both = (F.col("na") + F.col("nb") - apart) / 2          # of the items, at most
+    fine = both >= F.lit(least) * (F.col("na") + F.col("nb") - both) - F.lit(1e-6)
+    return pairs.join(left, "a").join(right, "b").where(fine).select("a", "b")
+
+
+def verified(pairs: DataFrame, alone: DataFrame, first: DataFrame, given: DataFrame, shingle: int,
+             least: float) -> DataFrame:
     """Those of the pairs (a, b) of keys whose sets have similarity ``least`` or more."""
-    pairs = written(pairs, "pairs")
+    pairs = written(may_link(pairs, alone, least), "pairs")
     if pairs.isEmpty():
         return pairs
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    wanted = BitFilter(pairs.sparkSession, first.join(nodes, "fp").select(F.col("th").alias("h")))
+    wanted = BitFilter(pairs.sparkSession, first.join(nodes, "fp").select(F.col("rh").alias("h")))
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -110,13 +160,15 @@ def verified(pairs: DataFrame, first: DataFrame, given: DataFrame, shingle: int,
             yield pa.RecordBatch.from_arrays([pa.array([key_of(x) for x in sets], pa.int64()),
                                               pa.array(sets, pa.list_(pa.int64()))], ["fp", "items"])
 
-    sets = given.select("th", "text").mapInArrow(run, "fp long, items array<long>")
+    sets = given.select("rh", "text").mapInArrow(run, "fp long, items array<long>")
     sets = written(sets.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items")), "sets")
     left, right = (sets.select(F.col("fp").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
     both = F.size(F.array_intersect("items_a", "items_b"))
     whole = F.size("items_a") + F.size("items_b") - both
-    return written(pairs.join(left, "a").join(right, "b").where(both >= F.lit(least) * whole - F.lit(1e-9))
-                   .select("a", "b"), "links")
+    links = written(pairs.join(left, "a").join(right, "b").where(both >= F.lit(least) * whole - F.lit(1e-9))
+                    .select("a", "b"), "links")
+    discard(pairs, sets)
+    return links
 
 
 def may_match(a: str, b: str, least: float):
@@ -136,31 +188,36 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str =
     Repeated rows come out as often as they came in.
     """
     given = texts(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    given = given.withColumn("rh", F.xxhash64("th", "doc_id"))
     marked = written(marks(given, shingle, least), "marks")
-    first = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("th").alias("th")), "distinct")
-    alone = marked.join(first.select("fp", "th"), ["fp", "th"], "left_semi").dropDuplicates(["fp"])
-    placed = alone.select("fp", "n", F.posexplode("prefix").alias("at", "h"))
+    # of the rows with one set, the one with the least hash over id and text is read again where the set is needed
+    first = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("rh").alias("rh")), "distinct")
+    alone = written(marked.select("fp", "n", "prefix", "bits").dropDuplicates(["fp"]), "alone")
+    placed = shared_only(alone)
     pivots = placed.groupBy("h").agg(F.min(F.struct("fp", "n", "at")).alias("pivot"), F.count("*").alias("members"))
     pivots = pivots.where("members > 1").select(
         "h", F.col("pivot.fp").alias("pfp"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat"))
     met = written(placed.join(pivots, "h"), "met")
     near = met.where(F.col("fp") != F.col("pfp")).where(may_match("", "p", least))
-    links = verified(near.select(F.col("pfp").alias("a"), F.col("fp").alias("b")).distinct(), first, given, shingle, least)
+    links = verified(near.select(F.col("pfp").alias("a"), F.col("fp").alias("b")).distinct(), alone, first,
+                     given, shingle, least)
 
-    roots = written(components(links), "roots")
+    roots, bare = written(components(links), "roots"), met
     for name in ("fp", "pfp"):
         met = met.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")), name, "left")
         met = met.withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
-    met = written(met, "rooted")
-    left, right = (met.select("h", *[F.col(x).alias(f"{side}{x}") for x in ("fp", "n", "at", "fp_root", "pfp_root")])
+    rooted = written(met, "rooted")
+    discard(bare)
+    left, right = (rooted.select("h", *[F.col(x).alias(f"{side}{x}") for x in ("fp", "n", "at", "fp_root", "pfp_root")])
                    for side in "ab")
     # one of each pair stands outside the pivot's group, and the pivot itself has been compared with all
     rest = left.where("afp_root != apfp_root").join(right, "h").where("afp_root != bfp_root").where(
         may_match("a", "b", least))
     rest = rest.select(F.least("afp", "bfp").alias("a"), F.greatest("afp", "bfp").alias("b")).distinct()
-    more = verified(rest, first, given, shingle, least)
+    more = verified(rest, alone, first, given, shingle, least)
     if not more.isEmpty():
         roots = written(components(links.unionAll(more)), "roots")
+    discard(rooted, alone)
     whole = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = whole.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = whole.select("fp", "root").join(groups, "root").select("fp", "root", "component_id")

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from pyspark.sql import functions as F
 from rillflow.llm import similar as sim
 from rillflow.llm.simhash_grid import fingerprint, keep_one
 
@@ -80,6 +82,35 @@ def test_stage_drops_what_fingerprints_miss(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()} == {1, 3}
 
 
+def test_parities_differ_in_no_more_items_than_sets():
+    rng = np.random.default_rng(5)
+    for size in (0, 3, 200, 5000):
+        a = np.unique(rng.integers(-2**63, 2**63, size))
+        b = np.unique(np.concatenate([a[size // 9:], rng.integers(-2**63, 2**63, size // 8)]))
+        apart = sum((int(x) & (2**64 - 1)).bit_count() for x in sim.parity(a) ^ sim.parity(b))
+        assert len(sim.parity(a)) * 64 == sim.PARITY and apart <= len(np.setxor1d(a, b))
+        assert size != 200 or apart > 30
+
+
+def test_only_shared_first_shingles_stay(spark):
+    rows = [(1, 9, [5, -7, 11]), (2, 9, [3, 5]), (3, 0, []), (4, 9, [-7])]
+    alone = spark.createDataFrame(rows, "fp long, n int, prefix array<long>").repartition(3)
+    got = {(r.fp, r.n, r.at, r.h) for r in sim.shared_only(alone).collect()}
+    assert got == {(1, 9, 0, 5), (1, 9, 1, -7), (2, 9, 1, 5), (4, 9, 0, -7)}
+    assert sim.shared_only(alone.where(F.lit(False))).count() == 0
+
+
+def test_superseded_tables_go(spark, tmp_path):
+    import os
+
+    from rillflow.llm.common import discard, written
+
+    kept, gone = (written(spark.range(3), "t") for _ in range(2))
+    path = gone.inputFiles()[0].removeprefix("file:").lstrip("/")
+    discard(gone, kept.where("id > 1"))
+    assert kept.count() == 3 and not os.path.exists(f"/{path}")
+
+
 def test_prefixes():
     assert [sim.prefix_size(n, 0.8) for n in (0, 1, 5, 10, 35)] == [0, 1, 2, 3, 8]
 
