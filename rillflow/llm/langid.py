@@ -50,6 +50,8 @@ class Lattice:
     def __init__(self, vocabulary: dict[str, int]):
         self.ids, self.unknown, self.none = vocabulary, len(vocabulary), len(vocabulary) + 1
         self.longest = max(map(len, vocabulary), default=1)
+        self.sizes = np.ones(len(vocabulary) + 2)
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def table(self, texts: list[str]) -> tuple[list[tuple[int, int]], np.ndarray]:
         """The spans of texts of one length, and the piece of each text in each span."""
@@ -63,9 +65,7 @@ class Lattice:
 
     def scaled(self, p: np.ndarray) -> np.ndarray:
         """``p``, with a row for each piece, times ``STEP`` for each character: no sum over cuts exceeds ``STEP**n``."""
-        sizes = np.ones(len(p))
-        sizes[:self.unknown] = list(map(len, self.ids))
-        return p * (STEP ** sizes).reshape(-1, *[1] * (p.ndim - 1))
+        return p * (STEP ** self.sizes).reshape(-1, *[1] * (p.ndim - 1))
 
     def score(self, texts: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each text in each language; ``p`` has a row for each piece."""
@@ -88,11 +88,7 @@ class Lattice:
         ahead = np.zeros((spans[-1][1] + 1, len(ids), *weights.shape[1:]))
         ahead[0] = 1
         for k, (i, j) in enumerate(spans):
-            met = np.flatnonzero(ids[:, k] != self.none)
-            if len(met) == len(ids):
-                ahead[j] += ahead[i] * weights[ids[:, k]]
-            elif len(met):
-                ahead[j, met] += ahead[i, met] * weights[ids[met, k]]
+            ahead[j] += ahead[i] * weights[ids[:, k]]
         return ahead
 
     def long_score(self, s: str, p: np.ndarray, logs: np.ndarray | None = None) -> np.ndarray:
@@ -125,13 +121,12 @@ class Lattice:
             for k in np.flatnonzero(low):
                 self.long_expect(same[k], n[where[k]], logs, uses)
             whole = np.where(low, 0.0, n[where]) / np.where(low, 1.0, ahead[-1])
+            weight = weights[ids]
             for k, (i, j) in reversed(list(enumerate(spans))):
-                met = np.flatnonzero(ids[:, k] != self.none)
-                if len(met):
-                    piece = ids[met, k]
-                    after = weights[piece] * behind[j, met]
-                    np.add.at(uses, piece, ahead[i, met] * after * whole[met])
-                    behind[i, met] += after
+                behind[i] += behind[j] * weight[:, k]
+            starts, ends = (np.array(x) for x in zip(*spans))
+            share = weight * (ahead[starts] * behind[ends] * whole).T
+            uses += np.bincount(ids.ravel(), share.ravel(), minlength=len(p))
         return uses
 
     def long_expect(self, s: str, n: float, logs: np.ndarray, uses: np.ndarray) -> None:
