@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch
@@ -16,6 +16,7 @@ from ..session import scratch
 TESTS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 PAIRS = 1 << 20         # pairs of rows compared at once
 GIVEN = 1 << 16         # pairs given at once
+PAIRED, COUNTED = 2000, 1 << 16     # rows of a block for pairs and for counts
 
 
 def _ordered(values: np.ndarray) -> np.ndarray:
@@ -47,8 +48,98 @@ def _bounds(blocks: DataFrame, names: Sequence[str]) -> tuple[list[int], list[tu
     return [r["block"] for r in rows], ends
 
 
+def _places(values: np.ndarray, right: np.ndarray, falling: bool, rights_first: bool) -> np.ndarray:
+    """Whole numbers in the order of ``values``, and one side before the other among equals."""
+    codes = np.unique(_ordered(values), return_inverse=True)[1].reshape(-1).astype(np.int64)
+    return 2 * (codes.max(initial=0) - codes if falling else codes) + (right != rights_first)
+
+
+def _beyond(places: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each row that is not ``right`` the right ones before it at greater places, bit by bit of the places."""
+    found, order = np.zeros(len(places), np.int64), np.arange(len(places))
+    for bit in range(int(places.max(initial=0)).bit_length()):
+        group = places >> (bit + 1)
+        order = np.argsort(group, kind="stable")
+        group, upper, theirs = group[order], (places[order] >> bit) & 1 == 1, right[order]
+        seen = np.concatenate([[0], np.cumsum(upper & theirs)])
+        first = np.searchsorted(group, group, side="left")
+        lower = ~upper & ~theirs
+        found[order[lower]] += (seen[:-1] - seen[first])[lower]
+    return found
+
+
+def _counts(left: DataFrame, right: DataFrame, conditions: Sequence[tuple[str, str, str]], block_rows: int,
+            name: str) -> DataFrame:
+    """Rows of ``left`` with the number of their partners, from sorted blocks along either condition.
+
+    A partner lies beyond a row along the first condition and before it along the second. Blocks of the first (slabs) and
+    of the second (strips) cut all rows into cells, so partners are in a slab beyond and a strip before, which is a sum
+    over cells, in the row's own strip and a slab beyond, or in its own slab.
+    """
+    spark = left.sparkSession
+    (mine, test, other), (also, second, there) = conditions if len(conditions) == 2 else (conditions[0], (None, ">", None))
+    value = lambda column, plain: F.col(f"`{column}`") if column else F.lit(plain)
+    lefts = left.select(F.struct(*left.columns).alias("row"), value(mine, 0).alias("x"), value(also, 1).alias("y"),
+                        F.lit(False).alias("right"))
+    rights = right.select(F.lit(None).cast(lefts.schema["row"].dataType).alias("row"), value(other, 0).alias("x"),
+                          value(there, 0).alias("y"), F.lit(True).alias("right"))
+    rows = lefts.unionByName(rights).where("x is not null and y is not null")     # dropna would drop NaN too
+    count = max(1, math.ceil(rows.count() / block_rows))
+    # among equals a right row comes first where it must not be beyond along x, and where it is before along y
+    falling = test in (">", ">="), second in ("<", "<=")
+    rights_first = test in ("<", ">"), second in ("<=", ">=")
+
+    def blocks(rows: DataFrame, axis: int, block: str) -> DataFrame:
+        at = F.col("xy"[axis])
+        side = F.when(F.col("right"), int(not rights_first[axis])).otherwise(int(rights_first[axis]))
+        # the last column cuts equal values into blocks too
+        placed = rows.repartitionByRange(count, at.desc() if falling[axis] else at.asc(), side, F.monotonically_increasing_id())
+        return placed.withColumn(block, F.spark_partition_id())
+
+    def counted(rows: DataFrame, place: Callable[[pa.Table, np.ndarray], np.ndarray]) -> DataFrame:
+        """Adds the partners within each task's rows, ``place`` telling who is beyond whom."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            batches = list(batches)
+            if not batches:
+                return
+            held = pa.Table.from_batches(batches)
+            right = held.column("right").to_numpy()
+            order = np.argsort(_places(held.column("y").to_numpy(), right, falling[1], rights_first[1]), kind="stable")
+            found = np.zeros(len(held), np.int64)
+            found[order] = _beyond(place(held, right)[order], right[order])
+            at = held.schema.get_field_index("n")
+            yield from held.set_column(at, held.schema.field(at), pa.array(held.column("n").to_numpy() + found)).to_batches()
+
+        return rows.mapInArrow(run, rows.schema)
+
+    def stored(rows: DataFrame, label: str) -> DataFrame:
+        path = f"{scratch(spark, label)}/table"
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    rows = blocks(rows.withColumn("n", F.lit(0).cast("long")), 0, "slab")
+    slabs = stored(counted(rows, lambda held, right: _places(held.column("x").to_numpy(), right, falling[0], rights_first[0])),
+                   "slabs")
+    strips = stored(counted(blocks(slabs, 1, "strip"), lambda held, right: held.column("slab").to_numpy().astype(np.int64)),
+                    "strips")
+
+    cell = F.col("strip").cast("long") * count + F.col("slab")
+    sizes = strips.where("right").groupBy(cell.alias("cell")).agg(F.count("*").alias("size"))
+    grid = spark.range(count * count).select(F.col("id").alias("cell"), F.expr(f"id div {count}").alias("s"),
+                                             (F.col("id") % count).alias("b")).join(sizes, "cell", "left")
+    before = F.sum(F.coalesce("size", F.lit(0))).over(Window.partitionBy("b").orderBy("s").rowsBetween(
+        Window.unboundedPreceding, -1))
+    grid = grid.withColumn("before", F.coalesce(before, F.lit(0)))
+    beyond = F.sum("before").over(Window.partitionBy("s").orderBy("b").rowsBetween(1, Window.unboundedFollowing))
+    grid = grid.select("cell", F.coalesce(beyond, F.lit(0)).alias("far")).where("far > 0")
+    ours = strips.where("not right").withColumn("cell", cell).join(grid, "cell", "left")
+    ours = ours.select("row", (F.col("n") + F.coalesce("far", F.lit(0))).alias(name)).where(F.col(name) > 0)
+    return ours.select("row.*", name)
+
+
 def inequality_join(left: DataFrame, right: DataFrame, conditions: Sequence[tuple[str, str, str]],
-                    block_rows: int = 2000) -> DataFrame:
+                    block_rows: int | None = None, counted: str | None = None) -> DataFrame:
     """Pairs of rows for which all ``conditions`` (left column, one of < <= > >=, right column) hold: one or two of them.
 
     Both sides are sorted into blocks along the first condition. A pair of blocks whose bounds rule out every pair of
@@ -56,13 +147,19 @@ def inequality_join(left: DataFrame, right: DataFrame, conditions: Sequence[tupl
     So a task's memory does not depend on the data, and the work is that of the blocks whose bounds overlap. The bounds,
     a row for each block, pass through the driver. The columns of a condition must have the same type, all column names
     must differ. Null matches nothing, NaN is above all numbers. Repeated rows pair each time.
+
+    With ``counted``, each left row that has a partner comes once, with the number of its partners in a column of that
+    name. Pairs are counted where they would be formed, so the work grows with the rows and not with the pairs.
+    ``block_rows`` is the rows of a block, by default 2,000 for pairs and 65,536 for counts.
     """
     if not 1 <= len(conditions) <= 2 or any(test not in TESTS for _, test, _ in conditions):
         raise ValueError("inequality_join takes one or two conditions of <, <=, > or >=")
     for mine, _, other in conditions:
         if left.schema[mine].dataType != right.schema[other].dataType:
             raise ValueError(f"{mine} and {other} differ in type")
-    spark, tests = left.sparkSession, [TESTS[test] for _, test, _ in conditions]
+    if counted:
+        return _counts(left, right, conditions, block_rows or COUNTED, counted)
+    spark, tests, block_rows = left.sparkSession, [TESTS[test] for _, test, _ in conditions], block_rows or PAIRED
     lefts, names = _blocks(left, [c[0] for c in conditions], block_rows)
     rights, _ = _blocks(right, [c[2] for c in conditions], block_rows)
     (ours, our_ends), (theirs, their_ends) = _bounds(lefts, names), _bounds(rights, names)

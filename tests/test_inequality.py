@@ -46,6 +46,29 @@ def test_pairs_of_any_conditions(spark, one, two, block):
     assert Counter((r.a, r.b) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize(("one", "two", "block"), [("<", ">", 7), ("<=", "<=", 13), (">", ">=", 60), (">=", "<", 1000), ("<", None, 9)])
+def test_counts_are_those_of_the_pairs(spark, one, two, block):
+    ours, theirs = sample(90, 1, 0), sample(70, 2, 1000)
+    ours += [*ours[:5], (None, 1.0, 3)]
+    left = spark.createDataFrame(ours, "a int, x double, p long").repartition(3)
+    right = spark.createDataFrame(theirs, "b int, y double, q long")
+    conditions = [("x", one, "y"), *([("p", two, "q")] if two else [])]
+    got = inequality_join(left, right, conditions, block_rows=block, counted="n")
+    assert got.columns == ["a", "x", "p", "n"]
+    hold = lambda test, x, y: x is not None and y is not None and TESTS[test](above(x), above(y))
+    want = [(r[0], sum(hold(one, r[1], s[1]) and (not two or hold(two, r[2], s[2])) for s in theirs)) for r in ours]
+    assert Counter((r.a, r.n) for r in got.collect()) == Counter(w for w in want if w[1])
+
+
+def test_counts_form_no_pairs(spark):
+    """60,000 rows a side have 1.8 billion pairs."""
+    left = spark.range(60_000).select(F.col("id").alias("x"), F.lit("k").alias("p"))
+    right = spark.range(60_000).select(F.col("id").alias("y"), F.lit("j").alias("q"))
+    got = inequality_join(left, right, [("x", "<", "y"), ("p", ">", "q")], block_rows=9000, counted="n")
+    assert got.where("n != 59999 - x").isEmpty() and got.count() == 59_999
+    assert inequality_join(left.limit(0), right, [("x", "<", "y")], counted="n").count() == 0
+
+
 def test_other_types_and_empty_sides(spark):
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
     left = spark.createDataFrame([(i, day(i), Decimal(i), f"k{i % 10}é") for i in range(40)], "a int, d date, n decimal(20,3), s string")
