@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from .leaves import Leaves, address, bucket, gathered, numbers, summed
 from .payload import from_bytes, packed, present, several_variables, to_bytes, unpacked
 
 CHUNK = 50_000      # rows a processor gives at once
@@ -200,38 +202,49 @@ def merged_ranking(log: DataFrame, keys: Sequence[str], order: str, count: int,
     return top_per_group(stands.select(*names), keys, [*first, packed(names)], count).withColumnRenamed("rn", "rank")
 
 
-def _remaining(kind: str, left: int, right: int) -> int:
-    """How often a row is in the result, from how often it is on either side."""
-    left, right = max(left, 0), max(right, 0)
+def _remaining(kind: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How often rows are in the result, from how often they are on either side."""
+    left, right = np.maximum(left, 0), np.maximum(right, 0)
     if kind == "except":
-        return int(left > 0 and right == 0)
+        return ((left > 0) & (right == 0)).astype(np.int64)
     if kind == "intersect":
-        return int(left > 0 and right > 0)
-    return max(left - right, 0) if kind == "except all" else min(left, right)
+        return ((left > 0) & (right > 0)).astype(np.int64)
+    return np.maximum(left - right, 0) if kind == "except all" else np.minimum(left, right)
 
 
 class _SetChanges(StatefulProcessor):
+    """The counts of a group's rows."""
+
+    rows = pa.schema([("h", pa.int64()), ("place", pa.int64()), ("who", pa.string()), ("l", pa.int64()), ("r", pa.int64())])
+
     def __init__(self, kind: str):
         self.kind = kind
 
     def init(self, handle) -> None:
-        self.counts = handle.getValueState("counts", "l long, r long")
+        self.counts = Leaves(handle, "counts", self.rows)
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        counts = list(self.counts.get()) if self.counts.exists() else [0, 0]
-        before = _remaining(self.kind, *counts)
-        for batch in rows:
-            for side in (0, 1):
-                counts[side] += int(batch["sign"][batch["side"] == side].sum())
-        if any(counts):
-            self.counts.update(tuple(counts))
-        elif self.counts.exists():
-            self.counts.clear()
-        if change := _remaining(self.kind, *counts) - before:
-            yield pd.DataFrame({"body": [key[0]], "sign": [change]})
+        names = ["h", "place", "who"]
+        changes = gathered((x.assign(place=0) for x in rows), self.rows, names, ["l", "r"])
+        self.counts.open()
+        of = self.counts.find(address(numbers(changes, "h"), 0))
+        for blocks in self.counts.parts(of):
+            new = changes.filter(pa.array(np.isin(of, blocks)))
+            new = pa.table([*(new.column(n) for n in names), pa.array(np.zeros(len(new), np.int64)),
+                            pa.array(np.zeros(len(new), np.int64)), new.column("l"), new.column("r")], [*names, "l", "r", "dl", "dr"])
+            both = pa.concat_tables([self.counts.read(blocks), new], promote_options="default")
+            both = summed(both, names, ["l", "r", "dl", "dr"])
+            l, r, dl, dr = (np.nan_to_num(numbers(both, n)).astype(np.int64) for n in ("l", "r", "dl", "dr"))
+            change = _remaining(self.kind, l + dl, r + dr) - _remaining(self.kind, l, r)
+            stays = pa.table([*(both.column(n) for n in names), pa.array(l + dl), pa.array(r + dr)], self.rows)
+            self.counts.write(blocks, stays.filter(pa.array((l + dl != 0) | (r + dr != 0))))
+            if change.any():
+                met = np.flatnonzero(change)
+                yield pd.DataFrame({"body": both.column("who").take(pa.array(met)).to_pandas(), "sign": change[met]})
+        self.counts.close()
 
 
 def set_changes(left: DataFrame, right: DataFrame, kind: str, sign: str | None = None) -> DataFrame:
@@ -239,15 +252,17 @@ def set_changes(left: DataFrame, right: DataFrame, kind: str, sign: str | None =
 
     ``kind`` is ``except``, ``except all``, ``intersect`` or ``intersect all``. Both sides have the same columns; nulls are
     equal to each other. With ``sign``, rows also go (-1). Adding up the column ``sign`` (or of that name) per row of the
-    result gives how often the row is in it. State: two counts for each distinct row that stands on a side.
+    result gives how often the row is in it. State: two counts for each distinct row that stands on a side, in blocks.
     """
     if kind not in ("except", "except all", "intersect", "intersect all"):
         raise ValueError(f"no set operation {kind!r}")
     several_variables(left.sparkSession)
     names = [name for name in left.columns if name != sign]
-    given = (F.col(sign) if sign else F.lit(1)).cast("long").alias("sign")
-    sides = [side.select(packed(names).alias("who"), F.lit(number).alias("side"), given) for number, side in enumerate((left, right))]
-    out = sides[0].unionByName(sides[1]).groupBy("who").transformWithStateInPandas(
-        _SetChanges(kind), "body string, sign long", "append", "none")
+    given = (F.col(sign) if sign else F.lit(1)).cast("long")
+    none = F.lit(0).cast("long")
+    sides = [side.select(packed(names).alias("who"), *[(given if at == number else none).alias(n) for at, n in enumerate("lr")])
+             for number, side in enumerate((left, right))]
+    placed = sides[0].unionByName(sides[1]).withColumn("h", F.xxhash64("who")).withColumn("bucket", bucket())
+    out = placed.groupBy("bucket").transformWithStateInPandas(_SetChanges(kind), "body string, sign long", "append", "none")
     fields = [left.schema[name] for name in names]
     return out.select(unpacked("body", fields).alias("r"), F.col("sign").alias(sign or "sign")).select("r.*", sign or "sign")
