@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -18,52 +19,65 @@ CHUNK = 50_000      # rows a processor gives at once
 
 
 class _JoinChanges(StatefulProcessor):
-    """Both sides as counted rows. A batch of changes dL, dR gives dL x R, L x dR and dL x dR."""
+    """Both sides of a group's keys as counted rows. A batch of changes dL, dR gives dL x R, L x dR and dL x dR."""
+
+    rows = pa.schema([("h", pa.int64()), ("place", pa.int64()), ("who", pa.string()), ("body", pa.string()), ("n", pa.int64())])
+    names = ["h", "place", "who", "body"]
 
     def init(self, handle) -> None:
-        self.sides = [handle.getMapState(name, "body string", "n long") for name in ("left", "right")]
+        self.sides = [Leaves(handle, name, self.rows) for name in ("left", "right")]
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        changes: list[dict[str, int]] = [{}, {}]
-        for batch in rows:
-            for side, body, sign in zip(batch["side"], batch["body"], batch["sign"]):
-                changes[side][body] = changes[side].get(body, 0) + int(sign)
-        changes = [{body: n for body, n in side.items() if n} for side in changes]
+        both = pa.schema([*self.rows, ("side", pa.int32())])
+        found = gathered(rows, both, [*self.names, "side"], ["n"])
+        found = found.filter(pc.not_equal(found.column("n"), 0))
+        changes = [found.filter(pc.equal(found.column("side"), side)).select(self.rows.names) for side in (0, 1)]
         # the right side as it will be meets the left side's changes, the left side as it was the right side's
         self._apply(1, changes[1])
-        if changes[0]:
-            yield from self._pairs(changes[0].items(), ((b[0], n[0]) for b, n in self.sides[1].iterator()), False)
-        if changes[1]:
-            yield from self._pairs(changes[1].items(), ((b[0], n[0]) for b, n in self.sides[0].iterator()), True)
+        yield from self._pairs(changes[0], self.sides[1], ["left", "right"])
+        yield from self._pairs(changes[1], self.sides[0], ["right", "left"])
         self._apply(0, changes[0])
 
-    def _apply(self, side: int, changes: dict[str, int]) -> None:
-        state = self.sides[side]
-        for body, n in changes.items():
-            n += (state.getValue((body,)) or (0,))[0]
-            if n:
-                state.updateValue((body,), (n,))
-            else:
-                state.removeKey((body,))
-
-    @staticmethod
-    def _pairs(changed, standing, swapped: bool) -> Iterator[pd.DataFrame]:
-        """Every changed row with every standing one; only ``changed``, a batch's rows of a key, is held whole."""
-        changed, out = list(changed), []
-
-        def frame() -> pd.DataFrame:
-            return pd.DataFrame(out, columns=["right", "left", "sign"] if swapped else ["left", "right", "sign"])
-
-        for body, n in standing:
-            out += [(mine, body, n * times) for mine, times in changed]
-            if len(out) >= CHUNK:
-                yield frame()[["left", "right", "sign"]]
-                out.clear()
-        if out:
-            yield frame()[["left", "right", "sign"]]
+    def _apply(self, side: int, changes: pa.Table) -> None:
+        store = self.sides[side]
+        store.open()
+        of = store.find(address(numbers(changes, "h"), numbers(changes, "place")))
+        for blocks in store.parts(of):
+            new = changes.filter(pa.array(np.isin(of, blocks)))
+            rows = summed(pa.concat_tables([store.read(blocks), new]), self.names, ["n"])
+            store.write(blocks, rows.filter(pc.not_equal(rows.column("n"), 0)))
+        store.close()
+
+    def _pairs(self, changed: pa.Table, store: Leaves, names: list[str]) -> Iterator[pd.DataFrame]:
+        """Every changed row with every standing one of its key; only ``changed``, a batch's rows, is held whole."""
+        if not len(changed):
+            return
+        store.open()
+        h = np.unique(numbers(changed, "h"))
+        first, last = store.find(address(h, -(1 << 63))), store.find(address(h, (1 << 63) - 1))
+        marks = np.zeros(len(store.starts) + 1, np.int64)
+        np.add.at(marks, first, 1)
+        np.add.at(marks, last + 1, -1)
+        changed = changed.take(pc.sort_indices(changed.column("who"))).combine_chunks()
+        keys, begins, sizes = np.unique(pc.rank(changed.column("who"), tiebreaker="dense").to_numpy(), return_index=True,
+                                        return_counts=True)
+        keys = changed.column("who").take(pa.array(begins)).combine_chunks()
+        for blocks in store.parts(np.flatnonzero(np.cumsum(marks)[:-1])):
+            standing = store.read(blocks)
+            at = pc.index_in(standing.column("who"), value_set=keys)
+            standing, at = standing.filter(at.is_valid()).combine_chunks(), at.drop_null().to_numpy()
+            ends = np.cumsum(sizes[at])
+            for low in range(0, int(ends[-1]) if len(ends) else 0, CHUNK):
+                pair = np.arange(low, min(low + CHUNK, int(ends[-1])))
+                theirs = np.searchsorted(ends, pair, side="right")
+                mine = begins[at[theirs]] + pair - (ends - sizes[at])[theirs]
+                mine, theirs = changed.take(pa.array(mine)), standing.take(pa.array(theirs))
+                out = pd.DataFrame({names[0]: mine.column("body").to_pandas(), names[1]: theirs.column("body").to_pandas(),
+                                    "sign": numbers(mine, "n") * numbers(theirs, "n")})
+                yield out[["left", "right", "sign"]]
 
 
 def join_changes(left: DataFrame, right: DataFrame, keys: Sequence[str], sign: str = "sign", ways: int = 1) -> DataFrame:
@@ -72,7 +86,7 @@ def join_changes(left: DataFrame, right: DataFrame, keys: Sequence[str], sign: s
     ``sign`` is 1 for a row that comes and -1 for one that goes, in any order: a row may go before it comes. Columns:
     those of the left side, those of the right side but the keys, and ``sign``; other names must differ. Null keys match
     nothing. Adding up the signs per row gives the join of what is left on both sides. State: each side's distinct rows
-    with their number. ``ways`` cuts the left rows of each key into so many parts, for keys that one task can't carry;
+    with their number, in blocks. ``ways`` cuts the left rows of each key into so many parts, for keys that one task can't carry;
     right rows are copied to all of them.
     """
     several_variables(left.sparkSession)
@@ -81,11 +95,13 @@ def join_changes(left: DataFrame, right: DataFrame, keys: Sequence[str], sign: s
     body, who, given = packed(ours), packed(keys).alias("who"), present(*keys)
     lefts = left.where(given).select(
         who, F.pmod(F.xxhash64(body), F.lit(ways)).cast("int").alias("part"), F.lit(0).alias("side"), body.alias("body"),
-        F.col(sign).cast("long").alias("sign"))
+        F.col(sign).cast("long").alias("n"))
     rights = right.where(given).select(
         who, F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("part"), F.lit(1).alias("side"),
-        (packed(theirs) if theirs else F.lit("{}")).alias("body"), F.col(sign).cast("long").alias("sign"))
-    joined = lefts.unionByName(rights).groupBy("who", "part").transformWithStateInPandas(
+        (packed(theirs) if theirs else F.lit("{}")).alias("body"), F.col(sign).cast("long").alias("n"))
+    placed = lefts.unionByName(rights).withColumn("who", F.concat_ws(" ", "part", "who")).drop("part").withColumns(
+        {"h": F.xxhash64("who"), "place": F.xxhash64("body")}).withColumn("bucket", bucket())
+    joined = placed.groupBy("bucket").transformWithStateInPandas(
         _JoinChanges(), "left string, right string, sign long", "append", "none")
     one = unpacked("left", [left.schema[name] for name in ours]).alias("l")
     other = unpacked("right", [right.schema[name] for name in theirs]).alias("r") if theirs else F.lit(None).alias("r")

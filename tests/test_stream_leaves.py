@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from rillflow.streaming import leaves as module
-from rillflow.streaming.changes import _SetChanges
+from rillflow.streaming.changes import _JoinChanges, _SetChanges
 from rillflow.streaming.leaves import Leaves, address
 
 SCHEMA = pa.schema([("h", pa.int64()), ("place", pa.int64()), ("v", pa.int64())])
@@ -94,3 +94,29 @@ def test_many_keys_are_few_state_rows():
         assert len(handle.states["counts"]) <= 10
     assert [(len(x), set(x["sign"])) for x in out] == [(20_000, {2}), (20_000, {-1}), (20_000, {-1})]
     assert not handle.states["counts"] and not handle.states["counts_index"].exists()
+
+
+def test_join_of_many_keys_in_few_state_rows(monkeypatch):
+    monkeypatch.setattr("rillflow.streaming.changes.CHUNK", 70)
+    monkeypatch.setattr(module, "BLOCK", 50)
+    monkeypatch.setattr(module, "HELD", 400)
+    rng, handle, net, sides = random.Random(3), Handle(), {}, [{}, {}]
+    for _ in range(4):
+        rows = [(rng.choice([0, 0, *range(60)]), rng.randrange(90), rng.choice([1, 1, 1, -1]), rng.randrange(2)) for _ in range(500)]
+        frame = pd.DataFrame([(k, hash((b, side)), f"k{k}", f"{b}", n, side) for k, b, n, side in rows],
+                             columns=["h", "place", "who", "body", "n", "side"])
+        for k, b, n, side in rows:
+            sides[side][k, b] = sides[side].get((k, b), 0) + n
+        join = _JoinChanges()
+        join.init(handle)
+        for out in join.handleInputRows((0,), iter([frame]), None):
+            assert len(out) <= 70
+            for left, right, sign in out.itertuples(index=False):
+                net[left, right] = net.get((left, right), 0) + sign
+    want = {}
+    for (k, a), n in sides[0].items():
+        for (j, b), m in sides[1].items():
+            if k == j:
+                want[str(a), str(b)] = want.get((str(a), str(b)), 0) + n * m
+    assert {x: n for x, n in net.items() if n} == {x: n for x, n in want.items() if n}
+    assert len(handle.states["left"]) < 60
