@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from .leaves import Leaves, address, bucket, gathered, numbers, summed
-from .payload import from_bytes, packed, present, several_variables, to_bytes, unpacked
+from .leaves import BLOCK, HELD, Leaves, address, bucket, gathered, numbers, summed
+from .payload import packed, present, several_variables, unpacked
 
 CHUNK = 50_000      # rows a processor gives at once
 
@@ -109,73 +109,98 @@ def join_changes(left: DataFrame, right: DataFrame, keys: Sequence[str], sign: s
 
 
 class _TopChanges(StatefulProcessor):
-    """Counted rows in blocks of their order; the first rows come from the first blocks, whatever lies behind them."""
+    """Counted rows of a group's keys in their order; the first rows come from a key's first blocks, whatever lies behind."""
+
+    rows = pa.schema([("h", pa.int64()), ("place", pa.int64()), ("who", pa.string()), ("part", pa.int32()), ("at", pa.int64()),
+                      ("tie", pa.int64()), ("body", pa.string()), ("n", pa.int64())])
+    names = ["h", "place", "who", "part", "at", "tie", "body"]
 
     def __init__(self, count: int, width: int, deletes: bool):
         self.count, self.width, self.deletes = count, width, deletes
 
     def init(self, handle) -> None:
-        self.blocks = handle.getMapState("blocks", "block long", "rows binary")
-        self.index = handle.getValueState("index", "rows binary")
-        self.top = handle.getValueState("top", "rows binary")
+        self.store = Leaves(handle, "blocks", self.rows)
 
     def close(self) -> None:
         pass
 
+    def _given(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not self.deletes and (frame["sign"] < 0).any():
+                raise ValueError("rows go: the stream needs deletes=True")
+            yield frame.assign(place=frame["at"] // self.width, n=frame["sign"])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))[["at", "tie", "body", "sign"]].set_axis(["at", "tie", "body", "n"], axis=1)
-        if not self.deletes and (new["n"] < 0).any():
-            raise ValueError("rows go: the stream needs deletes=True")
-        new = new.groupby(["at", "tie", "body"], as_index=False)["n"].sum()
-        index = set(from_bytes(self.index.get()[0]).column("block").to_pylist()) if self.index.exists() else set()
-        known, before = set(index), self._stood()
-        for block, part in new.groupby(new["at"] // self.width):
-            block = int(block)
-            if block in index:
-                part = pd.concat([self._block(block), part]).groupby(["at", "tie", "body"], as_index=False)["n"].sum()
-            part = part[part["n"] != 0]
-            index.add(block)
-            if len(part):
-                self._write(block, part)
-            else:
-                index.discard(block)
-                if block in known:
-                    self.blocks.removeKey((block,))
-        after, used = [], 0
-        for block in sorted(index):
-            if len(after) < self.count:
-                rows = self._block(block)
-                if not self.deletes:        # what can't come up any more goes
-                    rows = rows[rows["n"].cumsum() - rows["n"] < self.count - len(after)]
-                    self._write(block, rows)
-                for at, tie, body, n in rows.itertuples(index=False):
-                    after += [(at, tie, body)] * min(max(n, 0), self.count - len(after))
-            elif not self.deletes:
-                self.blocks.removeKey((block,))
+        changes = gathered(self._given(rows), self.rows, self.names, ["n"])
+        self.store.open()
+        of = self.store.find(address(numbers(changes, "h"), numbers(changes, "place")))
+        h = np.unique(numbers(changes, "h"))
+        first, last = self.store.find(address(h, -(1 << 63))), self.store.find(address(h, (1 << 63) - 1))
+        # keys that share no block are worked on apart
+        total = np.cumsum(np.concatenate([[0], self.store.sizes]))
+        apart, part, size = np.concatenate([[True], first[1:] > last[:-1]]), np.zeros(len(h), np.int64), 0
+        for at in range(len(h)):
+            fresh = apart[at] and size > HELD
+            part[at] = part[at - 1] + fresh if at else 0
+            size = (0 if fresh else size) + min(int(total[last[at] + 1] - total[first[at]]), BLOCK)
+        for number in range(int(part[-1]) + 1 if len(h) else 0):
+            mine = part == number
+            new = pa.array(np.isin(numbers(changes, "h"), h[mine]))
+            yield from self._ranked(changes.filter(new), np.unique(of[new.to_numpy(zero_copy_only=False)]), h[mine], first[mine], last[mine])
+        self.store.close()
+
+    def _ranked(self, changes: pa.Table, blocks: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[pd.DataFrame]:
+        blocks = np.union1d(blocks, first)
+        held = self.store.read(blocks)
+        while True:
+            rows = summed(pa.concat_tables([held, changes]), self.names, ["n"])
+            rows = rows.filter(pc.not_equal(rows.column("n"), 0))
+            if not len(more := self._missing(held, rows, blocks, h, first, last)):
+                break
+            blocks, held = np.union1d(blocks, more), pa.concat_tables([held, self.store.read(more)])
+        before, after = self._top(held)[0], self._top(rows)[0]
+        if not self.deletes:        # what can't come up any more goes
+            rows = self._top(rows)[1]
+        self.store.write(blocks, rows)
+        both = before.merge(after, on=["who", "rank"], how="outer", suffixes=("_old", "_new"))
+        both = both[both["body_old"].isna() | both["body_new"].isna() | (both["body_old"] != both["body_new"])]
+        out = [pd.DataFrame({"part": both[f"part_{x}"], "rank": both["rank"], "body": both[f"body_{x}"], "sign": sign}).dropna()
+               for x, sign in (("old", -1), ("new", 1))]
+        out = pd.concat(out).astype({"part": "int32", "rank": "int32", "sign": "int32"})
+        if len(out):
+            yield out
+
+    def _missing(self, held: pa.Table, rows: pa.Table, blocks: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The next block of each key whose first rows may lie in blocks that have not been read."""
+        more = set()
+        for at in np.flatnonzero(last > first):
+            unread = np.setdiff1d(np.arange(first[at], last[at] + 1), blocks)
+            if not len(unread):
                 continue
-            used += 1
-        index = sorted(index)[:used]
-        self.index.update((to_bytes(pa.table({"block": pa.array(index, pa.int64())})),))
-        self.top.update((to_bytes(pa.table(list(map(list, zip(*after))) or [[], [], []], names=["at", "tie", "body"])),))
-        out = []
-        for rank in range(max(len(before), len(after))):
-            old, now = (rows[rank] if rank < len(rows) else None for rows in (before, after))
-            if old != now:
-                out += [(rank + 1, row[2], sign) for row, sign in ((old, -1), (now, 1)) if row]
-        if out:
-            yield pd.DataFrame(out, columns=["rank", "body", "sign"]).assign(part=key[-1])[["part", "rank", "body", "sign"]]
-
-    def _stood(self) -> list[tuple]:
-        if not self.top.exists():
-            return []
-        return list(zip(*from_bytes(self.top.get()[0]).to_pydict().values()))
-
-    def _block(self, block: int) -> pd.DataFrame:
-        return from_bytes(self.blocks.getValue((block,))[0]).to_pandas()
-
-    def _write(self, block: int, rows: pd.DataFrame) -> None:
-        rows = rows.sort_values(["at", "tie", "body"])
-        self.blocks.updateValue((block,), (to_bytes(pa.Table.from_pandas(rows, preserve_index=False)),))
+            for table in (held, rows):
+                own = table.filter(pa.array((numbers(table, "h") == h[at]) & (numbers(table, "n") > 0)))
+                near = self.store.find(address(numbers(own, "h"), numbers(own, "place"))) < unread[0]
+                per_key = own.filter(pa.array(near)).group_by("who").aggregate([("n", "sum")])
+                # keys of one hash may lie here too: each one needs its first rows
+                if len(own.column("who").unique()) > len(per_key) or not len(per_key) or pc.min(per_key.column("n_sum")).as_py() < self.count:
+                    more.add(int(unread[0]))
+        return np.array(sorted(more), np.int64)
+
+    def _top(self, rows: pa.Table) -> tuple[pd.DataFrame, pa.Table]:
+        """The ranking of each key, a row for each rank, and the rows that it takes."""
+        rows = rows.filter(pc.greater(rows.column("n"), 0)).sort_by([(n, "ascending") for n in ("who", "at", "tie", "body")])
+        n = numbers(rows, "n")
+        who = pc.rank(rows.column("who").combine_chunks(), tiebreaker="dense").to_numpy() if len(rows) else np.zeros(0, np.int64)
+        ends = np.cumsum(n)
+        start = (ends - n)[np.searchsorted(who, who, side="left")] if len(rows) else ends
+        ahead = ends - n - start
+        taken = ahead < self.count
+        rows, ahead, n = rows.filter(pa.array(taken)), ahead[taken], n[taken]
+        times = np.minimum(n, self.count - ahead)
+        out = rows.select(["who", "part", "body"]).to_pandas()
+        at = np.repeat(np.arange(len(out)), times)
+        rank = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + ahead[at] + 1
+        return out.iloc[at].assign(rank=rank), rows
 
 
 def topk_changes(changes: DataFrame, keys: Sequence[str], order: str, count: int, tie: str | None = None,
@@ -201,7 +226,8 @@ def topk_changes(changes: DataFrame, keys: Sequence[str], order: str, count: int
         (-value if descending else value).alias("at"),
         (F.coalesce(F.col(tie).cast("long"), F.lit(-(1 << 63))) if tie else F.lit(0).cast("long")).alias("tie"),
         body.alias("body"), (F.col(sign).cast("long") if sign else F.lit(1).cast("long")).alias("sign"))
-    out = rows.groupBy("who", "part").transformWithStateInPandas(
+    rows = rows.withColumn("who", F.concat_ws(" ", "part", "who")).withColumn("h", F.xxhash64("who")).withColumn("bucket", bucket())
+    out = rows.groupBy("bucket").transformWithStateInPandas(
         _TopChanges(count, width, sign is not None), "part int, rank int, body string, sign int", "append", "none")
     return out.select(unpacked("body", [changes.schema[name] for name in names]).alias("r"), "part", "rank", "sign").select(
         "r.*", "part", "rank", "sign")

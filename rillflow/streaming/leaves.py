@@ -57,6 +57,12 @@ def gathered(frames: Iterator[pd.DataFrame], schema: pa.Schema, names: list[str]
     return summed(pa.concat_tables(held), names, amounts)
 
 
+def cut(values: np.ndarray, low: int, high: int, middle: int) -> int:
+    """Where in ``low`` to ``high`` the middle's value begins, or ends if it begins at ``low``."""
+    begin = low + int(np.searchsorted(values[low:high], values[middle], side="left"))
+    return begin if begin > low else low + int(np.searchsorted(values[low:high], values[middle], side="right"))
+
+
 class Leaves:
     """The blocks of one group. ``schema`` has ``h`` and ``place``, the address, both longs, among its columns."""
 
@@ -93,16 +99,18 @@ class Leaves:
         at = address(numbers(rows, "h"), numbers(rows, "place"))
         order = np.argsort(at, kind="stable")
         rows, at = rows.select(self.schema.names).take(pa.array(order)).combine_chunks(), at[order]
+        h = numbers(rows, "h")
         of = self.find(at)
         for block in blocks.tolist():
             low, high = (int(np.searchsorted(of, block, side=side)) for side in ("left", "right"))
             self.cut[block] = pieces = []
             while low < high or (block == 0 and not pieces):
                 end = high
-                if high - low > BLOCK:
-                    end = int(np.searchsorted(at[low:high], at[low + BLOCK // 2], side="left")) + low
-                    if end == low:
-                        end = int(np.searchsorted(at[low:high], at[low], side="right")) + low
+                if high - low > BLOCK:      # between keys where that is possible
+                    middle = low + BLOCK // 2
+                    end = cut(h, low, high, middle)
+                    if end - low > BLOCK:
+                        end = cut(at, low, high, middle)
                 pieces.append((self.starts[block] if not pieces else at[low], self._put(block, rows.slice(low, end - low), not pieces),
                                end - low))
                 low = end

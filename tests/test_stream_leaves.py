@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from rillflow.streaming import leaves as module
-from rillflow.streaming.changes import _JoinChanges, _SetChanges
+from rillflow.streaming.changes import _JoinChanges, _SetChanges, _TopChanges
 from rillflow.streaming.leaves import Leaves, address
 
 SCHEMA = pa.schema([("h", pa.int64()), ("place", pa.int64()), ("v", pa.int64())])
@@ -120,3 +120,26 @@ def test_join_of_many_keys_in_few_state_rows(monkeypatch):
                 want[str(a), str(b)] = want.get((str(a), str(b)), 0) + n * m
     assert {x: n for x, n in net.items() if n} == {x: n for x, n in want.items() if n}
     assert len(handle.states["left"]) < 60
+
+
+def test_first_rows_of_many_keys_in_few_state_rows(monkeypatch):
+    monkeypatch.setattr(module, "BLOCK", 30)
+    monkeypatch.setattr("rillflow.streaming.changes.HELD", 100)
+    rng, handle, net, left = random.Random(4), Handle(), {}, {}
+    for _ in range(6):
+        rows = [(rng.choice([0, 0, 0, *range(40)]), rng.randrange(200), rng.choice([1, 1, -1])) for _ in range(300)]
+        frame = pd.DataFrame([(k, f"0 k{k}", 0, v, 0, f"{k} {v}", n) for k, v, n in rows],
+                             columns=["h", "who", "part", "at", "tie", "body", "sign"])
+        for k, v, n in rows:
+            left[k, v] = left.get((k, v), 0) + n
+        top = _TopChanges(3, 10, True)
+        top.init(handle)
+        for out in top.handleInputRows((0,), iter([frame]), None):
+            for _, rank, body, sign in out.itertuples(index=False):
+                net[body, rank] = net.get((body, rank), 0) + sign
+        want = {}
+        for k in {k for k, _ in left}:
+            own = [v for (j, v), n in sorted(left.items()) if j == k for _ in range(n)]
+            want.update({(f"{k} {v}", rank + 1): 1 for rank, v in enumerate(own[:3])})
+        assert {x: n for x, n in net.items() if n} == want
+    assert len(handle.states["blocks"]) < sum(n != 0 for n in left.values()) / 4
