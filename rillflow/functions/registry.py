@@ -67,7 +67,7 @@ def register(spark: SparkSession, name: str, what, returns: str | T.DataType | N
     elif isinstance(made, Accumulator):
         _accumulators[name] = made
     elif isinstance(made, type):
-        spark.udtf.register(name, F.udtf(made, returnType=returns, useArrow=True))
+        spark.udtf.register(name, F.udtf(made, returnType=returns, useArrow=False))
     elif hasattr(made, "evalType") or hasattr(made, "returnType"):
         spark.udf.register(name, made)
     elif callable(made):
