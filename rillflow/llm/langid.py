@@ -9,7 +9,9 @@ piece.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -21,12 +23,17 @@ from pyspark.sql import functions as F
 from .common import Batches, query, table, written
 
 LETTERS = regex.compile(r"\p{L}+")
+# the same for texts without characters beyond U+FFFF, by the standard module, which is faster at it
+BASIC = "".join(chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000)
+BASIC_LETTERS = re.compile("[" + "".join(f"{run[0]}-{run[-1]}" for run in LETTERS.findall(BASIC)) + "]+")
+BEYOND = re.compile("[\U00010000-\U0010FFFF]")
 START = "▁"                # stands before a word's first letter in the vocabulary
 TABLED = 41                     # characters of a word that is worked on with others of its length
 STEP = 2.0 ** 24                # sums over cuts of n characters are held STEP**n times as large: at most 2**984
 SMALL = 1e-290                  # a smaller sum may have lost digits; its text is worked on in logs
-COUNTED, SCORED = 300_000, 1_000_000    # words that a task counts, and a worker scores, before it lets go of them
-ROWS = 1000                     # documents whose words are held at once
+CHARS = 30_000                  # characters of words that are worked on together
+COUNTED, SCORED = 300_000, 500_000      # words that a task counts, and a worker scores, before it lets go of them
+ROWS = 1000                     # documents whose words are scored at once
 SMOOTH = 0.01
 
 
@@ -44,24 +51,123 @@ def pieces(path: str) -> dict[str, int]:
     return {piece: i for i, piece in enumerate(sorted(found))}
 
 
+class Prefixes:
+    """All beginnings of the pieces as the nodes of a tree, whose steps by a letter are looked up for many texts at once."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        nodes = {prefix: k for k, prefix in enumerate({"": 0} | {s[:i]: 0 for s in vocabulary for i in range(1, len(s) + 1)})}
+        steps = list(nodes)[1:]
+        letters = np.array([ord(s[-1]) for s in steps], dtype=np.int64)
+        self.alphabet, letters = np.unique(letters, return_inverse=True)
+        self.pieces = np.full(len(nodes), -1, dtype=np.int32)
+        self.pieces[[nodes[s] for s in vocabulary]] = list(vocabulary.values())
+        keys = np.array([nodes[s[:-1]] for s in steps], dtype=np.int64) * len(self.alphabet) + letters
+        self.shift = 64 - max(4, 2 + int(len(keys)).bit_length())
+        self.keys, self.nodes = np.full(1 << (64 - self.shift), -1, dtype=np.int64), np.zeros(1 << (64 - self.shift), np.int32)
+        left, at = np.arange(len(keys)), self.place(keys)
+        while len(left):
+            free = self.keys[at[left]] < 0
+            taken, first = np.unique(at[left[free]], return_index=True)
+            put = left[free][first]
+            self.keys[taken], self.nodes[taken] = keys[put], put + 1
+            left = np.setdiff1d(left, put)
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def letters(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of the letters, minus one for such as are in no piece."""
+        if not len(self.alphabet):
+            return np.full(len(codes), -1)
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == codes, at, -1)
+
+    def step(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The node that each letter, which must be in a piece, leads to from each node, or minus one."""
+        keys = nodes * len(self.alphabet) + letters
+        at = self.place(keys)
+        met = self.keys[at]
+        out = np.where(met == keys, self.nodes[at], -1)
+        missed = np.flatnonzero((met != keys) & (met >= 0))
+        while len(missed):
+            at[missed] = (at[missed] + 1) & (len(self.keys) - 1)
+            met = self.keys[at[missed]]
+            hit = met == keys[missed]
+            out[missed[hit]] = self.nodes[at[missed[hit]]]
+            missed = missed[~hit & (met >= 0)]
+        return out
+
+
+class Cuts:
+    """The pieces that texts can be cut into, as steps between places: a text of n characters has n + 1 places.
+
+    Steps are in groups by the end and then the start within the text, so that no place occurs twice in a group's starts
+    or in its ends, and sums over cuts are taken in the order of the text.
+    """
+
+    def __init__(self, texts: list[str], lattice: Lattice):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.first = np.cumsum(sizes + 1) - (sizes + 1)
+        self.last, self.places = self.first + sizes, int((sizes + 1).sum())
+        letters = np.full(self.places + lattice.longest, -1)        # a place stands for the letter that follows it
+        inner = np.delete(np.arange(self.places), self.last)
+        letters[inner] = lattice.prefixes.letters(np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4"))
+        place = inner - np.repeat(self.first, sizes)                # within the text
+        at, nodes = np.arange(len(inner)), np.zeros(len(inner), dtype=np.int64)
+        found = []
+        for n in range(1, lattice.longest + 1):
+            here = letters[inner[at] + n - 1]
+            known = here >= 0
+            at, nodes = at[known], lattice.prefixes.step(nodes[known], here[known])
+            at, nodes = at[nodes >= 0], nodes[nodes >= 0].astype(np.int64)
+            pieces = lattice.prefixes.pieces[nodes]
+            whole = pieces >= 0
+            if n == 1:
+                every = np.full(len(inner), lattice.unknown, dtype=np.int32)
+                every[at[whole]] = pieces[whole]
+                found.append((np.arange(len(inner)), every, n))
+            else:
+                found.append((at[whole], pieces[whole], n))
+        at = np.concatenate([x for x, _, _ in found])
+        self.pieces = np.concatenate([x for _, x, _ in found])
+        size = np.repeat([n for _, _, n in found], [len(x) for x, _, _ in found])
+        group = (place[at] + size) * (lattice.longest + 1) + lattice.longest - size
+        order = np.argsort(group.astype(np.int16) if len(group) and group.max() < 1 << 15 else group, kind="stable")
+        self.starts, self.ends, self.pieces = inner[at[order]], (inner[at] + size)[order], self.pieces[order]
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)]]).tolist()
+        self.groups = [slice(a, b) for a, b in zip(bounds, bounds[1:]) if a < b]
+
+    def ahead(self, weights: np.ndarray) -> np.ndarray:
+        """Forward sums at each place; ``weights`` has a row for each step."""
+        ahead = np.zeros((self.places, *weights.shape[1:]))
+        ahead[self.first] = 1
+        for these in self.groups:
+            ahead[self.ends[these]] += ahead[self.starts[these]] * weights[these]
+        return ahead
+
+    def behind(self, weights: np.ndarray) -> np.ndarray:
+        behind = np.zeros(self.places)
+        behind[self.last] = 1
+        for these in reversed(self.groups):
+            behind[self.starts[these]] += behind[self.ends[these]] * weights[these]
+        return behind
+
+    def low(self, ahead: np.ndarray) -> np.ndarray:
+        """Which texts have a sum that may have lost digits."""
+        least = ahead if ahead.ndim == 1 else ahead.min(axis=1, initial=np.inf)
+        return np.minimum.reduceat(least, self.first) < SMALL
+
+
 class Lattice:
     """All segmentations of words; the last two piece numbers are an unknown letter and no piece at all."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.ids, self.unknown, self.none = vocabulary, len(vocabulary), len(vocabulary) + 1
+        self.ids, self.unknown = vocabulary, len(vocabulary)
         self.longest = max(map(len, vocabulary), default=1)
         self.sizes = np.ones(len(vocabulary) + 2)
         self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
-
-    def table(self, texts: list[str]) -> tuple[list[tuple[int, int]], np.ndarray]:
-        """The spans of texts of one length, and the piece of each text in each span."""
-        n, get = len(texts[0]), self.ids.get
-        spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)]
-        ids = np.array([[get(s[i:j], self.none) for i, j in spans] for s in texts], dtype=np.int32)
-        single = [k for k, (i, j) in enumerate(spans) if j == i + 1]
-        part = ids[:, single]
-        ids[:, single] = np.where(part == self.none, self.unknown, part)
-        return spans, ids
+        self.prefixes = Prefixes(vocabulary)
 
     def scaled(self, p: np.ndarray) -> np.ndarray:
         """``p``, with a row for each piece, times ``STEP`` for each character: no sum over cuts exceeds ``STEP**n``."""
@@ -69,28 +175,20 @@ class Lattice:
 
     def score(self, texts: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each text in each language; ``p`` has a row for each piece."""
-        out, weights, logs = np.empty((len(texts), p.shape[1])), None, log(p)
-        for where in by_length(texts):
+        out, weights, logs = np.empty((len(texts), p.shape[1])), self.scaled(p), log(p)
+        long, parts = portions(texts)
+        for k in long:
+            out[k] = self.long_score(texts[k], p, logs)
+        for where in parts:
             same = [texts[w] for w in where]
-            if len(same[0]) > TABLED:
-                out[where] = [self.long_score(s, p, logs) for s in same]
-                continue
-            weights = self.scaled(p) if weights is None else weights
-            ahead = self.sums(*self.table(same), weights)
-            found = log(ahead[-1]) - len(same[0]) * np.log(STEP)
-            for k in np.flatnonzero((ahead < SMALL).any(axis=(0, 2))):
+            cuts = Cuts(same, self)
+            ahead = cuts.ahead(weights[cuts.pieces])
+            found = log(ahead[cuts.last]) - (cuts.last - cuts.first)[:, None] * np.log(STEP)
+            for k in np.flatnonzero(cuts.low(ahead)):
                 found[k] = self.long_score(same[k], p, logs)
             out[where] = found
         return out
 
-    def sums(self, spans: list[tuple[int, int]], ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Forward sums at each position of each text; ``weights`` has a row for each piece."""
-        ahead = np.zeros((spans[-1][1] + 1, len(ids), *weights.shape[1:]))
-        ahead[0] = 1
-        for k, (i, j) in enumerate(spans):
-            ahead[j] += ahead[i] * weights[ids[:, k]]
-        return ahead
-
     def long_score(self, s: str, p: np.ndarray, logs: np.ndarray | None = None) -> np.ndarray:
         """The same for one text of any length, by logs of the sums, of which only the last few are kept."""
         logs = log(p) if logs is None else logs
@@ -108,25 +206,21 @@ class Lattice:
     def expect(self, texts: list[str], n: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in ``n`` copies of each text, under the probabilities ``p`` of one language."""
         uses, weights, logs = np.zeros(len(p)), self.scaled(p), log(p)
-        for where in by_length(texts):
+        long, parts = portions(texts)
+        for k in long:
+            self.long_expect(texts[k], n[k], logs, uses)
+        for where in parts:
             same = [texts[w] for w in where]
-            if len(same[0]) > TABLED:
-                for s, count in zip(same, n[where]):
-                    self.long_expect(s, count, logs, uses)
-                continue
-            spans, ids = self.table(same)
-            ahead, behind = self.sums(spans, ids, weights), np.zeros((len(same[0]) + 1, len(where)))
-            behind[-1] = 1
-            low = (ahead < SMALL).any(axis=0)
+            cuts = Cuts(same, self)
+            weight = weights[cuts.pieces]
+            ahead, behind = cuts.ahead(weight), cuts.behind(weight)
+            low = cuts.low(ahead)
             for k in np.flatnonzero(low):
                 self.long_expect(same[k], n[where[k]], logs, uses)
-            whole = np.where(low, 0.0, n[where]) / np.where(low, 1.0, ahead[-1])
-            weight = weights[ids]
-            for k, (i, j) in reversed(list(enumerate(spans))):
-                behind[i] += behind[j] * weight[:, k]
-            starts, ends = (np.array(x) for x in zip(*spans))
-            share = weight * (ahead[starts] * behind[ends] * whole).T
-            uses += np.bincount(ids.ravel(), share.ravel(), minlength=len(p))
+            whole = np.where(low, 0.0, n[where]) / np.where(low, 1.0, ahead[cuts.last])
+            share = weight * ahead[cuts.starts] * behind[cuts.ends]
+            share *= np.repeat(whole, cuts.last - cuts.first + 1)[cuts.starts]
+            uses += np.bincount(cuts.pieces, share, minlength=len(p))
         return uses
 
     def long_expect(self, s: str, n: float, logs: np.ndarray, uses: np.ndarray) -> None:
@@ -154,14 +248,19 @@ def log(p: np.ndarray) -> np.ndarray:
         return np.log(p)
 
 
-def by_length(texts: list[str]) -> list[np.ndarray]:
+def portions(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The texts of more than ``TABLED`` characters, and the others in parts of some ``CHARS`` characters."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    order = np.argsort(sizes, kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(texts) else []
+    short = np.flatnonzero(sizes <= TABLED)
+    part = np.cumsum(sizes[short]) // CHARS
+    return np.flatnonzero(sizes > TABLED), np.split(short, np.flatnonzero(np.diff(part)) + 1) if len(short) else []
 
 
 def letter_runs(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return (LETTERS if BEYOND.search(text) else BASIC_LETTERS).findall(text)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -228,34 +327,42 @@ def held_out(doc_id: Column) -> Column:
 
 
 def slices(batches: Batches) -> Batches:
-    """Batches of at most ``ROWS`` rows: all words of a batch are held at once, at some sixty bytes each."""
+    """Batches of at most ``ROWS`` rows: the numbers of all words of a batch are held at once."""
     for batch in batches:
         for at in range(0, len(batch), ROWS):
             yield batch.slice(at, ROWS)
 
 
+class Numbers(dict):
+    """Words by the order in which they came."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Guesser:
     """Language and its probability for texts; a worker scores a word once while it remembers it."""
 
     def __init__(self, vocabulary: dict[str, int], langs: list[str], p: np.ndarray):
         self.lattice, self.langs, self.p = Lattice(vocabulary), langs, p
-        self.rows: dict[str, int] = {}
-        self.scores = np.empty((0, len(langs)))
+        self.rows, self.scores = Numbers(), np.empty((0, len(langs)))
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], list[float]]:
-        found = [letter_runs(x.as_py()) for x in texts] if self.langs else [[]] * len(texts)
         if len(self.rows) > SCORED:
-            self.rows, self.scores = {}, self.scores[:0]
-        new = list({w for words in found for w in words if w not in self.rows})
-        self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-        self.scores = np.concatenate([self.scores, self.lattice.score([START + w for w in new], self.p)])
+            self.rows, self.scores = Numbers(), self.scores[:0]
+        known, found = len(self.rows), []
+        for text in texts:
+            words = letter_runs(text.as_py()) if self.langs else []
+            found.append(np.fromiter(map(self.rows.__getitem__, words), np.int32, len(words)))
+        new = [START + w for w in islice(self.rows, known, None)]
+        self.scores = np.concatenate([self.scores, self.lattice.score(new, self.p)])
         best, sure = [], []
-        for words in found:
-            if not words:
+        for at in found:
+            if not len(at):
                 best.append("und")
                 sure.append(0.0)
                 continue
-            at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
             total = self.scores[at].sum(axis=0)
             top = int(total.argmax())
             best.append(self.langs[top])

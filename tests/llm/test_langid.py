@@ -5,8 +5,10 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
-from rillflow.llm.langid import Lattice, identify, pieces, with_language, word_counts
+import regex
+from rillflow.llm.langid import Guesser, Lattice, identify, letter_runs, pieces, with_language, word_counts
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, held_out string, score int, word string"
@@ -90,6 +92,53 @@ def test_sums_that_lose_digits_on_the_way_are_taken_in_logs():
     assert uses[[0, 7]] == pytest.approx([5, 5]) and uses.sum() == pytest.approx(10)
 
 
+def test_pieces_are_sought_for_many_words_at_once(monkeypatch):
+    class Spied(dict):
+        asked = 0
+
+        def get(self, *args):
+            Spied.asked += 1
+            return super().get(*args)
+
+    rng = np.random.default_rng(5)
+    texts = ["▁" + "".join(rng.choice(list("abcж漢"), rng.integers(0, 12))) for _ in range(300)]
+    lattice = Lattice(Spied(VOCABULARY))
+    p = rng.random((9, 2)) / 5
+    p[-1] = 0
+    n = np.arange(300.0)
+    score, uses = lattice.score(texts, p), lattice.expect(texts, n, p[:, 1])
+    assert Spied.asked == 0                                         # before: once for each stretch of each word
+    assert score == pytest.approx(np.array([lattice.long_score(x, p) for x in texts]))
+    monkeypatch.setattr("rillflow.llm.langid.TABLED", 0)
+    assert uses == pytest.approx(lattice.expect(texts, n, p[:, 1]))
+
+
+@pytest.mark.parametrize("vocabulary", [{}, {"▁": 0}, {"ab": 0, "b": 1}])
+def test_small_vocabularies(vocabulary):
+    lattice = Lattice(vocabulary)
+    p = np.full((len(vocabulary) + 2, 1), 0.1)
+    texts = ["▁ab", "▁", "ж"]
+    assert lattice.score(texts, p) == pytest.approx(np.array([lattice.long_score(x, p) for x in texts]))
+
+
+def test_words_of_letters_of_every_plane():
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for text in (every, every[:0xF000], "aÉ² ½b_c-1d", "a𐐀b 𝔘1c", "Ⅷ一x", ""):
+        assert letter_runs(text) == regex.findall(r"\p{L}+", text.lower())
+
+
+def test_guesses_do_not_depend_on_what_is_remembered(monkeypatch):
+    p = np.random.default_rng(3).random((9, 2))
+    p[-1] = 0
+    texts = [pa.array(["ab ba", None, "c 1", "aab"]), pa.array(["", "ba ab cab"])]
+    guess = Guesser(VOCABULARY, ["x", "y"], p)
+    want = [guess(x) for x in texts]
+    assert list(guess.rows) == ["ab", "ba", "c", "aab", "cab"] and len(guess.scores) == 5
+    monkeypatch.setattr("rillflow.llm.langid.SCORED", 0)
+    guess = Guesser(VOCABULARY, ["x", "y"], p)
+    assert [guess(x) for x in texts] == want and len(guess.rows) == 3
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     langs = {r.doc_id: r.lang for r in docs.collect()}
