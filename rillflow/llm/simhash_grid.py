@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import Batches, query, table, texts, written
 from .components import components
-from .similar import set_key, shingle_hashes, similar
+from .shingles import shingle_hashes
 
 BITS, SEGMENT = 64, 2
 ODD = 0x5555555555555555
@@ -28,7 +28,10 @@ ODD = 0x5555555555555555
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Majority of the bits of all shingle hashes, as a signed 64-bit number; zero for a text without words."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: list[int]) -> int:
     if not hashes:
         return 0
     bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -72,12 +75,12 @@ def fingerprint_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     """
     cells = F.array(*[F.struct(F.lit(i).alias("set"), F.col("v").bitwiseAND(F.lit(m)).alias("cell"))
                       for i, m in enumerate(cell_masks(distance))])
-    placed = distinct.select("fp", counts(F.col("fp")).alias("v")).select("fp", "v", F.explode(cells).alias("c"))
-    placed = placed.select("fp", "v", "c.set", "c.cell")
-    left, right = (placed.select(F.col("fp").alias(n), F.col("v").alias(f"v{n}"), "set", "cell") for n in "ab")
+    placed = distinct.select("fp", counts(F.col("fp")).alias("v")).select("fp", F.explode(cells).alias("c"))
+    placed = placed.select("fp", "c.set", "c.cell")         # counts are cheaper to take again than to shuffle
+    left, right = (placed.select(F.col("fp").alias(n), "set", "cell") for n in "ab")
     near = (
         (F.col("a") < F.col("b"))
-        & (F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))) <= distance)
+        & (F.bit_count(counts(F.col("a")).bitwiseXOR(counts(F.col("b")))) <= distance)
         & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     )
     return left.join(right, ["set", "cell"]).where(near).select("a", "b").distinct()
@@ -104,9 +107,12 @@ def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3, least: float
     """The documents (doc_id, text, ...) without near-duplicates: of each group the one with the smallest id stays.
 
     Near-duplicates are texts whose fingerprints differ in at most ``distance`` bits or, where ``least`` is given,
-    whose sets of shingles have a Jaccard similarity of ``least`` or more; ``shingle`` is the words of a shingle.
+    whose sets of shingles have a Jaccard similarity of ``least`` or more, which the same grid seeks first and a prefix
+    join where texts differ in more bits; ``shingle`` is the words of a shingle.
     Rows that repeat an id count once. Among documents without an id one stays, if nothing in its group has an id.
     """
+    from .similar import set_key, similar       # which seeks links by the grid of this module
+
     if least is None:
         found, marked = near_duplicates(docs, distance, shingle=shingle), lambda text: fingerprint(text, shingle)
     else:

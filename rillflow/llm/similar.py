@@ -1,4 +1,8 @@
-"""Near-duplicates by exact Jaccard similarity of shingle sets: a prefix join that misses no pair, then verification.
+"""Near-duplicates by exact Jaccard similarity of shingle sets: the grid of fingerprints, a prefix join, verification.
+
+The grid of ``simhash_grid`` comes first: sets whose fingerprints differ in few bits are compared whole and linked. At a
+similarity of 0.8 most pairs differ in more bits than a grid can have cells for, so a prefix join that misses no pair
+looks for links between what the grid has not brought together.
 
 Order all shingles in one way everywhere. Of two sets with similarity ``least`` or more, the first
 ``n - ceil(least * n) + 1`` shingles of each have one in common, so links only have to be sought among texts that
@@ -25,30 +29,20 @@ from pyspark.sql import functions as F
 
 from .common import Batches, BitFilter, discard, texts, written
 from .components import components
+from .shingles import SEED, shingle_hashes
+from .simhash_grid import fingerprint_links, majority
 
-SEED = 42
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PARITY = 1024                   # bits that the items of a set flip
 SAMPLED = 16                    # one text in so many shows which shingles are common
 COMMON, COMMON_MOST = 8, 100_000        # texts of the sample that make a shingle common, and how many such are kept
 
 
-def shingle_hashes(text: str | None, shingle: int) -> list[int]:
-    """Hashes of all shingles; a text of up to ``shingle`` words is one."""
-    words = text.encode().translate(LOWER).split() if text else []
-    if not words:
-        return []
-    joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return [hashed(joined, SEED)]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    return [hashed(joined[a:b], SEED)
-            for a, b in zip((ends - sizes)[:1 - shingle].tolist(), ends[shingle - 1:].tolist())]
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return set_of(shingle_hashes(text, shingle))
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, shingle), dtype=np.uint64).view(np.int64))
+def set_of(hashes: list[int]) -> np.ndarray:
+    return np.unique(np.array(hashes, dtype=np.uint64).view(np.int64))
 
 
 def set_key(text: str | None, shingle: int) -> int:
@@ -66,6 +60,13 @@ def parity(items: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(at.astype(np.int64), minlength=PARITY) & 1 == 1).view(np.int64)
 
 
+def among(items: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which items are in the sorted array, without sorting that again for each text."""
+    if not len(known):
+        return np.zeros(len(items), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, items), len(known) - 1)] == items
+
+
 def prefix_size(n: int, least: float) -> int:
     return n - ceil(least * n - 1e-9) + 1 if n else 0
 
@@ -85,27 +86,65 @@ def common_shingles(given: DataFrame, shingle: int) -> np.ndarray:
 
 
 def marks(given: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(doc_id, rh, fp, n, prefix, bits): the key of each text's set, its size, first shingles and parity."""
+    """(doc_id, rh, fp, sh, n, prefix, bits): the key of each text's set, the text's fingerprint, the set's size, first
+    shingles and parity."""
     shared = given.sparkSession.sparkContext.broadcast(common_shingles(given, shingle))
 
     def run(batches: Batches) -> Batches:
         common = shared.value
         for batch in batches:
-            keys, sizes, prefixes, flips = [], [], [], []
+            keys, prints, sizes, prefixes, flips = [], [], [], [], []
             for text in batch.column(2):
-                items = shingle_set(text.as_py(), shingle)
-                late = np.isin(items, common)
+                hashes = shingle_hashes(text.as_py(), shingle)
+                items = set_of(hashes)
+                prints.append(majority(hashes))
+                late = among(items, common)
                 keys.append(key_of(items))
                 sizes.append(len(items))
                 prefixes.append(np.concatenate([items[~late], items[late]])[:prefix_size(len(items), least)])
                 flips.append(parity(items))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()),
-                 pa.array(prefixes, pa.list_(pa.int64())), pa.array(flips, pa.list_(pa.int64()))],
-                ["doc_id", "rh", "fp", "n", "prefix", "bits"])
+                [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(prints, pa.int64()),
+                 pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(flips, pa.list_(pa.int64()))],
+                ["doc_id", "rh", "fp", "sh", "n", "prefix", "bits"])
 
     return given.select("doc_id", "rh", "text").mapInArrow(
-        run, "doc_id long, rh long, fp long, n int, prefix array<long>, bits array<long>")
+        run, "doc_id long, rh long, fp long, sh long, n int, prefix array<long>, bits array<long>")
+
+
+def one_each(sets: DataFrame) -> DataFrame:
+    """One row for each ``fp``; only rows of a key that occurs again are shuffled."""
+    again = BitFilter(sets.sparkSession, sets.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("h")))
+
+    def run(batches: Batches, wanted: bool) -> Batches:
+        for batch in batches:
+            met = again(batch.column(0).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(met if wanted else ~met))
+
+    apart = sets.mapInArrow(lambda batches: run(batches, False), sets.schema)
+    return apart.unionByName(sets.mapInArrow(lambda batches: run(batches, True), sets.schema).dropDuplicates(["fp"]))
+
+
+def grid_pairs(alone: DataFrame, distance: int = 3) -> DataFrame:
+    """(a, b): keys of sets that the grid of fingerprints brings together.
+
+    Each set is paired with the least key that has its fingerprint, and these keys where fingerprints differ in 1 to
+    ``distance`` bits.
+    """
+    least = written(alone.groupBy("sh").agg(F.min("fp").alias("fp"), F.count("*").alias("sets")), "fingerprints")
+    found = fingerprint_links(least.select(F.col("sh").alias("fp")), distance)
+    for side in "ab":
+        found = found.join(least.select(F.col("sh").alias(side), F.col("fp").alias(f"fp{side}")), side)
+    same = alone.select("sh", F.col("fp").alias("b")).join(
+        least.where("sets > 1").select("sh", F.col("fp").alias("a")), "sh").where("a < b").select("a", "b")
+    return found.select(F.least("fpa", "fpb").alias("a"), F.greatest("fpa", "fpb").alias("b")).unionAll(same)
+
+
+def not_yet_linked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of keys that are not in one group."""
+    for side in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root{side}")), side, "left")
+    return pairs.where(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select("a", "b")
 
 
 def shared_only(alone: DataFrame) -> DataFrame:
@@ -192,15 +231,19 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str =
     marked = written(marks(given, shingle, least), "marks")
     # of the rows with one set, the one with the least hash over id and text is read again where the set is needed
     first = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("rh").alias("rh")), "distinct")
-    alone = written(marked.select("fp", "n", "prefix", "bits").dropDuplicates(["fp"]), "alone")
+    alone = written(one_each(marked.select("fp", "sh", "n", "prefix", "bits")), "alone")
+    whole, marked = marked, written(marked.select("doc_id", "fp"), "keys")
+    discard(whole)
+    links = verified(grid_pairs(alone), alone, first, given, shingle, least)
+    roots = written(components(links), "roots")
     placed = shared_only(alone)
     pivots = placed.groupBy("h").agg(F.min(F.struct("fp", "n", "at")).alias("pivot"), F.count("*").alias("members"))
     pivots = pivots.where("members > 1").select(
         "h", F.col("pivot.fp").alias("pfp"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat"))
     met = written(placed.join(pivots, "h"), "met")
     near = met.where(F.col("fp") != F.col("pfp")).where(may_match("", "p", least))
-    links = verified(near.select(F.col("pfp").alias("a"), F.col("fp").alias("b")).distinct(), alone, first,
-                     given, shingle, least)
+    near = not_yet_linked(near.select(F.col("pfp").alias("a"), F.col("fp").alias("b")).distinct(), roots)
+    links = links.unionAll(verified(near, alone, first, given, shingle, least))
 
     roots, bare = written(components(links), "roots"), met
     for name in ("fp", "pfp"):
@@ -210,7 +253,7 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str =
     discard(bare)
     left, right = (rooted.select("h", *[F.col(x).alias(f"{side}{x}") for x in ("fp", "n", "at", "fp_root", "pfp_root")])
                    for side in "ab")
-    # one of each pair stands outside the pivot's group, and the pivot itself has been compared with all
+    # one of each pair stands outside the pivot's group; the pivot itself has been compared with all others
     rest = left.where("afp_root != apfp_root").join(right, "h").where("afp_root != bfp_root").where(
         may_match("a", "b", least))
     rest = rest.select(F.least("afp", "bfp").alias("a"), F.greatest("afp", "bfp").alias("b")).distinct()

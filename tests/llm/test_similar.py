@@ -64,6 +64,47 @@ def test_groups_are_those_of_all_pairs(spark, monkeypatch):
     assert [r.text for r in kept if r.doc_id is None] == ["alone"] and {(r.fp, r.root, r.th) for r in kept} == {("x", 1, "y")}
 
 
+def test_the_stage_seeks_links_by_the_grid_first(spark, monkeypatch):
+    asked, links = [], sim.verified
+
+    def spied(pairs, *rest):
+        asked.append({(r.a, r.b) for r in pairs.collect()})
+        return links(pairs, *rest)
+
+    monkeypatch.setattr(sim, "verified", spied)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join("changed" if i % 50 == 33 else w for i, w in enumerate(words)))]
+    rows += [(4, "something else altogether that nobody has said before")]
+    keys = {i: sim.set_key(t, 5) for i, t in rows}
+    prints = {i: fingerprint(t, 5) & (2**64 - 1) for i, t in rows}
+    assert (prints[1] ^ prints[2]).bit_count() <= 3 < min((prints[3] ^ prints[i]).bit_count() for i in (1, 2))
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()
+    assert {r.doc_id for r in kept} == {1, 4}
+    assert asked[0] == {tuple(sorted((keys[1], keys[2])))}                  # before: the prefix join alone
+    assert not asked[0] & (asked[1] | asked[2]) and asked[1] | asked[2]     # which is left what the grid misses
+
+
+def test_grid_pairs(spark):
+    rows = [(5, 0), (3, 0), (4, 0b111), (9, 0b111), (7, 0b1111 << 40), (8, -1)]
+    alone = spark.createDataFrame(rows, "fp long, sh long").repartition(3)
+    got = sorted((r.a, r.b) for r in sim.grid_pairs(alone).collect())
+    assert got == [(3, 4), (3, 5), (4, 9)]
+    assert sim.grid_pairs(alone.where(F.lit(False))).count() == 0
+
+
+def test_one_row_of_each_key(spark):
+    rows = [(k % 40 if k < 60 else k, [k % 40 if k < 60 else k]) for k in range(100)]
+    sets = spark.createDataFrame(rows, "fp long, prefix array<long>").repartition(5)
+    got = sorted((r.fp, r.prefix) for r in sim.one_each(sets).collect())
+    assert got == [(k, [k]) for k in [*range(40), *range(60, 100)]]
+
+
+def test_items_among_known_ones():
+    items, known = np.array([-9, 0, 3, 8]), np.array([-9, 3, 7])
+    assert sim.among(items, known).tolist() == [True, False, True, False]
+    assert not sim.among(items, known[:0]).any() and not sim.among(items[:0], known).any()
+
+
 def test_stage_drops_what_fingerprints_miss(spark):
     rng = random.Random(1)
     words = [f"w{rng.randrange(5000)}" for _ in range(200)]
