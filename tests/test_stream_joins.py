@@ -103,6 +103,28 @@ def test_asof_rows_held_back_and_late_ones_dropped(spark, folder):
     assert sorted((r.l_id, r.found) for r in out.collect()) == [(1, 10), (2, 11), (3, 10), (4, 13)]
 
 
+def test_asof_holds_many_keys_in_one_group(spark, folder):
+    n = 3000
+    rows = [("r", k, k % 50, k, "") for k in range(n)] + [("l", k, 60 + k % 50, n + k, "") for k in range(n)]
+    rows += [("r", k, 70, 2 * n + k, "") for k in range(0, n, 7)]
+
+    def query(stream):
+        left, right = sides(stream, "400 minutes")
+        return asof_stream(left, right, ["k"], "lt", "rt", {"r_id": "found"}, slot="1 day")
+
+    close = [("l", n, 2000, -1, "end"), ("r", n, 2000, -2, "end")]
+    again = [("l", k, 1700, 3 * n + k, "") for k in range(n)]           # find what is kept of a slot that has passed
+    last = [("l", n, 9000, -3, "end"), ("r", n, 9000, -4, "end")]
+    out, held = fed(spark, folder, [two_sides(spark, part) for part in (rows, close, again, last)], query)
+    key, rights = {r[3]: r[1] for r in rows + again}, {}
+    for _, k, t, i, _ in (r for r in rows if r[0] == "r"):
+        rights.setdefault(k, []).append((t, i))
+    want = {i: max(x for x in rights[k] if x[0] <= t)[1] for s, k, t, i, _ in rows + again if s == "l"}
+    got = {r.l_id: r.found for r in out.collect() if r.k < n}
+    assert got == want and all(key[i] == key[f] for i, f in got.items())
+    assert max(held) < n                                            # before: rows of the state for each key
+
+
 @pytest.mark.parametrize(("order", "how"), [(ORDERS[0], "left"), (ORDERS[1], "full"), (ORDERS[2], "right")])
 def test_outer_interval_joins(spark, folder, order, how):
     rows, close = sample()
