@@ -10,8 +10,8 @@ share one of these. The order is that of the hashes, with shingles that a sample
 order finds every pair, this one keeps the groups small. Most of these shingles occur in one text alone: a pass over
 their bit numbers, counted exactly and kept as a bitmap of fixed size, holds them back before anything is grouped.
 
-Two sets differ in at least as many items as their parities differ in: each item flips one of 1,024 bits. That bound
-rules most pairs out without their sets, and the sets of the others are compared whole.
+Two sets differ in at least as many items as their parities differ in: each item flips one of 1,024 bits, and one of
+8,192 where both sets are large. That bound rules most pairs out without their sets; the others are compared whole.
 
 Every member of a group is first compared with the group's pivot alone. Members that are linked to each other that way
 need no comparison any more, so a large group of near copies costs one comparison for each of its members.
@@ -33,6 +33,7 @@ from .shingles import SEED, shingle_hashes
 from .simhash_grid import fingerprint_links, majority
 
 PARITY = 1024                   # bits that the items of a set flip
+LARGE, FINE = 700, 8192         # sets of more items have so many such bits as well
 SAMPLED = 16                    # one text in so many shows which shingles are common
 COMMON, COMMON_MOST = 8, 100_000        # texts of the sample that make a shingle common, and how many such are kept
 
@@ -54,10 +55,10 @@ def key_of(items: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64))
 
 
-def parity(items: np.ndarray) -> np.ndarray:
-    """``PARITY`` bits as longs, each flipped by the items that fall to it."""
-    at = (items.view(np.uint64) >> np.uint64(40)) & np.uint64(PARITY - 1)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=PARITY) & 1 == 1).view(np.int64)
+def parity(items: np.ndarray, size: int = PARITY) -> np.ndarray:
+    """``size`` bits as longs, each flipped by the items that fall to it."""
+    at = (items.view(np.uint64) >> np.uint64(40)) & np.uint64(size - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=size) & 1 == 1).view(np.int64)
 
 
 def among(items: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -86,14 +87,14 @@ def common_shingles(given: DataFrame, shingle: int) -> np.ndarray:
 
 
 def marks(given: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(doc_id, rh, fp, sh, n, prefix, bits): the key of each text's set, the text's fingerprint, the set's size, first
-    shingles and parity."""
+    """(doc_id, rh, fp, sh, n, prefix, bits, fine): the key of each text's set, the text's fingerprint, the set's size,
+    first shingles and parities."""
     shared = given.sparkSession.sparkContext.broadcast(common_shingles(given, shingle))
 
     def run(batches: Batches) -> Batches:
         common = shared.value
         for batch in batches:
-            keys, prints, sizes, prefixes, flips = [], [], [], [], []
+            keys, prints, sizes, prefixes, flips, fine = [], [], [], [], [], []
             for text in batch.column(2):
                 hashes = shingle_hashes(text.as_py(), shingle)
                 items = set_of(hashes)
@@ -103,13 +104,15 @@ def marks(given: DataFrame, shingle: int, least: float) -> DataFrame:
                 sizes.append(len(items))
                 prefixes.append(np.concatenate([items[~late], items[late]])[:prefix_size(len(items), least)])
                 flips.append(parity(items))
+                fine.append(parity(items, FINE) if len(items) > LARGE else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(prints, pa.int64()),
-                 pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(flips, pa.list_(pa.int64()))],
-                ["doc_id", "rh", "fp", "sh", "n", "prefix", "bits"])
+                 pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(flips, pa.list_(pa.int64())),
+                 pa.array(fine, pa.list_(pa.int64()))],
+                ["doc_id", "rh", "fp", "sh", "n", "prefix", "bits", "fine"])
 
     return given.select("doc_id", "rh", "text").mapInArrow(
-        run, "doc_id long, rh long, fp long, sh long, n int, prefix array<long>, bits array<long>")
+        run, "doc_id long, rh long, fp long, sh long, n int, prefix array<long>, bits array<long>, fine array<long>")
 
 
 def one_each(sets: DataFrame) -> DataFrame:
@@ -174,10 +177,11 @@ def shared_only(alone: DataFrame) -> DataFrame:
 
 def may_link(pairs: DataFrame, alone: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (a, b) of keys whose sizes and parities allow a similarity of ``least``."""
-    left, right = (alone.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    left, right = (alone.select(F.col("fp").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "bits", "fine")])
                    for x in "ab")
-    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")),
-                        F.lit(0), lambda total, x: total + x)
+    bits, fine = (F.aggregate(F.zip_with(f"{c}a", f"{c}b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")),
+                              F.lit(0), lambda total, x: total + x) for c in ("bits", "fine"))
+    apart = F.coalesce(fine, bits)          # null where a set is not large
     both = (F.col("na") + F.col("nb") - apart) / 2          # of the items, at most
     fine = both >= F.lit(least) * (F.col("na") + F.col("nb") - both) - F.lit(1e-6)
     return pairs.join(left, "a").join(right, "b").where(fine).select("a", "b")
@@ -231,7 +235,7 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str =
     marked = written(marks(given, shingle, least), "marks")
     # of the rows with one set, the one with the least hash over id and text is read again where the set is needed
     first = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("rh").alias("rh")), "distinct")
-    alone = written(one_each(marked.select("fp", "sh", "n", "prefix", "bits")), "alone")
+    alone = written(one_each(marked.select("fp", "sh", "n", "prefix", "bits", "fine")), "alone")
     whole, marked = marked, written(marked.select("doc_id", "fp"), "keys")
     discard(whole)
     links = verified(grid_pairs(alone), alone, first, given, shingle, least)

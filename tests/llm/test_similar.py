@@ -133,6 +133,20 @@ def test_parities_differ_in_no_more_items_than_sets():
         assert size != 200 or apart > 30
 
 
+def test_parities_rule_out_pairs_of_large_sets(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(-2**63, 2**63, 3000)
+    sets = {1: base, 2: np.concatenate([base[900:], rng.integers(-2**63, 2**63, 900)]),       # similarity 0.54
+            3: np.concatenate([base[300:], rng.integers(-2**63, 2**63, 300)]), 4: base[:600], 5: base[:580]}
+    sets = {k: np.unique(x) for k, x in sets.items()}
+    rows = [(k, len(x), sim.parity(x).tolist(), sim.parity(x, sim.FINE).tolist() if len(x) > sim.LARGE else None)
+            for k, x in sets.items()]
+    alone = spark.createDataFrame(rows, "fp long, n int, bits array<long>, fine array<long>")
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    left = {(r.a, r.b) for r in sim.may_link(spark.createDataFrame(pairs, "a long, b long"), alone, 0.8).collect()}
+    assert left == {(1, 3), (4, 5)}         # before: (1, 2) too, as 1,024 bits are half full
+
+
 def test_only_shared_first_shingles_stay(spark):
     rows = [(1, 9, [5, -7, 11]), (2, 9, [3, 5]), (3, 0, []), (4, 9, [-7])]
     alone = spark.createDataFrame(rows, "fp long, n int, prefix array<long>").repartition(3)
