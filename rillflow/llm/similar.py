@@ -33,6 +33,7 @@ from .shingles import SEED, shingle_hashes
 from .simhash_grid import fingerprint_links, majority
 
 PARITY = 1024                   # bits that the items of a set flip
+ROWS = 1000                     # texts whose marks are held at once
 LARGE, FINE = 700, 8192         # sets of more items have so many such bits as well
 SAMPLED = 16                    # one text in so many shows which shingles are common
 COMMON, COMMON_MOST = 8, 100_000        # texts of the sample that make a shingle common, and how many such are kept
@@ -93,7 +94,7 @@ def marks(given: DataFrame, shingle: int, least: float) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         common = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             keys, prints, sizes, prefixes, flips, fine = [], [], [], [], [], []
             for text in batch.column(2):
                 hashes = shingle_hashes(text.as_py(), shingle)
@@ -117,7 +118,7 @@ def marks(given: DataFrame, shingle: int, least: float) -> DataFrame:
 
 def one_each(sets: DataFrame) -> DataFrame:
     """One row for each ``fp``; only rows of a key that occurs again are shuffled."""
-    again = BitFilter(sets.sparkSession, sets.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("h")))
+    again = BitFilter(sets.sparkSession, sets.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("h")), 24)
 
     def run(batches: Batches, wanted: bool) -> Batches:
         for batch in batches:
