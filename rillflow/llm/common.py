@@ -18,6 +18,8 @@ Batches = Iterator[pa.RecordBatch]
 WORD = r"[^\x20\x09-\x0D]+"     # a word, wherever a contract speaks of words
 GAP = r"[\x20\x09-\x0D]+"       # what lies between two of them
 BIT_BLOCK = 1 << 16             # bits of a filter that one group builds
+BATCH_BYTES = 4 << 20           # of a batch that goes to a Python worker, where texts may be long
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,16 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on a Python worker gets at most some ``BATCH_BYTES`` at once, whatever the number and size of the rows.
+
+    By default it is up to 64 MB, which executor and worker each hold, several times over, for every core.
+    """
+    now = int(spark.conf.get(BYTES).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(BYTES, BATCH_BYTES)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

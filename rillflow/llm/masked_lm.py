@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, query, table, texts, written
+from .common import Batches, query, small_batches, table, texts, written
 
 SIDE, HIDDEN, CLASSES = 2, 32, 32
 VOCABULARY = CLASSES * CLASSES
@@ -29,6 +29,7 @@ RARE = 64                       # tokens that stand for all rarer words, by hash
 PAD = VOCABULARY                # what lies beyond either end of a document
 KEPT = 200_000                  # rarer words whose shares of their class every worker holds; the others are joined
 BATCH, SLICE, RATE = 2048, 65_536, 0.08
+TOGETHER = 4096                 # tokens that are scored at once, few enough for a processor's cache
 COUNTED = 400_000
 CHUNK, FAN = 2048, 256
 PLACES = [*range(-SIDE, 0), *range(1, SIDE + 1)]
@@ -125,63 +126,94 @@ def laid_out(listed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hidden(m: dict[str, np.ndarray], row: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z = m["bias"] + sum(m["places"][k][row[at + shift]] for k, shift in enumerate(PLACES))
-    return np.tanh(z)
+    z = np.take(m["places"][0], row[at + PLACES[0]], axis=0)
+    for k, shift in enumerate(PLACES[1:], 1):
+        z += np.take(m["places"][k], row[at + shift], axis=0)
+    z += m["bias"]
+    return np.tanh(z, out=z)
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def powers(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each column, less its greatest, which is taken away in place; and their sums."""
+    z -= z.max(axis=0)
+    e = np.exp(z)
+    return e, e.sum(axis=0)
 
 
-def by_class(classes: np.ndarray):
+def by_class(tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of the tokens in which those of a class stand together, and where those of each class then are."""
+    classes = (tokens // CLASSES).astype(np.int16)          # short numbers are sorted by their digits
     order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        if ends[k] < ends[k + 1]:
-            yield k, order[ends[k]:ends[k + 1]]
+    ends = np.searchsorted(classes[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(k, slice(a, b)) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+
+
+def predictions(m: dict[str, np.ndarray], h: np.ndarray, groups: list[tuple[int, slice]]) -> tuple[np.ndarray, np.ndarray]:
+    """What the softmax is taken of, for the classes and within the right class, with a column for each row of ``h``."""
+    outer = m["outer"].T @ h.T
+    outer += m["outer_bias"][:, None]
+    inner, columns = np.empty_like(outer), h.T
+    for k, these in groups:
+        part = inner[:, these]
+        np.matmul(m["inner"][k].T, columns[:, these], out=part)
+        part += m["inner_bias"][k][:, None]
+    return outer, inner
 
 
 def log_probabilities(m: dict[str, np.ndarray], row: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of the tokens at ``at``, each given its neighbours on both sides."""
-    h, token = hidden(m, row, at), row[at]
-    outer, inner = token // CLASSES, token % CLASSES
-    total = log_softmax(h @ m["outer"] + m["outer_bias"])[np.arange(len(at)), outer].astype(np.float64)
-    for k, these in by_class(outer):
-        z = log_softmax(h[these] @ m["inner"][k] + m["inner_bias"][k])
-        total[these] += z[np.arange(len(these)), inner[these]]
+    total = np.empty(len(at))
+    order, groups = by_class(row[at])
+    at = at[order]
+    outer, inner = predictions(m, hidden(m, row, at), groups)
+    token, each = row[at], np.arange(len(at))
+    sums = [np.log(powers(z)[1]).astype(np.float64) for z in (outer, inner)]
+    total[order] = outer[token // CLASSES, each] - sums[0] + inner[token % CLASSES, each] - sums[1]
     return total
 
 
 def learn(flat: np.ndarray, square: np.ndarray, row: np.ndarray, at: np.ndarray) -> None:
     """One AdaGrad step on the tokens at ``at``, in place."""
-    m, s, n = views(flat), views(square), len(at)
-    h, token = hidden(m, row, at), row[at]
-    outer, inner = token // CLASSES, token % CLASSES
-    error = np.exp(log_softmax(h @ m["outer"] + m["outer_bias"]))
-    error[np.arange(n), outer] -= 1
-    back = error @ m["outer"].T
-    slopes = [("outer", slice(None), h.T @ error), ("outer_bias", slice(None), error.sum(axis=0))]
-    for k, these in by_class(outer):
-        part = h[these]
-        error = np.exp(log_softmax(part @ m["inner"][k] + m["inner_bias"][k]))
-        error[np.arange(len(these)), inner[these]] -= 1
-        back[these] += error @ m["inner"][k].T
-        slopes += [("inner", k, part.T @ error), ("inner_bias", k, error.sum(axis=0))]
-    back *= 1 - h * h
-    slopes.append(("bias", slice(None), back.sum(axis=0)))
-    for k, shift in enumerate(PLACES):
-        near = row[at + shift]
-        order = np.argsort(near, kind="stable")
-        ids, first = np.unique(near[order], return_index=True)
-        slopes.append(("places", (k, ids), np.add.reduceat(back[order], first, axis=0)))
-    for name, where, slope in slopes:
-        slope = slope / n
-        s[name][where] += slope * slope
-        m[name][where] -= RATE * slope / np.sqrt(s[name][where] + 1e-8)
-
-
-def train(docs: DataFrame, ids: dict[bytes, int], rounds: int) -> np.ndarray:
+    m, n = views(flat), len(at)
+    slope = np.zeros_like(flat)
+    s = views(slope)
+    order, groups = by_class(row[at])
+    at = at[order]
+    h = hidden(m, row, at)
+    (outer, whole), (inner, part) = map(powers, predictions(m, h, groups))
+    outer /= whole * n
+    inner /= part * n
+    token, each = row[at], np.arange(n)
+    outer[token // CLASSES, each] -= 1 / n
+    inner[token % CLASSES, each] -= 1 / n
+    back = outer.T @ m["outer"].T
+    s["outer"][:] = (outer @ h).T
+    s["outer_bias"][:] = outer.sum(axis=1)
+    for k, these in groups:
+        error = inner[:, these]
+        back[these] += error.T @ m["inner"][k].T
+        s["inner"][k] = (error @ h[these]).T
+        s["inner_bias"][k] = error.sum(axis=1)
+    h *= h
+    back *= np.subtract(1, h, out=h)
+    s["bias"][:] = back.sum(axis=0)
+    # all places at once: the slopes of equal neighbours at a place stand together and are summed
+    near = np.concatenate([row[at + shift] + k * (VOCABULARY + 1) for k, shift in enumerate(PLACES)]).astype(np.int16)
+    order = np.argsort(near, kind="stable")
+    near = near[order]
+    first = np.flatnonzero(np.diff(near, prepend=-1))
+    s["places"].reshape(-1, HIDDEN)[near[first]] = np.add.reduceat(np.take(back, order % n, axis=0), first, axis=0)
+    # parameters without a slope stay as they are
+    step = slope * slope
+    square += step
+    np.sqrt(np.add(square, 1e-8, out=step), out=step)
+    np.divide(slope, step, out=step)
+    step *= RATE
+    flat -= step
+
+
+def train(docs: DataFrame, ids: dict[bytes, int], rounds: int, column: str = "text") -> np.ndarray:
+    """The model learned from texts, or from the bytes of their tokens (16 bits each) in a column of that name."""
     spark = docs.sparkSession
     model = first_model()
     for turn in range(rounds):
@@ -204,9 +236,13 @@ def train(docs: DataFrame, ids: dict[bytes, int], rounds: int) -> np.ndarray:
 
             for batch in batches:
                 for text in batch.column(0):
-                    found = words(text.as_py())
-                    listed.append(np.fromiter(map(lookup.__getitem__, found), np.int32, len(found)))
-                    size += len(found)
+                    if column == "tokens":
+                        tokens = np.frombuffer(text.as_py(), dtype=np.int16)
+                    else:
+                        found = words(text.as_py())
+                        tokens = np.fromiter(map(lookup.__getitem__, found), np.int32, len(found))
+                    listed.append(tokens)
+                    size += len(tokens)
                     if size > 8 * SLICE:
                         seen += step()
                         listed, size = [], 0
@@ -229,7 +265,7 @@ def train(docs: DataFrame, ids: dict[bytes, int], rounds: int) -> np.ndarray:
                              "values": pa.array([((weight / total) @ values).astype(np.float32).tobytes()])})
 
         fields = "part long, chunk long, weight double, values binary"
-        sent = docs.select("text").mapInArrow(run, fields)
+        sent = docs.select(column).mapInArrow(run, fields)
         near = sent.groupBy("part", "chunk").applyInArrow(mean, fields)
         rows = near.groupBy("chunk").applyInArrow(mean, fields).orderBy("chunk").collect()  # one model
         if rows:
@@ -247,49 +283,63 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id",
     ``pll`` is 0 and the mean is null. Null and repeated ids are scored row by row. An empty table gives no rows.
     """
     spark, docs = docs.sparkSession, texts(docs, id_col, text_col)
+    small_batches(spark)
     counts = written(word_counts(docs), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - RARE).collect()
     ids = {bytes(row["word"]): i for i, row in enumerate(top)}
     shares = Shares(counts, ids)
     # by number: first the words of the vocabulary, then the rarer ones that are held, last the classes from the end on
     token = np.concatenate([np.arange(len(ids)), VOCABULARY - RARE + shares.codes,
-                            VOCABULARY - 1 - np.arange(RARE)]).astype(np.int32)
+                            VOCABULARY - 1 - np.arange(RARE)]).astype(np.int16)
     share = np.concatenate([np.zeros(len(ids)), shares.kept, np.zeros(RARE)])
-    shared = spark.sparkContext.broadcast(([*ids, *shares.words], token, share, train(docs, ids, rounds)))
+    shared = spark.sparkContext.broadcast(([*ids, *shares.words], token, share))
 
-    def score(batches: Batches) -> Batches:
-        known, token, share, flat = shared.value
-        lookup, m = Codes(zip(known, range(len(known)))), views(flat)
+    def encode(batches: Batches) -> Batches:
+        known, token, share = shared.value
+        lookup = Codes(zip(known, range(len(known))))
         at_row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            listed, more, ends, left, k = [], [], [0], [], []
+            listed, held, ends, left, k = [], [], [0], [], []
             for text in batch.column(1):
                 found, lookup.left = words(text.as_py()), []
                 codes = np.fromiter(map(lookup.__getitem__, found), np.int64, len(found))
-                listed.append(token[codes])
-                more.append(float(share[codes].sum()))
+                listed.append(token[codes].tobytes())
+                held.append(float(share[codes].sum()))
                 rest = Counter(lookup.left)
                 left += rest.keys()
                 k += rest.values()
                 ends.append(len(left))
+            rest = pa.StructArray.from_arrays([pa.array(left, pa.binary()), pa.array(k, pa.int64())], ["word", "k"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(at_row, at_row + len(batch))), batch.column(0), pa.array(listed, pa.binary()),
+                 pa.array(held, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)],
+                ["row", "doc_id", "tokens", "held", "rest"])
+            at_row += len(batch)
+
+    # texts are cut into words once; training and scoring read the tokens
+    fields = "row long, doc_id long, tokens binary, held double, rest array<struct<word: binary, k: long>>"
+    coded = written(docs.mapInArrow(encode, fields), "tokens")
+    model = spark.sparkContext.broadcast(train(coded, ids, rounds, "tokens"))
+
+    def score(batches: Batches) -> Batches:
+        m = views(model.value)
+        for batch in batches:
+            listed = [np.frombuffer(x.as_py(), dtype=np.int16) for x in batch.column(2)]
             row, starts = laid_out(listed)
             at = np.flatnonzero(row != PAD)
             each = np.zeros(len(row) + 1)
-            for i in range(0, len(at), SLICE):
-                each[at[i:i + SLICE]] = log_probabilities(m, row, at[i:i + SLICE])
+            for i in range(0, len(at), TOGETHER):
+                each[at[i:i + TOGETHER]] = log_probabilities(m, row, at[i:i + TOGETHER])
             n = [len(x) for x in listed]
-            total = [float(each[s:s + c].sum()) + x for s, c, x in zip(starts.tolist(), n, more)]
-            rest = pa.StructArray.from_arrays([pa.array(left, pa.binary()), pa.array(k, pa.int64())], ["word", "k"])
+            total = [float(each[s:s + c].sum()) + x for s, c, x in zip(starts.tolist(), n, batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(at_row, at_row + len(n))), batch.column(0), pa.array(n, pa.int64()),
-                 pa.array(total, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)],
-                ["row", "doc_id", "n_tokens", "pll", "rest"])
-            at_row += len(n)
-
-    fields = "row long, doc_id long, n_tokens long, pll double, rest array<struct<word: binary, k: long>>"
-    scored = written(docs.mapInArrow(score, fields), "scored")
-    met = scored.select("row", F.explode("rest").alias("rest")).select("row", "rest.word", "rest.k")
-    whole = scored.drop("rest").join(shares.joined(met), "row", "left")
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(total, pa.float64())],
+                ["row", "doc_id", "n_tokens", "pll"])
+
+    scored = coded.select("row", "doc_id", "tokens", "held").mapInArrow(
+        score, "row long, doc_id long, n_tokens long, pll double")
+    met = coded.select("row", F.explode("rest").alias("rest")).select("row", "rest.word", "rest.k")
+    whole = scored.join(shares.joined(met), "row", "left")
     whole = whole.withColumn("pll", F.col("pll") + F.coalesce("more", F.lit(0.0)))
     each = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))
     return whole.select("doc_id", "n_tokens", "pll", each.alias("pll_per_token"))

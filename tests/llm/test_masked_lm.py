@@ -96,3 +96,13 @@ def test_rounds_cover_every_token(spark, monkeypatch):
 def test_counts(spark):
     docs = spark.createDataFrame([(1, "A a b\nÉ"), (2, None), (3, "a")], "doc_id long, text string")
     assert {bytes(r.word).decode(): r.n for r in lm.word_counts(docs).collect()} == {"a": 3, "b": 1, "é": 1}
+
+
+def test_tokens_written_once_train_the_same_model(spark):
+    rows = [(i, "the cat sat on the mat and the dog ran " * (i % 7)) for i in range(40)] + [(None, "a rare one"), (50, None)]
+    ids = {w.encode(): i for i, w in enumerate(["the", "cat", "sat", "on", "mat"])}
+    lookup = lm.Ids(ids)
+    coded = [(bytearray(np.array([lookup[w] for w in lm.words(t)], dtype=np.int16).tobytes()),) for _, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    tokens = spark.createDataFrame(coded, "tokens binary").coalesce(1)
+    assert np.array_equal(lm.train(docs, ids, 2), lm.train(tokens, ids, 2, "tokens"))
