@@ -8,6 +8,7 @@ window borders it crosses. No row is shuffled, and what depends on all data is o
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import Batches, query, table, texts, written
 
-CACHED_WORDS = 800_000          # encoded words that a worker keeps at most, about 200 bytes each
-MARKS = b".,!?;:"
+CACHED_WORDS = 150_000          # encoded words of about 200 bytes that a worker gathers, and as many from before that
+# letters that the tokenizer's normalisation leaves alone, then marks: no apostrophe, and none that special tokens hold
+RUN = re.compile(r"""([a-zß-öø-ÿ]+)([!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)""")
 END = "</w>"                    # closes the last token of a run of letters in the vocabulary
 
 STREAM = "part int, place long, doc_id long, start long, n long, ids binary"
@@ -35,23 +37,28 @@ def encoder(path: str):
     """A function from texts to little-endian ids, one for all tasks of a worker.
 
     This tokenizer lower-cases, drops white space and lets no token cross it, nor cross from a letter to a mark. So a
-    text's ids are those of its words in order, and a worker encodes a word once while it remembers it, the mark
-    that ends it apart. Special tokens in a text keep their own ids; as case matters to them, a text that may hold
+    text's ids are those of its words in order, and a worker encodes a word once while it remembers it, the marks
+    that end it apart. Special tokens in a text keep their own ids; as case matters to them, a text that may hold
     one is not lower-cased beforehand.
 
-    New words of letters alone are encoded as one text. Each is at least one run for the tokenizer, and the token that
-    ends a run says so; with as many such tokens as words the ids are cut there, else the words are encoded singly.
+    Letters of ``RUN`` are the same after the tokenizer's normalisation, so new words of them alone are encoded as one
+    text without it. Each is one run for the tokenizer, and the token that ends a run says so: the ids are cut there.
+    All other words are encoded singly, with every step of the tokenizer.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     model = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
+    light = Tokenizer(model.model)      # the same vocabulary and merges, held once
+    light.pre_tokenizer = pre_tokenizers.Sequence([
+        pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    known, before = {}, {}              # encoded words; when there are many, those not met again go with the next change
     ends = np.zeros(model.get_vocab_size(), dtype=bool)
     ends[[i for token, i in model.get_vocab().items() if token.endswith(END)]] = True
 
-    def together(words: list[bytes], names: list[str]) -> bool:
-        ids = np.array(model.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def together(words: list[bytes]) -> bool:
+        joined = b" ".join(words).decode()
+        ids = np.array(light.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(ends[ids]) + 1
         if len(cuts) != len(words):
             return False
@@ -59,29 +66,39 @@ def encoder(path: str):
         known.update(zip(words, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
         return True
 
-    def marked(word: bytes) -> bool:
-        return len(word) > 1 and word[-1] in MARKS and 97 <= word[-2] <= 122
-
     def learn(words: set[bytes]) -> None:
-        stems = {w[:-1] if marked(w) else w for w in words} | {w[-1:] for w in words if marked(w)}
-        new = [(w, w.decode()) for w in stems if w not in known]
-        plain, other = [x for x in new if x[1].isalpha()], [x for x in new if not x[1].isalpha()]
-        if plain and not together(*map(list, zip(*plain))):
+        plain, other, marked = set(), set(), []
+        for word in words:
+            if word in before:
+                known[word] = before[word]
+                continue
+            run = RUN.fullmatch(word.decode())
+            if run is None:
+                other.add(word)
+            elif run[2]:
+                stem, marks = word[:-len(run[2])], word[-len(run[2]):]
+                plain.add(stem)
+                other.add(marks)
+                marked.append((word, stem, marks))
+            else:
+                plain.add(word)
+        plain, other = [w for w in plain if w not in known], [w for w in other if w not in known]
+        if plain and not together(plain):
             other += plain
-        for (word, _), got in zip(other, model.encode_batch_fast([x for _, x in other], add_special_tokens=False)):
+        for word, got in zip(other, model.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
             known[word] = array("I", got.ids).tobytes()
-        for word in words:
-            if marked(word):
-                known[word] = known[word[:-1]] + known[word[-1:]]
+        for word, stem, marks in marked:
+            known[word] = known[stem] + known[marks]
 
     def encode(text: str | None) -> bytes:
+        nonlocal known, before
         data = (text or "").encode()
         words = data.split() if b"<|" in data else data.lower().split()
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
             if len(known) > CACHED_WORDS:
-                known.clear()
+                known, before = {}, known
             learn({w for w in words if w not in known})
             return b"".join([known[w] for w in words])
 
@@ -139,20 +156,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, i
 
     def cut(batches: Batches) -> Batches:
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for key, at, n, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-                data, start = memoryview(ids.as_buffer()), 0
-                while start < n:
-                    offset = (at + start) % window
-                    length = min(n - start, window - offset)
-                    piece = data[4 * start:4 * (start + length)]
-                    row = (key, start, length, zlib.crc32(piece), n, (at + start) // window, offset,
-                           start + length == n, piece.tobytes() if with_ids else None)
-                    for column, value in zip(out, row):
-                        column.append(value)
-                    start += length
+            at, n = (batch.column(i).to_numpy() for i in (1, 2))
+            first = at // window
+            pieces = (at + n - 1) // window - first + 1
+            row = np.repeat(np.arange(len(batch)), pieces)
+            sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = np.maximum(sequence * window - at[row], 0)
+            end = np.minimum((sequence + 1) * window - at[row], n[row])
+            texts = [memoryview(x.as_buffer()) for x in batch.column(3)]
+            cuts = [texts[k][4 * a:4 * b] for k, a, b in zip(row.tolist(), start.tolist(), end.tolist())]
+            columns = [batch.column(0).take(pa.array(row)), start, end - start, [zlib.crc32(x) for x in cuts], n[row],
+                       sequence, (at[row] + start) % window, end == n[row],
+                       [x.tobytes() if with_ids else None for x in cuts]]
             kinds = [pa.int64()] * 7 + [pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)],
                                              [c.split()[0] for c in PIECES.split(", ")])
 
     return placed.mapInArrow(cut, PIECES)

@@ -33,6 +33,32 @@ def test_word_by_word_is_the_whole_text(text):
     assert got == model.encode(text, add_special_tokens=False).ids
 
 
+def test_most_words_need_no_whole_tokenizer(model):
+    text = "Word word, straße. élan!! thti,%%% 12. don't \"a\" <|endoftext|>.. ab***"
+    singly = []
+    encode = encoder.__wrapped__(PATH)
+    cells = dict(zip(encode.__code__.co_freevars, (c.cell_contents for c in encode.__closure__)))
+    learned = dict(zip(cells["learn"].__code__.co_freevars, cells["learn"].__closure__))
+
+    class Seen:
+        def encode_batch_fast(self, words, **kw):
+            singly.extend(words)
+            return model.encode_batch_fast(words, **kw)
+
+    learned["model"].cell_contents = Seen()
+    plain = text.replace("<|endoftext|>", "x")
+    assert np.frombuffer(encode(plain), dtype="<u4").tolist() == model.encode(plain, add_special_tokens=False).ids
+    assert set(singly) == {",", ".", "!!", ",%%%", "12.", "don't", '"a"', "..", "***"}
+    assert np.frombuffer(encode(text), dtype="<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_the_generation_before_are_not_encoded_again(model, monkeypatch):
+    monkeypatch.setattr("rillflow.llm.packing.CACHED_WORDS", 2)
+    encode = encoder.__wrapped__(PATH)
+    for text in ("a b c, a", "d e b 12", "a c, f!! b", "12 g a", "b e d c,", "", "a b c, d e f!! 12 g"):
+        assert np.frombuffer(encode(text), dtype="<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+
+
 def check(model, rows, texts, window):
     docs = {}
     for r in rows:
