@@ -18,7 +18,7 @@ Batches = Iterator[pa.RecordBatch]
 WORD = r"[^\x20\x09-\x0D]+"     # a word, wherever a contract speaks of words
 GAP = r"[\x20\x09-\x0D]+"       # what lies between two of them
 BIT_BLOCK = 1 << 16             # bits of a filter that one group builds
-BATCH_BYTES = 4 << 20           # of a batch that goes to a Python worker, where texts may be long
+BATCH_BYTES = 1 << 20           # of a batch that goes to a Python worker, where texts may be long
 BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -32,8 +32,8 @@ TABLED = 41                     # characters of a word that is worked on with ot
 STEP = 2.0 ** 24                # sums over cuts of n characters are held STEP**n times as large: at most 2**984
 SMALL = 1e-290                  # a smaller sum may have lost digits; its text is worked on in logs
 CHARS = 30_000                  # characters of words that are worked on together
-COUNTED, SCORED = 150_000, 150_000      # words that a task counts, and a worker scores, before it lets go of them
-ROWS = 1000                     # documents whose words are scored at once
+COUNTED, SCORED = 100_000, 100_000      # words that a task counts, and a worker scores, before it lets go of them
+ROWS = 500                      # documents whose words are scored at once
 SMOOTH = 0.01
 
 

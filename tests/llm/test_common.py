@@ -39,3 +39,14 @@ def test_a_smaller_bound_stays(spark):
         assert int(spark.conf.get(common.BYTES).rstrip("b")) == 1 << 20
     finally:
         spark.conf.set(common.BYTES, before.rstrip("b"))
+
+
+def test_a_batch_of_long_texts_holds_about_a_megabyte(spark):
+    before = spark.conf.get(common.BYTES)
+    try:
+        spark.conf.set(common.BYTES, 64 << 20)
+        common.small_batches(spark)
+        found = sizes(spark.range(100, numPartitions=1).select(F.repeat(F.lit("a long text "), 5000).alias("text")))
+        assert sum(found) >= 100 * 60_000 and max(found) < 1_300_000
+    finally:
+        spark.conf.set(common.BYTES, before.rstrip("b"))
