@@ -5,17 +5,22 @@ from __future__ import annotations
 import math
 import operator
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch
 
 TESTS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 PAIRS = 1 << 20         # pairs of rows compared at once
 GIVEN = 1 << 16         # pairs given at once
+DENSE = 64              # ranges of a cell from which on they are joined in packs
+PACKED = 128            # points or ranges of a pack
+DEALT = 1 << 16         # points of a task that joins packs
 PAIRED, COUNTED = 2000, 1 << 16     # rows of a block for pairs and for counts
 
 
@@ -220,14 +225,13 @@ def _cell(column: Column, start: float, end: float, size: Column) -> Column:
     return F.floor((_clipped(column, start, end) - start) / size).cast("long")
 
 
-def placed_ranges(ranges: DataFrame, low: str, high: str, width: float | None = None) -> tuple[DataFrame, list[int], float, float]:
-    """The ranges in their cells (__level, __cell), the levels there are, and the least and greatest finite end."""
+def placed_ranges(ranges: DataFrame, low: str, high: str, width: float | None = None) -> tuple[DataFrame, dict[int, int], float, float]:
+    """The ranges in their cells (__level, __cell), the most of them in a cell by level, and the least and greatest finite end."""
     real = ranges.where(F.col(low) < F.col(high))
     ends = [F.col(c).cast("double") for c in (low, high)]
     finite = [F.when(F.abs(e) < F.lit(math.inf), e) for e in ends]
     own = F.ceil(F.log2(finite[1] - finite[0])).cast("int")         # null for infinite ones
-    start, end, known = real.agg(F.min(F.least(*finite)), F.max(F.greatest(*finite)),
-                                 F.collect_set(F.coalesce(own, F.lit(1 << 20)))).first()
+    start, end = real.agg(F.min(F.least(*finite)), F.max(F.greatest(*finite))).first()
     start, end = (0.0, 0.0) if start is None else (start, end)
     top = math.ceil(math.log2((end - start) / 64)) if end > start else 0
     bottom = min(top, max(top - 46, math.ceil(math.log2(width))) if width else top - 46)
@@ -235,7 +239,68 @@ def placed_ranges(ranges: DataFrame, low: str, high: str, width: float | None =
     size = F.pow(F.lit(2.0), level)
     cells = F.sequence(*[_cell(e, start, end, size) for e in ends])
     placed = real.withColumns({"__level": level, "__cell": F.explode(cells)})
-    return placed, sorted({min(top, max(bottom, n)) for n in known}), start, end
+    most = placed.groupBy("__level", "__cell").count().groupBy("__level").agg(F.max("count")).collect()
+    return placed, dict(sorted(map(tuple, most))), start, end
+
+
+def _looked(points: DataFrame, x: Column, levels: Sequence[int], start: float, end: float) -> DataFrame:
+    """Points with their cell on each of the ``levels`` (__level, __cell)."""
+    looks = [F.struct(F.lit(n).alias("__level"), _cell(x, start, end, F.lit(2.0 ** n)).alias("__cell")) for n in levels]
+    if len(levels) > 1:
+        looks = [F.explode(F.array(*looks))]
+    look = looks[0] if looks else F.struct(F.lit(0).alias("__level"), F.lit(0).cast("long").alias("__cell"))
+    return points.withColumn("__look", look).select(*points.columns, "__look.*")
+
+
+def _packs(rows: DataFrame, columns: Sequence[str], least: Column, greatest: Column, name: str, dealt: int | None = None) -> DataFrame:
+    """Rows that follow each other by ``least`` in a cell and task, as arrays: (__level, __cell, ``name``, and its ends as doubles).
+
+    Tasks are those of ``rows``, or stretches of about ``dealt`` rows.
+    """
+    order = ["__level", "__cell", "least"]
+    flat = rows.select(*order[:2], least.alias("least"), greatest.alias("greatest"), F.struct(*columns).alias("row"))
+    if dealt:
+        # the last column cuts equal values into tasks too
+        flat = flat.repartitionByRange(max(1, math.ceil(rows.count() / dealt)), *order, F.monotonically_increasing_id())
+    flat = flat.sortWithinPartitions(*order)
+    schema = T.StructType([flat.schema["__level"], flat.schema["__cell"], T.StructField(f"{name}_least", T.DoubleType()),
+                           T.StructField(f"{name}_greatest", T.DoubleType()), T.StructField(name, T.ArrayType(flat.schema["row"].dataType))])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            level, cell, low, high = (batch.column(i).to_numpy() for i in range(4))
+            at = np.arange(len(batch))
+            first = np.r_[True, (level[1:] != level[:-1]) | (cell[1:] != cell[:-1])]
+            starts = np.flatnonzero((at - np.maximum.accumulate(np.where(first, at, 0))) % PACKED == 0)
+            packs = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(batch)], pa.int32()), batch.column(4))
+            ends = [level[starts], cell[starts], low[starts], np.maximum.reduceat(high, starts)]     # NaN is the greatest here too
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ends), packs], names)
+
+    return flat.mapInArrow(run, schema)
+
+
+def _pairs_of_packs(looked: DataFrame, placed: DataFrame, points: Sequence[str], ranges: Sequence[str], x: Column, value: str,
+                    low: str, high: str) -> DataFrame:
+    """Pairs in the order pack of points, range, point: each range with a run of points, the next with mostly the same run.
+
+    The pairs grow with the square of the rows, and files keep such runs in a tenth of the bytes that pairs in the
+    order of points take. A task holds two packs and the list of those that one of points meets.
+    """
+    ends = [F.col(c).cast("double") for c in (low, high)]
+    ours = _packs(looked.where(x.isNotNull()), points, x, x, "__points", DEALT)
+    theirs = _packs(placed, ranges, *ends, "__ranges")
+    # as doubles, values that differ may be equal: so <= and >=
+    meet = (F.col("__ranges_least") <= F.col("__points_greatest")) & (F.col("__ranges_greatest") >= F.col("__points_least"))
+    near = lambda r: (r[low].cast("double") <= F.col("__points_greatest")) & (r[high].cast("double") >= F.col("__points_least"))
+    packs = ours.join(theirs, ["__level", "__cell"]).where(meet)
+    # filter() has no generated code, so Spark gives the ranges one by one and not all pairs of a pack of points at once
+    runs = packs.select("__points", F.explode(F.filter("__ranges", near)).alias("__range"))
+    pairs = runs.select("__range", F.explode("__points").alias("__point"))
+    hit = (F.col("__point")[value] >= F.col("__range")[low]) & (F.col("__point")[value] < F.col("__range")[high])
+    return pairs.where(hit).select("__point.*", "__range.*")
 
 
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float | None = None) -> DataFrame:
@@ -246,13 +311,21 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     neither long nor short ones are copied often and no task gets all points. Cells of ``width``, or of 2 ** -46 of the
     longest ones if that is not given, are the smallest: there are less than 50 levels. Infinite ends are allowed, null
     matches nothing, NaN is above all numbers. The ranges are a table; points may be a stream.
+
+    On levels where a cell has 64 ranges or more, points of a table and ranges are joined in packs, and the pairs come
+    in an order that takes few bytes in files.
     """
     placed, levels, start, end = placed_ranges(ranges, low, high, width)
     x = F.col(value).cast("double")
-    looks = [F.struct(F.lit(n).alias("__level"), _cell(x, start, end, F.lit(2.0 ** n)).alias("__cell")) for n in levels]
-    if len(levels) > 1:
-        looks = [F.explode(F.array(*looks))]
-    look = looks[0] if looks else F.struct(F.lit(0).alias("__level"), F.lit(0).cast("long").alias("__cell"))
-    looked = points.withColumn("__look", look).select(*points.columns, "__look.*")
-    hit = (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))
-    return looked.join(placed, ["__level", "__cell"]).where(hit).drop("__level", "__cell")
+    dense = [n for n, most in levels.items() if most >= DENSE and not points.isStreaming]
+    other = [n for n in levels if n not in dense]
+    parts = []
+    if other or not dense:
+        theirs = placed.where(F.col("__level").isin(other)) if dense else placed
+        hit = (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))
+        looked = _looked(points, x, other, start, end)
+        parts.append(looked.join(theirs, ["__level", "__cell"]).where(hit).drop("__level", "__cell"))
+    if dense:
+        theirs = placed.where(F.col("__level").isin(dense)) if other else placed
+        parts.append(_pairs_of_packs(_looked(points, x, dense, start, end), theirs, points.columns, ranges.columns, x, value, low, high))
+    return reduce(DataFrame.union, parts)

@@ -8,7 +8,7 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
-from rillflow.operators import inequality_join, range_join
+from rillflow.operators import inequality, inequality_join, range_join
 from rillflow.operators.inequality import TESTS, placed_ranges
 
 NAN = float("nan")
@@ -134,3 +134,62 @@ def test_whole_numbers_and_large_ones(spark):
     ranges = spark.createDataFrame([(1, big - 2, big + 2), (2, -big, big + 1), (3, big, big)], "band int, lo long, hi long")
     got = {(r.v - big, r.band) for r in range_join(points, ranges, "v", "lo", "hi").collect()}
     assert got == {(i, 1) for i in range(-2, 2)} | {(i, 2) for i in range(-5, 1)}
+
+
+def test_packs_give_all_pairs(spark, monkeypatch):
+    """Cells with few and with many ranges, packs and tasks cut everywhere, a third of the points at one value, all kinds of columns."""
+    rng = random.Random(5)
+    for name, size in (("DENSE", 12), ("PACKED", 7), ("DEALT", 50)):
+        monkeypatch.setattr(inequality, name, size)
+    day = dt.datetime(2024, 1, 1)
+    values = [None, NAN, -0.0, 0.0, math.inf, -math.inf, *[5.0 if rng.random() < 0.35 else rng.uniform(-100, 100) for _ in range(300)]]
+    rows = [(i, v, None if i % 5 == 0 else f"é{i % 3}", Decimal(i), day + dt.timedelta(i), [i, None], {"k": i % 2 == 0}) for i, v in enumerate(values)]
+    points = spark.createDataFrame(rows + rows[:20], "id int, v double, s string, d decimal(20,3), t timestamp, a array<int>, m map<string,boolean>")
+    ends = [(rng.uniform(-100, 90), length) for length in (1e-7, 3.0, 3.5, 40.0) for _ in range(60 if length > 1 else 5)]
+    bands = [(low, low + length) for low, length in ends] + [
+        (-math.inf, math.inf), (-math.inf, 0.0), (5.0, math.inf), (7.0, 7.0), (None, 3.0), (3.0, None), (2.0, NAN), (0.0, 5.0)]
+    ranges = spark.createDataFrame([(i, *b, f"r{i}") for i, b in enumerate(bands + bands[:9])], f"{BANDS}, note string")
+    levels = placed_ranges(ranges, "lo", "hi")[1]
+    assert min(levels.values()) < 12 <= max(levels.values())
+    want = Counter((i % len(rows), b) for i, v in enumerate(values + values[:20]) for b, (lo, hi) in enumerate(bands + bands[:9])
+                   if None not in (v, lo, hi) and above(lo) <= above(v) < above(hi))
+    got = range_join(points.repartition(3), ranges, "v", "lo", "hi")
+    assert got.columns == [*points.columns, *ranges.columns] and "CartesianProduct" not in plan(got) and "NestedLoopJoin" not in plan(got)
+    found = got.collect()
+    assert Counter((r.id, r.band) for r in found) == want
+    known = {r.id: str(tuple(r)) for r in points.collect()}
+    assert all(str(tuple(r)[:7]) == known[r.id] and r.note == f"r{r.band}" for r in found)
+
+
+def test_whole_numbers_in_packs(spark, monkeypatch):
+    """Whole numbers that are one number as doubles, and decimals against them."""
+    monkeypatch.setattr(inequality, "DENSE", 1)
+    big = 1 << 62
+    points = spark.createDataFrame([(big + i,) for i in range(-5, 6)], "v long")
+    ranges = spark.createDataFrame([(1, big - 2, big + 2000), (2, -big, big + 1), (3, big, big), (4, big - 3000, big)], "band int, lo long, hi long")
+    got = Counter((r.v - big, r.band) for r in range_join(points, ranges, "v", "lo", "hi").collect())
+    assert got == Counter([(i, 1) for i in range(-2, 6)] + [(i, 2) for i in range(-5, 1)] + [(i, 4) for i in range(-5, 0)])
+    cents = points.select((F.col("v") % 7).cast("decimal(10,2)").alias("v"))
+    few = spark.createDataFrame([(1, 2, 5)], "band int, lo long, hi long")
+    assert range_join(cents, few, "v", "lo", "hi").count() == cents.where("v >= 2 and v < 5").count()
+    assert range_join(points.limit(0), ranges, "v", "lo", "hi").count() == 0
+
+
+def test_pairs_of_overlapping_ranges_take_few_bytes(spark, tmp_path):
+    """Pairs grow with the square of the rows: what is written must not hold each of them on its own."""
+    mixed = lambda seed: F.xxhash64(F.col("id"), F.lit(seed))
+    points = spark.range(40_000).select(mixed(1).alias("key"), (F.pmod(mixed(2), F.lit(100_000)) / 100).alias("v"))
+    ranges = spark.range(600).select(mixed(3).alias("band"), (F.pmod(mixed(4), F.lit(80_000)) / 100).alias("lo"))
+    pairs = range_join(points, ranges.withColumn("hi", F.col("lo") + 200), "v", "lo", "hi").select("key", "band")
+    pairs.write.parquet(f"file:{tmp_path}/pairs")
+    count = spark.read.parquet(f"file:{tmp_path}/pairs").count()
+    assert count > 4_000_000
+    assert sum(p.stat().st_size for p in tmp_path.glob("pairs/*.parquet")) < 0.5 * count
+
+
+def test_points_of_one_value_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(inequality, "DEALT", 100)
+    points = spark.range(1000).select("id", F.lit(5.0).alias("v"))
+    ranges = spark.range(80).select("id", F.lit(0.0).alias("lo"), F.lit(9.0).alias("hi")).withColumnRenamed("id", "band")
+    tasks = range_join(points, ranges, "v", "lo", "hi").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in tasks) == 80_000 and len(tasks) == 10 and max(r["count"] for r in tasks) < 20_000
